@@ -6,17 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import encoding
+from quire.llm import characters, encoding, splitting
 from quire.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return characters.deviating_items(table(spark, folder, "pages"), table(spark, folder, "entity_mentions"))
+
+
+def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    items = characters.items(table(spark, folder, "pages"), table(spark, folder, "entity_mentions"))
+    return characters.consistent_texts(items, ["item_kind", "item_id"], "text").select("item_kind", "item_id", "consistent")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.oversized_items(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.piece_rows(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p5_found, p5_pieces, p6_ids)}
+
+
+#: A word is what stands between Unicode white space, as in the operator.
+WORDS = r"len(regexp_extract_all(text, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+'))"
+
+
+LOOK_ALIKE = "".join(own for own, _ in (characters.CYRILLIC, characters.GREEK, characters.ARMENIAN, characters.CHEROKEE))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": rf"""
+            SELECT DISTINCT item_kind, item_id FROM (
+                SELECT 'page' AS item_kind, id AS item_id, text FROM pages
+                UNION ALL SELECT 'mention', id, normalized_text FROM entity_mentions)
+            WHERE regexp_matches(text, '[\x{{ff01}}-\x{{ff5e}}\x{{ffe0}}-\x{{ffe6}}\x{{fb00}}-\x{{fb06}}\x{{fb13}}-\x{{fb17}}]|\pL\pM*\p{{Mn}}|[\p{{Cf}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{ffa0}}]')
+                OR regexp_matches(replace(text, ' ', ''), '\p{{Zs}}')
+                OR len(list_filter(regexp_extract_all(text, '[\pL\pM\pN\p{{Cf}}]+'), lambda t:
+                    regexp_matches(t, '\p{{Latin}}') AND regexp_matches(t, '[{LOOK_ALIKE}]')
+                    AND NOT regexp_matches(regexp_replace(t, '[{LOOK_ALIKE}\p{{Latin}}]', '', 'g'), '\pL'))) > 0""",
+        "p5_found": f"""
+            SELECT DISTINCT item_kind, item_id FROM (
+                SELECT 'block' AS item_kind, CAST(id AS VARCHAR) AS item_id, text FROM blocks
+                UNION ALL SELECT 'chunk', id, text FROM chunks)
+            WHERE length(text) > 1200 OR {WORDS} > 120""",
+    }
