@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import characters, encoding, splitting, stuffing
+from quire.llm import characters, encoding, leakage, splitting, stuffing
 from quire.session import table
 
 
@@ -31,12 +31,17 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    passages = leakage.passage_list(table(spark, folder, "benchmark_queries"))
+    return leakage.leaking(table(spark, folder, "documents"), passages).select("doc_id", "uid")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p5_found, p5_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 #: A word is what stands between Unicode white space, as in the operator.
