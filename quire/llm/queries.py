@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import characters, encoding, leakage, splitting, stuffing
+from quire.llm import characters, encoding, leakage, pairs, splitting, stuffing
 from quire.session import table
 
 
@@ -19,6 +20,11 @@ def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return characters.consistent_texts(items, ["item_kind", "item_id"], "text").select("item_kind", "item_id", "consistent")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    passages = table(spark, folder, "benchmark_queries").select(F.explode("evidence.block_text").alias("text"))
+    return pairs.defective_pairs(table(spark, folder, "generation_results"), passages)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_items(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
 
@@ -41,7 +47,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p3_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 #: A word is what stands between Unicode white space, as in the operator.
