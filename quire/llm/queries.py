@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import characters, encoding, leakage, pairs, splitting, stuffing
+from quire.llm import characters, encoding, leakage, names, pairs, splitting, stuffing
 from quire.session import table
 
 
@@ -25,6 +25,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, folder, "generation_results"), passages)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_entity_pairs(table(spark, folder, "entity_mentions"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_items(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
 
@@ -47,7 +51,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p3_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p3_found, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 #: A word is what stands between Unicode white space, as in the operator.
