@@ -23,8 +23,26 @@ def session(master: str = "local[*]", app: str = "quire", **settings: str) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per context, so that they need no path to it."""
+    context = spark.sparkContext
+    if getattr(context, "_quire_shipped", False):
+        return
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    # only the driver reads this folder; executors get the archive from the driver's file server
+    here = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="quire-"))
+    shutil.copytree(here, folder / "tree" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / "quire"), "zip", folder / "tree"))
+    context._quire_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table `name` below `folder`."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
