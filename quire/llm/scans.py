@@ -103,8 +103,11 @@ def core(token: str) -> str:
     return END.sub("", BEGIN.sub("", token))
 
 
+ODD = regex.compile(SUSPECT)
+
+
 def plain(text: str) -> str:
-    return consistent(text)[0] if regex.search(SUSPECT, text) else text
+    return consistent(text)[0] if not text.isascii() and ODD.search(text) else text
 
 
 #: Pairs and words that a worker counts before it hands them on.
@@ -126,7 +129,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
             for kind, counts in held.items():
                 for token, n in counts.items():
                     pair = (core(token[0]), core(token[1])) if isinstance(token, tuple) else (core(token), None)
-                    if pair[0] and pair[1] != "":
+                    if pair[0] and (pair[1] is None or pair[1] and pair[1][0].isalpha() and not pair[0][-1].isdigit()):
                         entry = found.setdefault(pair, [0, 0, 0])
                         entry[0] += n * (kind != "edge")
                         entry[1] += n * (kind == "direct")
@@ -145,7 +148,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
                 direct = method == "direct"
                 counts = held["direct" if direct else "scanned"]
                 counts.update(tokens[1:])
-                counts.update((a, b) for a, b in zip(tokens[1:], tokens[2:]) if not a[-1].isdigit() and b[0].isalpha())
+                counts.update(zip(tokens[1:], tokens[2:]))
                 if not direct:
                     held["edge"].update(tokens[:1])
                     if len(tokens) > 1 and tokens[1][0].isalpha():
@@ -191,27 +194,25 @@ FIRST_WORD = r"(?U)^\s*(\S+)"
 PAGE_RANGE = 256
 
 
-def next_body_words(lines: DataFrame) -> DataFrame:
-    """(page_id, next_page_word): the first body word of the document's next page that has one.
+def linked_lines(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """page_lines with next_word, the first word of the next line in the zone (null at its end), first, whether it is
+    the zone's first line, and after_hyphen, whether the line before ends in a hyphen."""
+    order = Window.partitionBy("page_id", "zone").orderBy("block_order", "id")
+    before = F.lag("text").over(order)
+    return page_lines(pages, blocks).withColumns({"next_word": F.lead(F.regexp_extract("text", FIRST_WORD, 1)).over(order), "first": before.isNull(), "after_hyphen": F.coalesce(F.rtrim(before).rlike(rf"[{HYPHENS}]$"), F.lit(False))})
+
+
+def next_page_words(firsts: DataFrame) -> DataFrame:
+    """(document_id, page_number, next_word): for each page with a body, the first body word of the next such page.
 
-    Documents are looked through in ranges of pages, and then range by range, so that no task holds a whole document.
+    `firsts` (document_id, page_number, word) has a row per page. Documents are looked through in ranges of pages, and
+    then range by range, so that no task holds a whole document.
     """
-    body = lines.where("zone = 'body'").groupBy("page_id", "document_id", "page_number").agg(F.min_by(F.regexp_extract("text", FIRST_WORD, 1), F.struct("block_order", "id")).alias("word"))
-    body = body.withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE))
-    ranges = body.groupBy("document_id", "range").agg(F.min_by("word", "page_number").alias("word"))
+    ranged = firsts.withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE))
+    ranges = ranged.groupBy("document_id", "range").agg(F.min_by("word", "page_number").alias("word"))
     ranges = ranges.select("document_id", "range", F.lead("word").over(Window.partitionBy("document_id").orderBy("range")).alias("range_word"))
     within = F.lead("word").over(Window.partitionBy("document_id", "range").orderBy("page_number"))
-    return body.withColumn("next_word", within).join(ranges, ["document_id", "range"]).select("page_id", F.coalesce("next_word", "range_word").alias("next_page_word"))
-
-
-def linked_lines(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """page_lines with next_word, the first word of the next body line, and after_hyphen, whether the one before ends in a hyphen."""
-    lines = page_lines(pages, blocks)
-    order = Window.partitionBy("page_id", "zone").orderBy("block_order", "id")
-    cut = F.rtrim("text").rlike(rf"[{HYPHENS}]$")
-    lines = lines.withColumn("next_line_word", F.lead(F.regexp_extract("text", FIRST_WORD, 1)).over(order)).withColumn("first_of_page", F.row_number().over(order) == 1).withColumn("after_hyphen", F.coalesce(F.lag(cut).over(order), F.lit(False)))
-    lines = lines.join(next_body_words(lines), "page_id", "left")
-    return lines.withColumn("next_word", F.when(F.col("zone") == "body", F.coalesce("next_line_word", "next_page_word"))).drop("next_line_word", "next_page_word")
+    return ranged.withColumn("next_word", within).join(ranges, ["document_id", "range"]).select("document_id", "page_number", F.coalesce("next_word", "range_word").alias("next_word"))
 
 
 # ---------------------------------------------------------------------------------------------- page numbers
@@ -305,61 +306,82 @@ def sound_words(counts: DataFrame, repairs: DataFrame, torn: DataFrame) -> froze
 
 # ---------------------------------------------------------------------------------------------- findings
 
-FOUND = "id long, defect string, role string, a string, b string"
+FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("defect", T.StringType()), T.StructField("role", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("document_id", T.StringType()), T.StructField("page_number", T.LongType())])
+PART_BEFORE, PART_AFTER = regex.compile(r"[\p{L}\p{M}'’]+(?=[" + HYPHENS + r"]\Z)"), regex.compile(r"[\p{L}\p{M}'’]+")
+
+
+def hyphen_roles(last: str, following: str | None) -> list[tuple[str, str | None]]:
+    """What decides whether a line's last token, which ends in a hyphen, is a word cut before `following`.
+
+    `sure` alone where the mark is none that compounds have; else the words whose counts decide; nothing if either side
+    is not of letters.
+    """
+    left, right = PART_BEFORE.search(last), PART_AFTER.match(plain(following or ""))
+    if not left or not right:
+        return []
+    if last[-1] != "-":
+        return [("sure", None)]
+    a, b = left.group().lower(), right.group().lower()
+    return [("left", a), ("right", b), ("joined", core(last[:-1]).lower() + b), ("hyphened", a + "-" + b)]
 
 
 def line_findings(lines: DataFrame, sound: frozenset[str]) -> DataFrame:
-    """(id, defect, role, a, b): what a line shows by itself, and what is to be looked up for it.
+    """(id, defect, role, a, b, document_id, page_number): what a line shows by itself, and what is to be looked up for it.
 
     role `sure` is a defect; `word` and `pair` are misread if they have a repair; `left`, `right`, `joined` and
-    `hyphened` are words whose counts decide a hyphen.
+    `hyphened` are words whose counts decide a hyphen; `open` is a last token of a page's body that ends in a hyphen,
+    and `first` the first word of a page's body.
     """
     shared = lines.sparkSession.sparkContext.broadcast(sound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
             out: list[tuple] = []
-            for key, text, method, zone, next_word, after_hyphen in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                text = plain(text) if "­" not in text[-2:] else text
+            for key, text, method, zone, next_word, first, after_hyphen, document, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = plain(text) if "\u00ad" not in text[-2:] else text
                 outside = zone != "body"
                 if outside:
                     numbered = is_page_number(text)
-                    out.append((key, "page_number" if numbered else "running_line", "sure", None, None))
+                    out.append((key, "page_number" if numbered else "running_line", "sure", None, None, None, None))
                     if numbered:
                         if method == "ocr" and wrong_page_number(text):
-                            out.append((key, "misread", "sure", None, None))
+                            out.append((key, "misread", "sure", None, None, None, None))
                         continue
                 tokens = text.split()
                 if not tokens:
                     continue
-                cut = text.rstrip()[-1] in HYPHENS and len(tokens[-1]) > 1
-                if cut and not outside and next_word:
-                    mark = tokens[-1][-1]
-                    left = regex.search(r"[\p{L}\p{M}'’]+(?=[" + HYPHENS + r"]\Z)", tokens[-1])
-                    right = regex.match(r"[\p{L}\p{M}'’]+", plain(next_word))
-                    if left and right:
-                        if mark != "-":
-                            out.append((key, "hyphen", "sure", None, None))
-                        else:
-                            a, b = left.group().lower(), right.group().lower()
-                            whole = core(tokens[-1][:-1]).lower()
-                            for role, word in (("left", a), ("right", b), ("joined", whole + b), ("hyphened", a + "-" + b)):
-                                out.append((key, "hyphen", role, word, None))
+                if first and not outside:
+                    out.append((key, None, "first", tokens[0], None, document, page))
+                cut = tokens[-1][-1] in HYPHENS and len(tokens[-1]) > 1
+                if cut and not outside:
+                    if next_word is None:
+                        out.append((key, "hyphen", "open", tokens[-1], None, document, page))
+                    else:
+                        out += [(key, "hyphen", role, word, None, None, None) for role, word in hyphen_roles(tokens[-1], next_word)]
                 if method == "ocr":
                     last = len(tokens) - cut
-                    cores = [core(t) for t in tokens[:last]]
+                    cores = list(map(core, tokens))
                     for k in range(1 if after_hyphen else 0, last):
                         word = cores[k]
                         if word and word not in known and not PURE_FIGURE.match(word):
-                            out.append((key, "misread", "word", word, None))
+                            out.append((key, "misread", "word", word, None, None, None))
                             if k:
-                                out.append((key, "misread", "pair", cores[k - 1], word))
+                                out.append((key, "misread", "pair", cores[k - 1], word, None, None))
                             if k + 1 < last:
-                                out.append((key, "misread", "pair", word, cores[k + 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], names=["id", "defect", "role", "a", "b"])
+                                out.append((key, "misread", "pair", word, cores[k + 1], None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=FOUND.fieldNames())
+
+    return lines.select(F.col("id").cast("long"), "text", "method", "zone", "next_word", "first", "after_hyphen", "document_id", F.col("page_number").cast("long")).mapInArrow(run, FOUND)
+
 
-    return lines.select(F.col("id").cast("long"), "text", "method", "zone", "next_word", "after_hyphen").mapInArrow(run, FOUND)
+def across_pages(findings: DataFrame) -> DataFrame:
+    """(id, role, a) for the hyphens at the end of a page's body, by the next page that has one."""
+    roles = F.udf(hyphen_roles, T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("a", T.StringType())])))
+    following = next_page_words(findings.where("role = 'first'").select("document_id", "page_number", F.col("a").alias("word")))
+    met = findings.where("role = 'open'").select("id", F.col("a").alias("last"), "document_id", "page_number").join(following, ["document_id", "page_number"])
+    return met.select("id", F.explode(roles("last", "next_word")).alias("r")).select("id", "r.role", "r.a")
 
 
 def cut_by_hyphen(n: dict[str, Column]) -> Column:
@@ -379,10 +401,12 @@ def scan_defects(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     lexicon, repairs, loose = word_repairs(counts)
     torn = torn_words(loose, lexicon)
     findings = checkpointed(line_findings(linked_lines(pages, blocks), sound_words(counts, repairs, torn)))
-    sure = findings.where("role = 'sure'").select("id", "defect")
+    over = across_pages(findings)
+    sure = findings.where("role = 'sure'").select("id", "defect").unionAll(over.where("role = 'sure'").select("id", F.lit("hyphen").alias("defect")))
     wrong = findings.where("role = 'word'").join(repairs, F.col("a") == F.col("word"), "left_semi").select("id", "defect")
     apart = findings.where("role = 'pair'").join(torn, ["a", "b"], "left_semi").select("id", "defect")
-    hyphens = findings.where("role IN ('left', 'right', 'joined', 'hyphened')").join(lexicon, F.col("a") == F.col("key"), "left")
-    seen = {role: F.max(F.when(F.col("role") == role, F.coalesce("n_key", F.lit(0))).otherwise(0)) for role in ("left", "right", "joined", "hyphened")}
-    cut = hyphens.groupBy("id").agg(cut_by_hyphen(seen).alias("cut")).where("cut").select("id", F.lit("hyphen").alias("defect"))
+    roles = ("left", "right", "joined", "hyphened")
+    asked = findings.where(F.col("role").isin(*roles)).select("id", "role", "a").unionAll(over.where(F.col("role").isin(*roles)))
+    seen = {role: F.max(F.when(F.col("role") == role, F.coalesce("n_key", F.lit(0))).otherwise(0)) for role in roles}
+    cut = asked.join(lexicon, F.col("a") == F.col("key"), "left").groupBy("id").agg(cut_by_hyphen(seen).alias("cut")).where("cut").select("id", F.lit("hyphen").alias("defect"))
     return sure.unionAll(wrong).unionAll(apart).unionAll(cut).distinct().select(F.col("id").alias("block_id"), "defect")
