@@ -60,7 +60,11 @@ def bm25(texts: DataFrame, query: str, key: str, text: str = "text", floored: bo
         return texts.sparkSession.createDataFrame([], schema)
     terms = sorted(set(wanted))
     length = F.greatest(F.size("tokens"), F.lit(0))
-    rows = texts.select(key, tokens.alias("tokens")).select(key, length.alias("len"), *[F.size(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda x, t=t: x == t)).alias(f"tf{k}") for k, t in enumerate(terms)])
+
+    def count_of(term: str) -> Column:
+        return F.coalesce(F.size(F.filter("tokens", lambda x: x == term)), F.lit(0))
+
+    rows = texts.select(key, tokens.alias("tokens")).select(key, length.alias("len"), *[count_of(t).alias(f"tf{k}") for k, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     scored = rows.where(F.greatest(*[F.col(f"tf{k}") for k in range(len(terms))], F.lit(0)) > 0).join(F.broadcast(stats))
     idf = floored_idf if floored else positive_idf

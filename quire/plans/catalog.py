@@ -1,15 +1,664 @@
-"""All core queries by name, with their SQL."""
+"""All core queries by name, each beside the SQL that says the same.
+
+Scores are rounded before they are ranked, so that both engines order them alike; counts and ranks are BIGINT.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as tx
+from quire.operators import chunking, entities, fusion, generation, integrity, lexical, metrics, sampling, vectors
+from quire.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+
+
+#: The query of the searches below, and its tokens.
+WANTED = "administrative expenses of the cold-chain logistics segment"
+TERMS = ("administrative", "expenses", "of", "the", "cold", "chain", "logistics", "segment")
+_TERMS = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+_TOKENS = "list_transform(regexp_extract_all({0}, '[a-zA-Z0-9]+'), lambda x: lower(x))"
+
+
+def _bm25_sql(source: str, key: str, idf: str, length: str) -> str:
+    """WITH clauses that end in scored(key, score)."""
+    return f"""
+        tokens AS (SELECT {key}, coalesce({_TOKENS.format('text')}, []) AS t FROM {source}),
+        stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tokens),
+        terms AS (SELECT unnest({_TERMS}) AS term),
+        tf AS (SELECT {key}, n_words, term, count(*) AS tf FROM (SELECT {key}, len(t) AS n_words, unnest(t) AS term FROM tokens) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        scored AS (SELECT {key}, round(sum({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * {length} / average))), 6) AS score FROM tf JOIN df USING (term), stats GROUP BY {key})"""
+
+
+_POSITIVE, _FLOORED = "ln(1 + (n - df + 0.5) / (df + 0.5))", "CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END"
+
+
+def _top_sql(source: str, key: str, limit: int) -> str:
+    return f"SELECT row_number() OVER (ORDER BY score DESC, {key}) AS rank, {key}, score FROM {source} ORDER BY score DESC, {key} LIMIT {limit}"
+
+
+# ------------------------------------------------------------------------------------------------ tokens and terms
+
+
+@query(f"""
+    SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_tokens
+    FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)""")
+def doc_token_stats(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = table(spark, folder, "documents").select("doc_id", tx.ascii_tokens(F.col("text")).alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("distinct_tokens"))
+
+
+@query(f"""
+    SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences
+    FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term""")
+def term_document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lexical.postings(table(spark, folder, "documents"), "doc_id", tx.ascii_tokens(F.col("text")))
+    return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+@query("""
+    SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS BIGINT) AS words,
+        CAST(length(text) AS BIGINT) AS characters, length(text) IS NOT DISTINCT FROM n_chars AS agrees FROM documents""")
+def document_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    size = F.length("text").cast("bigint")
+    return docs.select("doc_id", F.regexp_count("text", F.lit(r"(?U)\S+")).cast("bigint").alias("words"), size.alias("characters"), size.eqNullSafe(F.col("n_chars")).alias("agrees"))
+
+
+# ------------------------------------------------------------------------------------------------ search
+
+
+@query("WITH " + _bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)") + " " + _top_sql("scored", "doc_id", 10))
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.top(_rounded(lexical.bm25(table(spark, folder, "documents"), WANTED, "doc_id"), "score"), "doc_id", 10)
+
+
+@query("WITH " + _bm25_sql("(SELECT id AS chunk_id, text FROM chunks)", "chunk_id", _FLOORED, "n_words") + " " + _top_sql("scored", "chunk_id", 20))
+def bm25_fts_topk(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").withColumnRenamed("id", "chunk_id")
+    return lexical.top(_rounded(lexical.bm25(chunks, WANTED, "chunk_id", floored=True), "score"), "chunk_id", 20)
+
+
+@query()
+def fts_stemmed_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(lexical.search_text(table(spark, folder, "chunks"), WANTED, 20), "score")
+
+
+@query("WITH " + _bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)") + """
+    SELECT doc_id, round(score / (SELECT max(score) FROM scored), 4) AS score FROM scored""")
+def bm25_max_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    scored = _rounded(lexical.bm25(table(spark, folder, "documents"), WANTED, "doc_id"), "score")
+    only = fusion.weighted_sum(scored, scored.limit(0), "doc_id", 1.0, 0.0)
+    return only.select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""
+    WITH tokens AS (SELECT id AS chunk_id, coalesce({_TOKENS.format('text')}, []) AS t FROM chunks),
+    stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tokens),
+    tf AS (SELECT chunk_id, n_words, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n_words, unnest(t) AS term FROM tokens) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    asked AS (SELECT uid, term, count(*) AS times FROM (SELECT uid, unnest({_TOKENS.format('question')}) AS term FROM benchmark_queries) GROUP BY ALL),
+    scored AS (SELECT uid, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n_words, 1) / average))), 6) AS score
+        FROM asked JOIN df USING (term) JOIN tf USING (term), stats GROUP BY uid, chunk_id)
+    SELECT uid, round(score, 3) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10""")
+def benchmark_search(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").withColumnRenamed("id", "chunk_id")
+    # near ties may order differently in another engine; the scores by rank do not
+    return lexical.search_batch(chunks, table(spark, folder, "benchmark_queries"), "chunk_id", "uid", 10).select("uid", F.round(F.round("score", 6), 3).alias("score"), "rank")
+
+
+_DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+_COSINE = f"round(1 - {_DOT.format('a.embedding', 'q.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 9)"
+
+
+def _first_vector(spark: SparkSession, folder: str) -> list[float]:
+    return list(table(spark, folder, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+@query(f"""
+    SELECT row_number() OVER (ORDER BY distance, vec_id) AS rank, vec_id, round(distance, 6) AS distance
+    FROM (SELECT a.vec_id, {_COSINE} AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) q) ORDER BY distance, vec_id LIMIT 10""")
+def knn_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(vectors.nearest(table(spark, folder, "embeddings"), _first_vector(spark, folder), 10), "distance")
+
+
+@query(f"""
+    SELECT query, vec_id, round(distance, 6) AS distance, rank FROM (
+        SELECT q.vec_id AS query, a.vec_id, {_COSINE} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE}, a.vec_id) AS rank
+        FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 10""")
+def knn_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return _rounded(vectors.nearest_batch(rows, rows.where("vec_id % 100 = 0"), 10), "distance")
+
+
+_RANKED = f"""
+    WITH {_bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)")},
+    keyword AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS keyword_rank FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20)),
+    near AS (SELECT a.vec_id AS doc_id, {_COSINE} AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) q),
+    semantic AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS semantic_rank FROM (SELECT * FROM near ORDER BY distance, doc_id LIMIT 20)),
+    fused AS (SELECT coalesce(k.doc_id, s.doc_id) AS doc_id, round(coalesce(0.5 / (60 + keyword_rank), 0) + coalesce(0.5 / (60 + semantic_rank), 0), 12) AS score, keyword_rank, semantic_rank
+        FROM keyword k FULL JOIN semantic s ON k.doc_id = s.doc_id)"""
+_RESULT_ORDER = "score DESC, coalesce(keyword_rank, 21), coalesce(semantic_rank, 21), doc_id"
+
+
+def _fused(spark: SparkSession, folder: str) -> DataFrame:
+    keyword = bm25_ranks(spark, folder, 20)
+    near = vectors.nearest(table(spark, folder, "embeddings"), _first_vector(spark, folder), 20).select(F.col("vec_id").alias("doc_id"), "rank")
+    return fusion.reciprocal_rank_fusion(keyword, near, "doc_id")
+
+
+def bm25_ranks(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    return lexical.top(_rounded(lexical.bm25(table(spark, folder, "documents"), WANTED, "doc_id"), "score"), "doc_id", limit).select("doc_id", "rank")
+
+
+@query(_RANKED + f" SELECT row_number() OVER (ORDER BY {_RESULT_ORDER}) AS rank, doc_id, score, keyword_rank, semantic_rank FROM fused ORDER BY {_RESULT_ORDER} LIMIT 5")
+def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.best(_fused(spark, folder), "doc_id", 5).select("rank", "doc_id", "score", "keyword_rank", "semantic_rank")
+
+
+@query(_RANKED + """ SELECT f.doc_id, score, keyword_rank, semantic_rank, lower(d.lang) AS lang FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE lower(d.lang) IN ('en', 'de')""")
+def rrf_gate_rank_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """The gate after ranking: ranks keep the gaps of what it takes out."""
+    docs = table(spark, folder, "documents").select("doc_id", F.lower("lang").alias("lang"))
+    return docs.where(F.col("lang").isin("en", "de")).join(F.broadcast(_fused(spark, folder)), "doc_id").select("doc_id", "score", "keyword_rank", "semantic_rank", "lang")
+
+
+@query("WITH " + _bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)") + f""",
+    near AS (SELECT a.vec_id AS doc_id, round(1 - {_COSINE}, 9) AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) q),
+    parts AS (SELECT coalesce(k.doc_id, n.doc_id) AS doc_id, coalesce(greatest(k.score, 0) / (SELECT max(score) FROM scored), 0) AS k, coalesce(greatest(n.score, 0) / (SELECT max(score) FROM near), 0) AS s
+        FROM scored k FULL JOIN near n ON k.doc_id = n.doc_id)
+    SELECT doc_id, round(0.5 * k + 0.5 * s, 4) AS score FROM parts""")
+def hybrid_weighted_sum(spark: SparkSession, folder: str) -> DataFrame:
+    keyword = _rounded(lexical.bm25(table(spark, folder, "documents"), WANTED, "doc_id"), "score")
+    wanted = F.array(*[F.lit(float(x)) for x in _first_vector(spark, folder)])
+    near = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(vectors.cosine(F.col("embedding"), wanted), 9).alias("score"))
+    return fusion.weighted_sum(keyword, near, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("WITH " + _bm25_sql("(SELECT id AS chunk_id, text FROM chunks)", "chunk_id", _FLOORED, "n_words") + f""",
+    ranked AS ({_top_sql("scored", "chunk_id", 40)}),
+    latest AS (SELECT document_id, max_by(original_filename, id) AS name FROM document_names GROUP BY document_id)
+    SELECT rank, chunk_id, c.document_id, page_start, page_end, coalesce(l.name, c.document_id) AS document_name, score
+    FROM ranked JOIN chunks c ON c.id = chunk_id JOIN pdf_documents d ON d.id = c.document_id LEFT JOIN latest l ON l.document_id = c.document_id
+    WHERE d.status IN ('indexed_lexical', 'ready')""")
+def search_hydrated(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, documents, names = (table(spark, folder, t) for t in ("chunks", "pdf_documents", "document_names"))
+    ranked = lexical.top(_rounded(lexical.bm25(chunks.withColumnRenamed("id", "chunk_id"), WANTED, "chunk_id", floored=True), "score"), "chunk_id", 40)
+    return fusion.hydrate(ranked, chunks, documents, names).select("rank", "chunk_id", "document_id", "page_start", "page_end", "document_name", "score")
+
+
+@query()
+def context_prompt(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the prompt of the five best chunks."""
+    chunks, documents, names = (table(spark, folder, t) for t in ("chunks", "pdf_documents", "document_names"))
+    ranked = lexical.top(_rounded(lexical.bm25(chunks.withColumnRenamed("id", "chunk_id"), WANTED, "chunk_id", floored=True), "score"), "chunk_id", 5)
+    rows = fusion.hydrate(ranked, chunks, documents, names).agg(F.sort_array(F.collect_list(F.struct("rank", "document_name", "page_start", "page_end", "text"))).alias("r"))
+    return rows.select(generation.prompt_of(generation.contexts_of(F.col("r"))).alias("prompt"))
+
+
+# ------------------------------------------------------------------------------------------------ catalogue
+
+
+@query("""
+    WITH latest AS (SELECT document_id, max_by(original_filename, id) AS name FROM document_names GROUP BY document_id)
+    SELECT d.id, coalesce(l.name, d.id) AS name FROM pdf_documents d LEFT JOIN latest l ON l.document_id = d.id""")
+def latest_document_names(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.sources.store import latest_names
+
+    return latest_names(table(spark, folder, "document_names"), table(spark, folder, "pdf_documents"))
+
+
+@query("""
+    SELECT d.id, d.status, d.metadata_status, d.created_at, coalesce(p.n, 0) AS pages, d.id = regexp_extract(d.storage_key, '([0-9a-f]{64})\\.pdf$', 1) AS keyed
+    FROM pdf_documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM pages GROUP BY document_id) p ON p.document_id = d.id""")
+def document_list(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("pages"))
+    documents = table(spark, folder, "pdf_documents").join(pages, "id", "left").fillna(0, ["pages"])
+    keyed = F.col("id") == F.regexp_extract("storage_key", r"([0-9a-f]{64})\.pdf$", 1)
+    return documents.select("id", "status", "metadata_status", "created_at", "pages", keyed.alias("keyed"))
+
+
+@query("SELECT status, metadata_status, count(*) AS documents FROM pdf_documents GROUP BY ALL")
+def status_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pdf_documents").groupBy("status", "metadata_status").agg(F.count("*").alias("documents"))
+
+
+@query("""
+    SELECT id, chunker_version IS DISTINCT FROM 'blocks-v1-120-20' OR status NOT IN ('indexed_lexical', 'ready') AS chunk, embedding_model IS DISTINCT FROM 'minivec-384@r1' OR status <> 'ready' AS embed,
+        metadata_model IS DISTINCT FROM 'ner-en@3:normalization-v1' OR metadata_status IS DISTINCT FROM 'ready' AS enrich FROM pdf_documents""")
+def reuse_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Which stages each document needs again under the current versions."""
+    other = lambda column, value: ~F.col(column).eqNullSafe(F.lit(value))
+    return table(spark, folder, "pdf_documents").select("id", (other("chunker_version", chunking.version_of()) | ~F.col("status").isin("indexed_lexical", "ready")).alias("chunk"), (other("embedding_model", "minivec-384@r1") | (F.col("status") != "ready")).alias("embed"), (other("metadata_model", "ner-en@3:normalization-v1") | other("metadata_status", "ready")).alias("enrich"))
+
+
+@query("""
+    SELECT content_id, count(*) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(text) AS content_id FROM documents WHERE text IS NOT NULL) GROUP BY content_id""")
+def exact_duplicate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("content_id"))
+    return docs.groupBy("content_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""
+    SELECT id, ordinal, id = sha256(document_id || chr(0) || chunker_version || chr(0) || CAST(ordinal AS VARCHAR) || chr(0) || text) AS agrees, substr(sha256(chunker_version), 1, 12) AS version_key FROM chunks""")
+def chunk_identities(spark: SparkSession, folder: str) -> DataFrame:
+    made = tx.key_of(F.col("document_id"), F.col("chunker_version"), F.col("ordinal"), F.col("text"))
+    return table(spark, folder, "chunks").select("id", "ordinal", (F.col("id") == made).alias("agrees"), tx.fingerprint(F.col("chunker_version")).alias("version_key"))
+
+
+# ------------------------------------------------------------------------------------------------ pages and blocks
+
+_ONCE = "(SELECT DISTINCT * FROM blocks)"
+
+
+@query(f"""
+    SELECT page_id, method, count(*) AS lines, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, round(avg(confidence), 6) AS confidence FROM {_ONCE} GROUP BY page_id, method""")
+def page_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "blocks").dropDuplicates(["id"])
+    return blocks.groupBy("page_id", "method").agg(F.count("*").alias("lines"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(f"""
+    SELECT p.id, p.text IS NOT DISTINCT FROM j.text AS agrees FROM pages p JOIN (SELECT page_id, string_agg(text, chr(10) ORDER BY block_order) AS text FROM {_ONCE} GROUP BY page_id) j ON j.page_id = p.id""")
+def page_text_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a page's text is its blocks' texts in order, a line each."""
+    line = F.struct("block_order", "text")
+    joined = table(spark, folder, "blocks").dropDuplicates(["id"]).groupBy(F.col("page_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n").alias("joined"))
+    return table(spark, folder, "pages").join(joined, "id").select("id", F.col("text").eqNullSafe(F.col("joined")).alias("agrees"))
+
+
+@query("SELECT id, coalesce(len(regexp_extract_all(text, '[\\pL\\pN]')), 0) < 20 AS needs_recognition, coalesce(regexp_matches(text, '\\S'), false) AS searchable FROM pages")
+def ocr_routing(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("id", chunking.needs_recognition(F.col("text")).alias("needs_recognition"), F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("searchable"))
+
+
+_WORDS = "len(regexp_extract_all(text, '[^\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
+_LETTERS, _DIGITS = "len(regexp_extract_all(text, '\\pL'))", "len(regexp_extract_all(text, '\\p{Nd}'))"
+_CATEGORY = f"CASE WHEN NOT (length(text) BETWEEN 45 AND 220 AND {_WORDS} >= 6) THEN NULL WHEN {_DIGITS} >= 4 AND {_DIGITS} >= 0.08 * ({_LETTERS} + {_DIGITS}) THEN 'number_heavy' WHEN {_DIGITS} = 0 AND {_LETTERS} >= 35 THEN 'prose' END"
+
+
+@query(f"SELECT id, {_CATEGORY} AS category, coalesce(length(text) BETWEEN 40 AND 1500 AND {_WORDS} >= 6, false) AS eligible, coalesce(regexp_matches(text, '(?:^|[^\\pL\\pM\\pN_])(?:[A-Z][a-z]+|[A-Z]{{2,}})(?:\\s+(?:[A-Z][a-z]+|[A-Z]{{2,}}))+(?:$|[^\\pL\\pM\\pN_])'), false) AS named FROM {_ONCE}")
+def line_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, folder, "blocks").dropDuplicates(["id"]).select("id", sampling.line_category(text).alias("category"), sampling.eligible_passage(text).alias("eligible"), sampling.likely_entity(text).alias("named"))
+
+
+@query()
+def chunk_provenance(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents chunked anew, spans by number; the tables' own chunks are the check, in chunk_rebuild_agreement."""
+    chunks = chunking.provenance_chunks(table(spark, folder, "pages"), table(spark, folder, "blocks"))
+    return _long(chunks.select("id", "document_id", "ordinal", "page_start", "page_end", F.size("spans").alias("spans")), "ordinal", "page_start", "page_end", "spans")
+
+
+@query("""
+    SELECT chunker_version, count(*) AS chunks, count(*) AS rebuilt, CAST(sum(length(text)) AS BIGINT) AS characters FROM chunks WHERE chunker_version IN ('blocks-v1-120-20', 'blocks-v1-80-15') GROUP BY chunker_version""")
+def chunk_rebuild_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the store and how many of them chunking the blocks again gives with the same place and text."""
+    stored = table(spark, folder, "chunks")
+    pages, blocks = table(spark, folder, "pages"), table(spark, folder, "blocks")
+    out = None
+    for words, overlap in ((120, 20), (80, 15)):
+        own = stored.where(F.col("chunker_version") == chunking.version_of(words, overlap))
+        documents = own.select("document_id").distinct()
+        made = chunking.provenance_chunks(pages.join(documents, "document_id", "left_semi"), blocks, words, overlap).select("document_id", "ordinal", F.col("text").alias("made"))
+        rows = own.join(made, ["document_id", "ordinal"], "left").groupBy("chunker_version").agg(F.count("*").alias("chunks"), F.count_if(F.col("text") == F.col("made")).alias("rebuilt"), F.sum(F.length("text")).cast("bigint").alias("characters"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.text_passages(table(spark, folder, "documents"))
+
+
+@query("""
+    SELECT count(*) AS spans, count_if(substr(b.text, block_start + 1, block_end - block_start) IS DISTINCT FROM substr(c.text, chunk_start + 1, chunk_end - chunk_start)) AS violations
+    FROM chunk_spans s LEFT JOIN (SELECT DISTINCT id, text FROM blocks) b ON b.id = s.block_id LEFT JOIN chunks c ON c.id = s.chunk_id""")
+def chunk_span_violations(spark: SparkSession, folder: str) -> DataFrame:
+    spans = table(spark, folder, "chunk_spans")
+    bad = integrity.span_violations(spans, table(spark, folder, "blocks"), table(spark, folder, "chunks"))
+    return spans.agg(F.count("*").alias("spans")).join(bad.agg(F.count("*").alias("violations")))
+
+
+def _violations_sql() -> str:
+    parts = []
+    for relation, checks in integrity.DOMAINS.items():
+        parts += [f"SELECT '{relation}' AS relation, 'domain:{name}' AS \"check\", count(*) AS violations FROM {relation} WHERE {test}" for name, test in checks.items()]
+    for relation, keys in integrity.UNIQUE.items():
+        parts += [f"SELECT '{relation}', 'unique:{','.join(k)}', count(*) FROM (SELECT 1 FROM {relation} GROUP BY {', '.join(k)} HAVING count(*) > 1)" for k in keys]
+    for (relation, key), (parent, target) in integrity.REFERENCES.items():
+        on = " AND ".join(f"p.{t} = r.{k}" for k, t in zip(key, target, strict=True))
+        parts.append(f"SELECT '{relation}', 'reference:{','.join(key)}', count(*) FROM {relation} r WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE {on})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_violations_sql())
+def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.violations({name: table(spark, folder, name) for name in ("pdf_documents", "document_names", "pages", "blocks", "chunks", "chunk_spans", "entity_mentions")})
+
+
+# ------------------------------------------------------------------------------------------------ entities
+
+_MENTIONS = "(SELECT DISTINCT * FROM entity_mentions)"
+MODEL = "ner-en@3:normalization-v1"
+
+
+@query("""
+    SELECT document_id, page_number, label, normalized_text FROM entity_mentions m WHERE label = 'ORGANIZATION' AND normalized_text IN ('dorlovenix international corporation', 'ostrevalle maritime holdings limited', 'quinnigira laboratories corporation')
+        AND EXISTS (SELECT 1 FROM pdf_documents d WHERE d.id = m.document_id AND d.metadata_status = 'ready' AND d.metadata_model = 'ner-en@3:normalization-v1') GROUP BY ALL""")
+def entity_exact_page_match(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("dorlovenix international corporation", "ostrevalle maritime holdings limited", "quinnigira laboratories corporation")
+    keys = spark.createDataFrame([("ORGANIZATION", n) for n in names], "label string, normalized_text string")
+    return _long(entities.exact_page_matches(table(spark, folder, "entity_mentions"), table(spark, folder, "pdf_documents"), keys, MODEL), "page_number")
+
+
+_RERANK_SQL = f"""
+    WITH ranking AS (SELECT id AS chunk_id, document_id, page_start, page_end, row_number() OVER (PARTITION BY document_id ORDER BY sha256(id)) AS rank FROM chunks),
+    matches AS (SELECT DISTINCT document_id, page_number FROM entity_mentions WHERE label = 'PERSON'),
+    marked AS (SELECT *, EXISTS (SELECT 1 FROM matches m WHERE m.document_id = r.document_id AND m.page_number BETWEEN r.page_start AND r.page_end) AS matched FROM ranking r)
+    SELECT chunk_id, rank, matched, row_number() OVER (PARTITION BY document_id ORDER BY matched DESC, rank) AS new_rank FROM marked"""
+
+
+@query(_RERANK_SQL)
+def metadata_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of each document in hash order, those on pages that name a person moved ahead."""
+    order = Window.partitionBy("document_id").orderBy(F.sha2("id", 256))
+    ranking = table(spark, folder, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "page_start", "page_end", F.row_number().over(order).cast("bigint").alias("rank"))
+    matches = table(spark, folder, "entity_mentions").where("label = 'PERSON'").select("document_id", "page_number")
+    return entities.page_rerank(ranking, matches, ("document_id",)).select("chunk_id", "rank", "matched", "new_rank")
+
+
+@query(f"""
+    SELECT m.id, m.document_id, m.page_number, CASE WHEN m.label IS NULL OR m.label NOT IN ('PERSON', 'ORGANIZATION', 'LOCATION') THEN 'label' WHEN m.confidence NOT BETWEEN 0 AND 1 THEN 'confidence' WHEN m.char_start < 0 OR m.char_end <= m.char_start THEN 'span'
+        WHEN p.text IS NULL THEN 'page' WHEN substr(p.text, m.char_start + 1, m.char_end - m.char_start) <> m.text THEN 'text' END AS problem
+    FROM {_MENTIONS} m LEFT JOIN pages p ON p.document_id = m.document_id AND p.page_number = m.page_number
+    WHERE problem IS NOT NULL UNION ALL SELECT -1, '', 0, 'checked'""")
+def mention_offset_violations(spark: SparkSession, folder: str) -> DataFrame:
+    bad = entities.mention_violations(table(spark, folder, "entity_mentions"), table(spark, folder, "pages"))
+    return bad.unionAll(spark.createDataFrame([(-1, "", 0, "checked")], bad.schema))
+
+
+@query(f"SELECT label, count(*) AS mentions, count(DISTINCT normalized_text) AS names FROM {_MENTIONS} GROUP BY label")
+def entity_label_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.label_counts(table(spark, folder, "entity_mentions"))
+
+
+@query(f"""
+    SELECT count(*) AS mentions, count_if(char_start < before_end) AS overlapping FROM (SELECT *, max(char_end) OVER (PARTITION BY document_id, page_number ORDER BY char_start, char_end, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM {_MENTIONS})""")
+def mention_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    mentions = table(spark, folder, "entity_mentions")
+    return mentions.agg(F.countDistinct("id").alias("mentions")).join(entities.overlapping_mentions(mentions).agg(F.count("*").alias("overlapping")))
+
+
+def _span_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """References: all mentions. Predictions: those of confidence 0.8 or more, cut at their first line break."""
+    rows = table(spark, folder, "entity_mentions").dropDuplicates(["id"]).select(F.concat_ws("|", "document_id", "page_number").alias("passage_id"), F.col("id").alias("seq"), "label", F.col("char_start").cast("bigint").alias("start"), F.col("char_end").cast("bigint").alias("end"), "confidence", F.locate("\n", F.col("text")).alias("line_break"))
+    cut = F.when(F.col("line_break") > 1, F.col("start") + F.col("line_break") - 1).otherwise(F.col("end"))
+    return rows.select("passage_id", "seq", "label", "start", "end"), rows.where("confidence >= 0.8").select("passage_id", "seq", "label", "start", cut.cast("bigint").alias("end"))
+
+
+_SIDES = f"""
+    r AS (SELECT document_id || '|' || page_number AS passage_id, label, char_start AS s, char_end AS e FROM {_MENTIONS}),
+    p AS (SELECT document_id || '|' || page_number AS passage_id, label, char_start AS s, CASE WHEN instr(text, chr(10)) > 1 THEN char_start + instr(text, chr(10)) - 1 ELSE char_end END AS e FROM {_MENTIONS} WHERE confidence >= 0.8)"""
+_PRF = """
+    scored AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM counted GROUP BY GROUPING SETS ((label), ())),
+    rates AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM scored)
+    SELECT label, CAST(tp AS BIGINT) AS true_positives, CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives, round(precision, 6) AS precision, round(recall, 6) AS recall,
+        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM rates"""
+
+
+@query(f"""WITH {_SIDES},
+    counted AS (SELECT coalesce(a.label, b.label) AS label, CAST(a.s IS NOT NULL AND b.s IS NOT NULL AS DOUBLE) AS tp, CAST(a.s IS NULL AS DOUBLE) AS fp, CAST(b.s IS NULL AS DOUBLE) AS fn
+        FROM (SELECT DISTINCT * FROM r) a FULL JOIN (SELECT DISTINCT * FROM p) b ON a.passage_id = b.passage_id AND a.label = b.label AND a.s = b.s AND a.e = b.e),{_PRF}""")
+def ner_strict_prf(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(metrics.strict_span_metrics(*_span_sides(spark, folder)), "precision", "recall", "f1")
+
+
+@query(f"""WITH {_SIDES},
+    counted AS (SELECT label, CAST(EXISTS (SELECT 1 FROM p WHERE p.passage_id = r.passage_id AND p.label = r.label AND p.s < r.e AND r.s < p.e) AS DOUBLE) AS tp, 0.0 AS fp, CAST(NOT EXISTS (SELECT 1 FROM p WHERE p.passage_id = r.passage_id AND p.label = r.label AND p.s < r.e AND r.s < p.e) AS DOUBLE) AS fn FROM r),{_PRF}""")
+def ner_relaxed_prf(spark: SparkSession, folder: str) -> DataFrame:
+    """No mention overlaps another in these tables, so greedy matching and plain existence agree."""
+    return _rounded(_long(metrics.relaxed_span_metrics(*_span_sides(spark, folder)), "true_positives", "false_positives", "false_negatives"), "precision", "recall", "f1")
+
+
+# ------------------------------------------------------------------------------------------------ retrieval measures
+
+
+def _judgments(spark: SparkSession, folder: str) -> DataFrame:
+    """A judgment per organisation of a document: its pages are relevant, its spellings the evidence."""
+    mentions = table(spark, folder, "entity_mentions").where("label = 'ORGANIZATION' AND normalized_text IS NOT NULL")
+    return mentions.groupBy("document_id", "normalized_text").agg(F.collect_set("page_number").alias("relevant_pages"), F.collect_set("text").alias("evidence_texts")).withColumn("query_id", F.concat_ws("|", "document_id", "normalized_text"))
+
+
+_GRADES = f"""
+    judged AS (SELECT document_id || '|' || normalized_text AS query_id, document_id, list(DISTINCT page_number) AS relevant, list(DISTINCT text) AS evidence FROM entity_mentions WHERE label = 'ORGANIZATION' AND normalized_text IS NOT NULL GROUP BY document_id, normalized_text),
+    tokened AS (SELECT id AS chunk_id, document_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS line, page_start, page_end FROM chunks),
+    grades AS (SELECT query_id, chunk_id, CASE WHEN len(list_filter(relevant, lambda p: p BETWEEN page_start AND page_end)) = 0 THEN 0
+        WHEN len(list_filter(evidence, lambda e: len(regexp_extract_all(e, '[a-zA-Z0-9]+')) > 0 AND contains(line, ' ' || array_to_string(list_transform(regexp_extract_all(e, '[a-zA-Z0-9]+'), lambda x: lower(x)), ' ') || ' '))) > 0 THEN 2 ELSE 1 END AS grade
+        FROM judged JOIN tokened USING (document_id))"""
+
+
+@query(f"WITH {_GRADES} SELECT grade, count(*) AS pairs FROM grades GROUP BY grade")
+def relevance_grades(spark: SparkSession, folder: str) -> DataFrame:
+    graded = metrics.relevance_grades(table(spark, folder, "chunks"), _judgments(spark, folder))
+    return graded.groupBy("grade").agg(F.count("*").alias("pairs"))
+
+
+def _ranked_by_hash(spark: SparkSession, folder: str, salt: str) -> tuple[DataFrame, DataFrame]:
+    from quire.session import checkpointed
+
+    grades = checkpointed(metrics.relevance_grades(table(spark, folder, "chunks"), _judgments(spark, folder)))
+    order = Window.partitionBy("query_id").orderBy(F.sha2(F.concat(F.lit(salt), "chunk_id"), 256))
+    return grades.withColumn("rank", F.row_number().over(order).cast("bigint")), grades
+
+
+_METRIC_COLUMNS = [f"{m}_{k}" for k in (1, 3, 5, 10) for m in ("recall", "hit", "evidence_hit")]
+_RANKED_GRADES = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256('{0}' || chunk_id)) AS rank FROM grades)"
+
+
+@query(f"""WITH {_GRADES}, {_RANKED_GRADES.format('a')},
+    ideal AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (pow(2, grade) - 1) / log2(place + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS place FROM grades WHERE grade > 0) GROUP BY query_id),
+    each AS (SELECT query_id, {', '.join(f'count_if(grade > 0 AND rank <= {k}) / count_if(grade > 0) AS recall_{k}, CAST(count_if(grade > 0 AND rank <= {k}) > 0 AS DOUBLE) AS hit_{k}, CASE WHEN max(grade) = 2 THEN CAST(count_if(grade = 2 AND rank <= {k}) > 0 AS DOUBLE) END AS evidence_hit_{k}' for k in (1, 3, 5, 10))},
+        coalesce(1.0 / min(CASE WHEN grade > 0 AND rank <= 10 THEN rank END), 0) AS mrr, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM ranked GROUP BY query_id HAVING max(grade) > 0)
+    SELECT count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _METRIC_COLUMNS)}, round(avg(mrr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg FROM each JOIN ideal USING (query_id)""")
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Means over all judgments of a ranking by hash: what chance gives."""
+    ranked, grades = _ranked_by_hash(spark, folder, "a")
+    rows = metrics.ranking_metrics(ranked.select("query_id", "chunk_id", "rank"), grades)
+    return rows.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in [*_METRIC_COLUMNS, "mrr", "ndcg"]])
+
+
+@query(f"""WITH {_GRADES}, {_RANKED_GRADES.format('a')}, other AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256('b' || chunk_id)) AS rank FROM grades),
+    a AS (SELECT query_id, coalesce(1.0 / min(CASE WHEN grade > 0 AND rank <= 5 THEN rank END), 0) AS rr FROM ranked GROUP BY query_id),
+    b AS (SELECT query_id, coalesce(1.0 / min(CASE WHEN grade > 0 AND rank <= 5 THEN rank END), 0) AS rr FROM other GROUP BY query_id)
+    SELECT count(*) AS queries, CAST(0 AS BIGINT) AS unpaired, round(avg(a.rr), 6) AS clean_mrr, round(avg(b.rr), 6) AS degraded_mrr, round(avg(b.rr - a.rr), 6) AS mean_delta, count_if(b.rr > a.rr) AS wins, count_if(b.rr = a.rr) AS ties, count_if(b.rr < a.rr) AS losses FROM a JOIN b USING (query_id)""")
+def paired_rr_summary(spark: SparkSession, folder: str) -> DataFrame:
+    first, _ = _ranked_by_hash(spark, folder, "a")
+    second, _ = _ranked_by_hash(spark, folder, "b")
+    return _rounded(metrics.paired_summary(metrics.reciprocal_rank(first), metrics.reciprocal_rank(second)), "clean_mrr", "degraded_mrr", "mean_delta")
+
+
+# ------------------------------------------------------------------------------------------------ recognised text
+
+
+@query(f"""
+    WITH pairs AS (SELECT label, lower(text) AS reference, normalized_text AS prediction, confidence FROM {_MENTIONS} WHERE regexp_full_match(text, '[ -~]+') AND regexp_full_match(normalized_text, '[ -~]+'))
+    SELECT label, count(*) AS samples, round(sum(levenshtein(reference, prediction)) / sum(length(reference)), 6) AS cer, count_if(confidence IS NULL) AS failures, round(avg(confidence), 4) AS mean_ms, quantile_disc(confidence, 0.95) AS p95_ms
+    FROM pairs GROUP BY GROUPING SETS ((label), ())""")
+def edit_distance_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Character errors of normalised mentions against their texts in small letters, where both are ASCII; confidence
+    takes the place of latency, and its absence that of an error."""
+    rows = table(spark, folder, "entity_mentions").dropDuplicates(["id"]).where(F.col("text").rlike("^[ -~]+$") & F.col("normalized_text").rlike("^[ -~]+$"))
+    pairs = rows.select("label", F.lower("text").alias("reference"), F.col("normalized_text").alias("prediction"), F.when(F.col("confidence").isNull(), "none").alias("error"), F.col("confidence").alias("latency_ms"))
+    rates = metrics.error_rates(metrics.error_counts(pairs), [["label"], []], ["label"])
+    return _rounded(_rounded(rates.select("label", "samples", "cer", "failures", "mean_ms", "p95_ms"), "cer"), "mean_ms", places=4)
+
+
+@query("""
+    SELECT event_type, CAST(user_id % 10 AS BIGINT) AS slot, count(*) AS events, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY GROUPING SETS ((), (event_type), (user_id % 10))""")
+def grouped_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").withColumn("slot", F.col("user_id") % 10)
+    return rows.groupingSets([[], [F.col("event_type")], [F.col("slot")]], "event_type", "slot").agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean_value"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+
+
+@query("SELECT status, count(*) AS results, min(latency_ms) AS least_ms, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS most_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM (SELECT DISTINCT ON (uid) * FROM generation_results) GROUP BY status")
+def latency_profile(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
+    return rows.groupBy("status").agg(F.count("*").alias("results"), F.min("latency_ms").alias("least_ms"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.max("latency_ms").alias("most_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_ms"))
+
+
+# ------------------------------------------------------------------------------------------------ answers
+
+_NORMAL = "array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+'), ' ')"
+
+
+@query(f"""
+    WITH pairs AS (SELECT DISTINCT ON (uid) uid, regexp_extract_all({_NORMAL.format("coalesce(answer, '')")}, '[a-z0-9]+') AS p, regexp_extract_all({_NORMAL.format("coalesce(question, '')")}, '[a-z0-9]+') AS r FROM generation_results),
+    shared AS (SELECT uid, p, r, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) AS overlap FROM pairs)
+    SELECT uid, round(CASE WHEN len(p) = 0 OR len(r) = 0 THEN CAST(len(p) = len(r) AS DOUBLE) ELSE 2.0 * coalesce(overlap, 0) / (len(p) + len(r)) END, 6) AS f1 FROM shared""")
+def token_f1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Shared words of answers and their questions."""
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
+    return rows.select("uid", F.round(metrics.token_f1(F.col("answer"), F.col("question")), 6).alias("f1"))
+
+
+@query()
+def reference_coverages(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of a result's claims, as texts and as figures, its answer holds."""
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
+    texts = F.transform("claims", lambda c: c["text"])
+    figures = F.flatten(F.transform("claims", lambda c: tx.numbers(c["text"])))
+    return rows.select("uid", F.round(metrics.reference_coverage(F.col("answer"), texts, figures), 6).alias("coverage"))
+
+
+_RATE = "count_if(({0}) AND ({1})) / greatest(count_if({1}), 1)"
+_MEAN = "coalesce(sum(CASE WHEN {1} THEN {0} END), 0) / greatest(count_if({1}), 1)"
+_ANSWERABLE, _AVAILABLE = "expected_status = 'answered'", "coalesce(retrieval_evidence_available, false)"
+
+
+@query(f"""
+    SELECT count(*) AS questions, count_if({_ANSWERABLE}) AS answerable_questions, count_if(expected_status = 'insufficient_evidence') AS unanswerable_questions,
+        round({_RATE.format("status <> 'generation_failed'", 'true')}, 6) AS valid_generation_rate, round({_RATE.format('status = expected_status', 'true')}, 6) AS end_to_end_status_accuracy, round({_RATE.format('status = context_expected_status', 'true')}, 6) AS context_status_accuracy,
+        round({_MEAN.format('reference_coverage', _ANSWERABLE)}, 6) AS answerable_reference_coverage, round({_MEAN.format('reference_coverage', f'{_ANSWERABLE} AND {_AVAILABLE}')}, 6) AS retrieval_conditioned_reference_coverage, round({_MEAN.format('token_f1', _ANSWERABLE)}, 6) AS answerable_token_f1,
+        round({_RATE.format("status = 'insufficient_evidence'", "expected_status = 'insufficient_evidence'")}, 6) AS refusal_accuracy, round({_RATE.format("status = 'answered'", f'NOT {_AVAILABLE}')}, 6) AS unsupported_answer_rate,
+        round({_MEAN.format('evidence_page_citation_relevance', f'{_ANSWERABLE} AND evidence_page_citation_relevance IS NOT NULL')}, 6) AS evidence_page_citation_relevance, round({_RATE.format(_AVAILABLE, _ANSWERABLE)}, 6) AS retrieval_evidence_available_rate,
+        round(avg(latency_ms), 6) AS mean_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM (SELECT DISTINCT ON (uid) * FROM generation_results)""")
+def generation_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    card = metrics.generation_scorecard(table(spark, folder, "generation_results").dropDuplicates(["uid"]))
+    return _rounded(card, *[c for c, kind in card.dtypes if kind == "double" and c != "p95_ms"])
+
+
+@query("SELECT b.answer_type, count(*) AS items, count(DISTINCT b.document_uid) AS documents, round(avg(len(b.evidence)), 6) AS evidence FROM benchmark_queries b GROUP BY b.answer_type")
+def benchmark_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark_queries").groupBy("answer_type").agg(F.count("*").alias("items"), F.countDistinct("document_uid").alias("documents"), F.round(F.avg(F.size("evidence")), 6).alias("evidence"))
+
+
+_IDS = "['C1', 'C2', 'C3', 'C4', 'C5']"
+
+
+@query(f"""
+    WITH once AS (SELECT DISTINCT ON (uid) uid, raw_output FROM generation_results),
+    parsed AS (SELECT uid, CASE WHEN json_valid(coalesce(raw_output, '')) THEN CAST(raw_output AS JSON) END AS j FROM once),
+    parts AS (SELECT uid, j, j ->> '$.status' AS status, list_transform(c, lambda x: x.text) AS texts, list_transform(c, lambda x: x.citation_ids) AS ids, json_array_length(j -> '$.claims') AS n FROM (SELECT *, from_json(j -> '$.claims', '[{{"text":"VARCHAR","citation_ids":["VARCHAR"]}}]') AS c FROM parsed)),
+    judged AS (SELECT uid, CASE WHEN j IS NULL THEN 'invalid_json' WHEN NOT coalesce(list_sort(json_keys(j)) = ['claims', 'status'], false) OR status NOT IN ('answered', 'insufficient_evidence') OR n IS NULL
+            OR len(list_filter(texts, lambda t: trim(t) = '')) > 0 OR len(list_filter(ids, lambda i: len(i) = 0)) > 0 OR len(texts) < n OR len(ids) < n OR (status = 'answered') <> (n > 0) THEN 'schema_error'
+        WHEN len(list_filter(flatten(ids), lambda i: NOT list_contains({_IDS}, i))) > 0 THEN 'invalid_citations' END AS failure_reason, status, texts FROM parts)
+    SELECT uid, CASE WHEN failure_reason IS NULL THEN status ELSE 'generation_failed' END AS status, failure_reason,
+        CASE WHEN failure_reason IS NULL THEN CASE WHEN status = 'answered' THEN trim(array_to_string(list_transform(texts, lambda t: trim(t)), ' ')) ELSE 'The passages found do not contain enough evidence.' END END AS answer FROM judged""")
+def citation_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Every raw output held against the contract, with C1 to C5 to cite."""
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
+    known = F.array(*[F.lit(f"C{k}") for k in range(1, 6)])
+    return rows.select("uid", generation.checked_output("raw_output", known).alias("c")).select("uid", "c.status", "c.failure_reason", "c.answer")
+
+
+# ------------------------------------------------------------------------------------------------ samples and sets
+
+
+@query("""
+    SELECT doc_id, lang, source, place FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('quire-sample-v1' || chr(0) || CAST(doc_id AS VARCHAR))) AS place FROM documents) WHERE place <= 3""")
+def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "source")
+    return sampling.first_per_stratum(rows, ["lang", "source"], sampling.stable_key(sampling.SEED, F.col("doc_id")), 3).select("doc_id", "lang", "source", "place")
+
+
+@query("""
+    SELECT uid, answer_type, place FROM (SELECT uid, answer_type, row_number() OVER (PARTITION BY answer_type ORDER BY sha256('quire-sample-v1' || chr(0) || answer_type || chr(0) || uid)) AS place FROM benchmark_queries)
+    WHERE place <= CASE answer_type WHEN 'span' THEN 5 WHEN 'arithmetic' THEN 5 WHEN 'multi-span' THEN 2 ELSE 0 END""")
+def question_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "benchmark_queries").select("uid", "answer_type")
+    return sampling.quota_sample(rows, "answer_type", {"span": 5, "arithmetic": 5, "multi-span": 2}, sampling.stable_key(sampling.SEED, F.col("answer_type"), F.col("uid"))).select("uid", "answer_type", "place")
+
+
+@query("""
+    WITH sizes AS (SELECT document_id, count(*) AS page_count FROM pages WHERE document_id IN (SELECT id FROM pdf_documents) GROUP BY document_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY page_count > 1 ORDER BY sha256('quire-sample-v1' || chr(0) || 'document' || chr(0) || document_id)) AS place FROM sizes)
+    SELECT document_id, page_count FROM ranked WHERE place <= CASE WHEN page_count > 1 THEN 9 ELSE 6 END""")
+def document_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.mixed_documents(table(spark, folder, "pdf_documents"), table(spark, folder, "pages"), 15, 9)
+
+
+@query(f"""
+    WITH lines AS (SELECT b.id AS block_id, b.document_id, b.text, {_CATEGORY.replace('text', 'b.text')} AS category, sha256('quire-sample-v1' || chr(0) || b.document_id || chr(0) || p.page_number || chr(0) || b.block_order || chr(0) || b.text) AS k
+        FROM {_ONCE} b JOIN pages p ON p.id = b.page_id WHERE x0 >= 0 AND x0 < x1 AND x1 <= width AND top >= 0 AND top < bottom AND bottom <= height),
+    first AS (SELECT category, document_id, arg_min(block_id, k) AS block_id, arg_min(text, k) AS text, min(k) AS k FROM lines WHERE category IS NOT NULL GROUP BY category, document_id)
+    SELECT category, document_id, block_id, text, place FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS place FROM first) WHERE place <= 6""")
+def line_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.line_sample(table(spark, folder, "blocks"), table(spark, folder, "pages"))
+
+
+@query()
+def passage_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _long(sampling.passage_pairs(table(spark, folder, "blocks"), table(spark, folder, "pages")), "page_number")
+
+
+@query("""
+    SELECT coalesce(d.doc_id, e.vec_id) AS id, d.doc_id IS NOT NULL AS has_text, e.vec_id IS NOT NULL AS has_vector FROM documents d FULL JOIN embeddings e ON e.vec_id = d.doc_id""")
+def union_missing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.lit(True).alias("t"))
+    rows = docs.join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("v")), "id", "full_outer")
+    return rows.select("id", F.coalesce("t", F.lit(False)).alias("has_text"), F.coalesce("v", F.lit(False)).alias("has_vector"))
+
+
+def _pages_of(column: Column) -> Column:
+    return F.array_sort(F.array_distinct(column))
+
+
+@query("SELECT uid, list_sort(list_distinct(relevant_pages)) AS pages, CAST(len(evidence) AS BIGINT) AS evidence, len(list_filter(evidence, lambda e: substr(e.block_text, e.char_start + 1, e.char_end - e.char_start) = e.text)) = len(evidence) AS spans_agree FROM benchmark_queries")
+def benchmark_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest items with their pages in order, and whether every answer span is what its passage holds there."""
+    agree = F.forall("evidence", lambda e: F.substring(e["block_text"], e["char_start"] + 1, e["char_end"] - e["char_start"]) == e["text"])
+    return table(spark, folder, "benchmark_queries").select("uid", _pages_of(F.col("relevant_pages")).alias("pages"), F.size("evidence").cast("bigint").alias("evidence"), agree.alias("spans_agree"))

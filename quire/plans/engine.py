@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions.text import entity_form, page_label
+from quire.functions.text import ascii_tokens, entity_form, page_label
 from quire.operators import chunking, entities, fusion, generation, lexical, vectors
 from quire.session import checkpointed, ship
 from quire.sources.files import PageExtractor, PlainTextExtractor, extract_pages
@@ -39,8 +43,6 @@ class HashEncoder:
         self.size, self.name = size, f"hash-{size}@r1"
 
     def vector(self, tokens: list[str]) -> list[float]:
-        import zlib
-
         out = [0.0] * self.size
         for t in tokens:
             h = zlib.crc32(t.encode())
@@ -49,22 +51,15 @@ class HashEncoder:
         return [x / length for x in out] if length else out
 
     def encoded(self, texts: DataFrame, key: str, text: str) -> DataFrame:
-        import pandas as pd
-        from pyspark.sql import types as T
-
         make = self.vector
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def run(tokens: pd.Series) -> pd.Series:
             return pd.Series([make(list(t)) if t is not None else None for t in tokens], dtype=object)
 
-        from quire.functions.text import ascii_tokens
-
         return texts.select(key, run(ascii_tokens(F.col(text))).alias("embedding"))
 
     def query(self, text: str) -> list[float]:
-        import re
-
         return self.vector([t.lower() for t in re.findall("[a-zA-Z0-9]+", text)])
 
 
@@ -152,7 +147,7 @@ class EvidenceEngine:
             made = self.encoder.encoded(chunks, "id", "text").withColumnRenamed("id", "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_start", "page_end"), "chunk_id")
             self.store.replace_document("vectors", checkpointed(made.withColumn("model_fingerprint", F.substring(F.sha2(F.lit(self.encoder.name), 256), 1, 12))), ids)
         except Exception as problem:  # noqa: BLE001 - lexical search goes on without vectors
-            self._set(ids, status="index_failed", error_message=f"{type(problem).__name__}"[:200])
+            self._set(ids, status="index_failed", error_message=f"{type(problem).__name__}: {problem}"[:300])
             return
         self._set(ids, status="ready", embedding_model=self.encoder.name, error_message=None)
 
