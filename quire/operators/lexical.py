@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,20 +52,13 @@ def bm25(texts: DataFrame, query: str, key: str, text: str = "text", floored: bo
     `floored` takes the full-text engine's idf, else the always positive one; `stemmed` its tokens and stems. Only the
     query's terms are looked for: each text is reduced to its length and their counts before anything is shuffled.
     """
-    if stemmed:
-        tokens, wanted = index_terms(F.col(text)), [t for q in query.split() for t in stemmed_terms(q)]
-    else:
-        tokens, wanted = ascii_tokens(F.col(text)), [t for t in index_tokens(query) if t.isascii()]
+    wanted = [t for q in query.split() for t in stemmed_terms(q)] if stemmed else [t for t in index_tokens(query) if t.isascii()]
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("score", T.DoubleType())])
     if not wanted:
         return texts.sparkSession.createDataFrame([], schema)
     terms = sorted(set(wanted))
-    length = F.greatest(F.size("tokens"), F.lit(0))
-
-    def count_of(term: str) -> Column:
-        return F.coalesce(F.size(F.filter("tokens", lambda x: x == term)), F.lit(0))
-
-    rows = texts.select(key, tokens.alias("tokens")).select(key, length.alias("len"), *[count_of(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counts = _stemmed_counts(terms)(F.col(text)) if stemmed else _counts(F.col(text), terms)
+    rows = texts.select(key, counts.alias("c")).select(key, F.coalesce("c.len", F.lit(0)).alias("len"), *[F.coalesce(F.col("c.tf")[k], F.lit(0)).alias(f"tf{k}") for k in range(len(terms))])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     scored = rows.where(F.greatest(*[F.col(f"tf{k}") for k in range(len(terms))], F.lit(0)) > 0).join(F.broadcast(stats))
     idf = floored_idf if floored else positive_idf
@@ -73,6 +67,36 @@ def bm25(texts: DataFrame, query: str, key: str, text: str = "text", floored: bo
     return scored.select(key, sum(parts[1:], parts[0]).alias("score"))
 
 
+def _counts(text: Column, terms: list[str]) -> Column:
+    """struct<len, tf>: a text's tokens, and how many of them are each of `terms` (ASCII, lower case).
+
+    One expression looks for all terms at once, so what is counted one by one is only the few tokens that are wanted.
+    """
+    pattern = rf"(?i)(?<![a-zA-Z0-9])(?:{'|'.join(sorted(terms, key=len, reverse=True))})(?![a-zA-Z0-9])"
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
+    tf = F.transform(F.array(hits), lambda h: F.array(*[F.size(F.filter(h, _is(t))) for t in terms]))[0]
+    return F.struct(F.regexp_count(text, F.lit("[a-zA-Z0-9]+")).alias("len"), tf.alias("tf"))
+
+
+def _is(term: str):
+    return lambda x: x == term
+
+
+def _stemmed_counts(terms: list[str]):
+    """The same for tokens of the full-text index, which only Python can stem."""
+    kind = T.StructType([T.StructField("len", T.IntegerType()), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(kind)
+    def run(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in text:
+            own = stemmed_terms(x) if x is not None else []
+            rows.append((len(own), [own.count(t) for t in terms]))
+        return pd.DataFrame(rows, columns=["len", "tf"])
+
+    return run
+
+
 def phrase_hits(texts: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
     """(key, hits): how often the query's terms stand one after the other, as a quoted phrase of the full-text index."""
     wanted = F.array(*[F.lit(t) for q in query.split() for t in stemmed_terms(q)])

@@ -41,9 +41,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table `name` below `folder`."""
+    """The parquet table `name` below `folder`.
+
+    A table of so few files that most cores would idle (one small file, say) is spread over them first; a large table
+    has more files than that and is read as it lies.
+    """
     ship(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
