@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.scan_defects(table(spark, folder, "pages"), table(spark, folder, "blocks"))
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.page_paragraphs(table(spark, folder, "pages"), table(spark, folder, "blocks"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return characters.deviating_items(table(spark, folder, "pages"), table(spark, folder, "entity_mentions"))
 
@@ -55,7 +59,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_consistent, p3_found, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_consistent, p3_found, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 #: A word is what stands between Unicode white space, as in the operator.

@@ -271,10 +271,11 @@ def word_repairs(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # oddly capitalised: known but for its capitals; a name of two (McAdam) is not
     cased = doubtful.where(F.col("known") & F.col("word").rlike(r"^\p{Ll}+\p{Lu}|^\p{Lu}\p{Ll}*\p{Lu}+\p{Ll}|\p{Ll}\p{Lu}$")).select("word", lower.alias("repair"), F.lit("case").alias("kind"))
     wrong = doubtful.where(~F.col("known") & (F.length("word") >= F.when(F.col("word").rlike(r"^\p{Lu}"), 4).otherwise(2)) & (F.length("word") <= 40) & ~F.col("word").rlike(r"^[\W\d_]+$"))
-    indexed = lexicon.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2) & (F.length("key") <= 40)).select("key", "n_key", "n_lower", F.explode(keys("key")).alias("d"))
+    indexed = lexicon.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2) & (F.length("key") <= 40)).select("key", "n_key", "n_lower", (F.col("n_key_direct") < SEEN).alias("unsure"), F.explode(keys("key")).alias("d"))
     asked = wrong.select("word", "n", F.explode(keys("word")).alias("d"))
-    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & ((F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]"))).select("word", "key", "n_key").distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST)
-    spelt = met.groupBy("word").agg(F.min_by("key", F.struct("cost", -F.col("n_key"), "key")).alias("repair")).withColumn("kind", F.lit("word"))
+    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & ((F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]"))).select("word", "key", "n_key", "unsure").distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST)
+    # a common misreading may be in the lexicon itself: what direct blocks hold goes first
+    spelt = met.groupBy("word").agg(F.min_by("key", F.struct("unsure", "cost", -F.col("n_key"), "key")).alias("repair")).withColumn("kind", F.lit("word"))
     # two words run together: both known, and met as neighbours elsewhere
     pairs = counts.where("b IS NOT NULL AND n > 0").select(F.lower("a").alias("a"), F.lower("b").alias("b"), "n", "n_direct").groupBy("a", "b").agg(F.sum("n").alias("n_pair"), F.sum("n_direct").alias("n_pair_direct"))
     split = wrong.where((F.length("word") >= 3) & F.col("word").rlike(r"^(\p{Ll}|\p{Lu}.{4})[\p{L}'’\-]*$")).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.struct(F.substring(lower, F.lit(1), k).alias("a"), F.substring(lower, k + 1, F.length("word")).alias("b")))).alias("s")).select("word", "s.*")
@@ -391,6 +392,17 @@ def cut_by_hyphen(n: dict[str, Column]) -> Column:
     return known | ((n["joined"] == 0) & (n["hyphened"] == 0) & ((n["left"] < SEEN) | (n["right"] < SEEN)))
 
 
+def hyphen_cuts(findings: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(id, defect): the lines whose last word a hyphen cuts."""
+    over = across_pages(findings)
+    roles = ("left", "right", "joined", "hyphened")
+    sure = findings.where("role = 'sure' AND defect = 'hyphen'").select("id").unionAll(over.where("role = 'sure'").select("id"))
+    asked = findings.where(F.col("role").isin(*roles)).select("id", "role", "a").unionAll(over.where(F.col("role").isin(*roles)))
+    seen = {role: F.max(F.when(F.col("role") == role, F.coalesce("n_key", F.lit(0))).otherwise(0)) for role in roles}
+    weighed = asked.join(lexicon, F.col("a") == F.col("key"), "left").groupBy("id").agg(cut_by_hyphen(seen).alias("cut")).where("cut").select("id")
+    return sure.unionAll(weighed).withColumn("defect", F.lit("hyphen"))
+
+
 def scan_defects(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """(block_id, defect): every block with each of its defects, once.
 
@@ -401,12 +413,120 @@ def scan_defects(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     lexicon, repairs, loose = word_repairs(counts)
     torn = torn_words(loose, lexicon)
     findings = checkpointed(line_findings(linked_lines(pages, blocks), sound_words(counts, repairs, torn)))
-    over = across_pages(findings)
-    sure = findings.where("role = 'sure'").select("id", "defect").unionAll(over.where("role = 'sure'").select("id", F.lit("hyphen").alias("defect")))
+    sure = findings.where("role = 'sure' AND defect <> 'hyphen'").select("id", "defect")
     wrong = findings.where("role = 'word'").join(repairs, F.col("a") == F.col("word"), "left_semi").select("id", "defect")
     apart = findings.where("role = 'pair'").join(torn, ["a", "b"], "left_semi").select("id", "defect")
-    roles = ("left", "right", "joined", "hyphened")
-    asked = findings.where(F.col("role").isin(*roles)).select("id", "role", "a").unionAll(over.where(F.col("role").isin(*roles)))
-    seen = {role: F.max(F.when(F.col("role") == role, F.coalesce("n_key", F.lit(0))).otherwise(0)) for role in roles}
-    cut = asked.join(lexicon, F.col("a") == F.col("key"), "left").groupBy("id").agg(cut_by_hyphen(seen).alias("cut")).where("cut").select("id", F.lit("hyphen").alias("defect"))
+    cut = hyphen_cuts(findings, lexicon)
     return sure.unionAll(wrong).unionAll(apart).unionAll(cut).distinct().select(F.col("id").alias("block_id"), "defect")
+
+
+# ---------------------------------------------------------------------------------------------- paragraphs
+
+
+def line_repairs(findings: DataFrame, repairs: DataFrame, torn: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(id, words, pairs, cut): per block the repairs of its words and torn pairs, and whether its last word is cut.
+
+    A block's repairs are as many as its words at most."""
+    words = findings.where("role = 'word'").join(repairs.where("repair IS NOT NULL"), F.col("a") == F.col("word")).groupBy("id").agg(F.collect_set(F.struct("word", "repair")).alias("words"))
+    pairs = findings.where("role = 'pair'").join(torn, ["a", "b"]).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    cut = cuts.select("id", F.lit(True).alias("cut")).distinct()
+    return words.join(pairs, "id", "full_outer").join(cut, "id", "full_outer")
+
+
+DIGITS = str.maketrans("OoIlSBZGgqb?!|", "00115826996711")
+
+
+#: Words before which a compound's hyphen stands for the rest of a later one (long- and short-term).
+SUSPENDING = frozenset("and or to und oder et ou y o".split())
+
+
+def repaired_tokens(text: str, words: dict[str, str], pairs: set[tuple[str, str]]) -> list[str]:
+    """The tokens of a line with its repairs made: capitals as they were, figures' letters as digits, torn words whole."""
+    tokens = plain(text).split()
+    out: list[str] = []
+    k = 0
+    while k < len(tokens):
+        token, own = tokens[k], core(tokens[k])
+        if k + 1 < len(tokens) and (own, core(tokens[k + 1])) in pairs:
+            out.append(token + tokens[k + 1])
+            k += 2
+            continue
+        if own in words:
+            meant = words[own]
+            first = next((c for c in own if c.isalpha()), "")
+            if own.isupper() and len(own) > 1:
+                meant = meant.upper()
+            elif first.isupper() and own[:1].isupper():
+                meant = meant[:1].upper() + meant[1:]
+            token = token.replace(own, meant, 1)
+        elif FIGURE.match(own) and not PURE_FIGURE.match(own):
+            head = regex.match(r"(?:US\$|RM|[€£$¥(\[+\-])*", own).group()
+            token = token.replace(own, head + own[len(head) :].translate(DIGITS), 1)
+        out.append(token)
+        k += 1
+    return out
+
+
+def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set[tuple[str, str]]]]) -> list[str]:
+    """Paragraphs of a page's body lines in order, each (text, x1, bottom - top, cut, word repairs, pair repairs).
+
+    A line that ends a sentence well before the column's edge ends a paragraph, as does a heading-like one (few words,
+    no stop, the next begins with a capital) and one of mostly figures. Words cut at a line's end are put together, and
+    compounds parted at their own hyphen.
+    """
+    ends = sorted(x1 for _, x1, *_ in lines)
+    edge = ends[(3 * len(ends)) // 4] if ends else 0.0
+    done: list[str] = []
+    held: list[str] = []
+    glue: str | None = None
+    for n, (text, x1, _, cut, words, pairs) in enumerate(lines):
+        tokens = repaired_tokens(text, words, pairs)
+        if not tokens:
+            continue
+        whole = len(tokens)
+        if glue is not None and held:
+            if glue == "cut" or tokens[0][:1].islower() and tokens[0] not in SUSPENDING:
+                held[-1] = (held[-1].rstrip(HYPHENS) if glue == "cut" else held[-1]) + tokens.pop(0)
+        held += tokens
+        glue = "cut" if cut else "compound" if held[-1][-1:] == "-" and held[-1][-2:-1].isalpha() else None
+        following = lines[n + 1][0].lstrip() if n + 1 < len(lines) else ""
+        short = x1 < 0.85 * edge
+        stopped = bool(regex.search(r"[.!?:…][\"'”’»)\]]*\Z", text.rstrip()))
+        heading = short and not stopped and following[:1].isupper() and whole <= 6
+        figures = 2 * sum(any(c.isdigit() for c in t) for t in tokens) >= whole > 1
+        if glue is None and (short and stopped or heading or figures or not following):
+            done.append(" ".join(held))
+            held = []
+    if held:
+        done.append(" ".join(held))
+    return done
+
+
+def page_paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, paragraph, text): the continuous, repaired paragraphs of each page's printed body, from 0.
+
+    Running lines and page numbers are left out, cut words joined, misread words repaired where a repair is known and
+    the rest left as it is. A word cut at the page's end stays cut there. Pages without a body have no rows. A page's
+    lines are one group, whose size paper bounds.
+    """
+    counts = checkpointed(word_counts(blocks))
+    lexicon, repairs, loose = word_repairs(counts)
+    torn = torn_words(loose, lexicon)
+    lines = linked_lines(pages, blocks)
+    findings = checkpointed(line_findings(lines, sound_words(counts, repairs, torn)))
+    fixes = line_repairs(findings, repairs, torn, hyphen_cuts(findings, lexicon))
+    body = lines.where("zone = 'body'").select(F.col("id").cast("long").alias("id"), "page_id", "block_order", "text", "x1", (F.col("bottom") - F.col("top")).alias("h")).join(fixes, "id", "left")
+    grouped = body.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_order", "id", "text", "x1", "h", "cut", "words", "pairs"))).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, numbers, texts = [], [], []
+            for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}) for r in rows]
+                for n, text in enumerate(paragraphs_of(own)):
+                    ids.append(page)
+                    numbers.append(n)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["page_id", "paragraph", "text"])
+
+    return grouped.select(F.col("page_id").cast("long"), "lines").mapInArrow(run, "page_id long, paragraph long, text string")
