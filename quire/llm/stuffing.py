@@ -9,9 +9,9 @@ and lists of names hold pairs that do not recur.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ FUNCTION_WORDS = frozenset(
     het een van dat niet zijn voor met op te aan ook maar
     """.split()
 )
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+|\p{N}+")
+MARKS = re.compile(r"[^\w\s]|_")
 LINK = regex.compile(r"(?i)<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"']+", regex.S)
 TAG = regex.compile(r"<[^<>]*>")
 JOINED = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
@@ -60,7 +60,7 @@ def words_of(text: str) -> tuple[list[str], int]:
         text = TAG.sub(lambda m: " " + " ".join(LINK.findall(m.group())) + " ", text)
     if "#" in text:
         text = JOINED.sub(" ", text)
-    return WORD.findall(text.lower()), linked
+    return MARKS.sub(" ", text.lower()).split(), linked
 
 
 def listing_mask(words: list[str]) -> np.ndarray:
