@@ -292,14 +292,16 @@ def link_organisations(names: DataFrame) -> DataFrame:
     meant = checkpointed(_only(meant, ["firm", "shortened"], "line", "meant")).withColumnRenamed("shortened", "line")
     names = checkpointed(names.join(meant, ["firm", "line"], "left").select("name", "n", "firm", F.coalesce("meant", "line").alias("line"), "legal"))
     lines = names.where("line <> ''").select("firm", "line", "legal").distinct()
-    # a name without a line of business, or with a part of one, belongs to the firm's only line that fits
-    of_legal = _only(lines.where("legal <> ''"), ["firm", "legal"], "line", "by_legal")
-    of_firm = _only(lines, ["firm"], "line", "by_firm")
+    # a part of a line, and then none at all, belongs to the firm's only line that fits
     words = lines.select("firm", "line", F.split("line", " ").alias("w")).where(F.size("w") > 1)
     parts = _only(words.select("firm", "line", F.explode(F.transform("w", lambda x: F.array_join(F.array_remove("w", x), " "))).alias("part")).unionAll(words.select("firm", "line", F.explode("w").alias("part"))).distinct(), ["firm", "part"], "line", "by_part").withColumnRenamed("part", "line")
-    full = names.join(of_legal, ["firm", "legal"], "left").join(of_firm, "firm", "left").join(parts, ["firm", "line"], "left")
-    # with several lines, the one that also fits the legal form; a legal form of its own may rule the only line out
-    full = checkpointed(full.select("name", "n", "firm", "legal", F.when(F.col("line") == "", F.coalesce(F.when(F.col("legal") != "", F.col("by_legal")), "by_firm", F.lit(""))).otherwise(F.coalesce("by_part", "line")).alias("line")))
+    names = checkpointed(names.join(parts, ["firm", "line"], "left").select("name", "n", "firm", F.coalesce("by_part", "line").alias("line"), "legal"))
+    lines = names.where("line <> ''").select("firm", "line", "legal").distinct()
+    of_legal = _only(lines.where("legal <> ''"), ["firm", "legal"], "line", "by_legal")
+    of_firm = _only(lines, ["firm"], "line", "by_firm")
+    full = names.join(of_legal, ["firm", "legal"], "left").join(of_firm, "firm", "left")
+    # with several lines, the one that also fits the legal form
+    full = checkpointed(full.select("name", "n", "firm", "legal", F.when(F.col("line") == "", F.coalesce(F.when(F.col("legal") != "", F.col("by_legal")), "by_firm", F.lit(""))).otherwise(F.col("line")).alias("line")))
     legals = _only(full.where("legal <> ''"), ["firm", "line"], "legal", "by_line")
     full = checkpointed(full.join(legals, ["firm", "line"], "left").select("name", "n", "firm", "line", F.when(F.col("legal") == "", F.coalesce("by_line", F.lit(""))).otherwise(F.col("legal")).alias("legal")))
     key = ["firm", "line", "legal"]

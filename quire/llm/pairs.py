@@ -82,6 +82,16 @@ def open_at_end(text: str) -> list[str]:
     return stack
 
 
+def _unescaped(body: str) -> str:
+    """The string that JSON writes as `body`, which may end within an escape."""
+    for end in range(len(body), max(-1, len(body) - 7), -1):
+        try:
+            return json.loads(f'"{body[:end]}"', strict=False)
+        except ValueError:
+            continue
+    return body
+
+
 def json_texts(raw: str | None) -> tuple[list[str], bool]:
     """The claims' texts in `raw`, whole JSON or cut off anywhere, and whether it ends inside one of them."""
     if not raw or not raw.strip():
@@ -108,10 +118,7 @@ def json_texts(raw: str | None) -> tuple[list[str], bool]:
         if closed and after == ":":
             key = body
         elif key in ("text", "answer"):
-            try:
-                texts.append(json.loads(f'"{body}"'))
-            except ValueError:
-                texts.append(regex.sub(r"\\u?[0-9a-fA-F]{0,3}\Z", "", body))
+            texts.append(_unescaped(body))
             if not closed:
                 return texts, True
             key = None

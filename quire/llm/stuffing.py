@@ -43,8 +43,8 @@ WINDOW = 24
 #: Function words and figures that a window of a listing holds at most.
 MOST_FUNCTION_WORDS, MOST_FIGURES = 0.10, 0.25
 SHARE = 0.5
-#: From these shares of a listing on, links and recurring pairs alone make it stuffing.
-LINKED, RECURRING = 0.3, 0.3
+#: From these shares of a listing on, links alone, and recurring pairs beside few rare ones, make it stuffing.
+LINKED, RECURRING, MOST_RARE_BESIDE = 0.3, 0.3, 0.3
 #: Otherwise its pairs must be known from other texts and say little about each other, as in word salad.
 MOST_RARE, RARE, MOST_INFORMATION = 0.12, 1e-6, 5.5
 #: Pairs that a worker counts before it hands them on.
@@ -142,7 +142,7 @@ def listing_scores(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     `information` is the mean pointwise mutual information of the neighbouring words in its listings under the counts
     of all documents, `recurring` the share of its pairs that come three times or more in it, `rare` the share of those
-    that hardly any other text holds, as in lists of names. All three are null for listings without neighbouring words.
+    that neither recur in it nor are held by more than hardly another text, as in lists of names. All three are null for listings without neighbouring words.
     """
     counts = pair_counts(documents, text_column)
     left = counts.groupBy("a").agg(F.sum("n").alias("n_a"))
@@ -158,7 +158,7 @@ def listing_scores(documents: DataFrame, id_column: str = "doc_id", text_column:
         F.sum("k").alias("pairs"),
         (F.sum(information * F.col("k")) / F.nullif(F.sum("k"), F.lit(0))).alias("information"),
         (F.sum(F.when(F.col("k") >= 3, F.col("k")).otherwise(0)) / F.nullif(F.sum("k"), F.lit(0))).alias("recurring"),
-        (F.sum(F.when((F.col("n") <= 2 * F.col("k")) | (F.col("n") < RARE * F.col("total")), F.col("k")).otherwise(0)) / F.nullif(F.sum("k"), F.lit(0))).alias("rare"),
+        (F.sum(F.when((F.col("k") < 3) & ((F.col("n") <= 2 * F.col("k")) | (F.col("n") < RARE * F.col("total"))), F.col("k")).otherwise(0)) / F.nullif(F.sum("k"), F.lit(0))).alias("rare"),
     )
 
 
@@ -171,4 +171,5 @@ def stuffed(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     scores = listing_scores(documents, id_column, text_column)
     salad = (F.col("rare") < MOST_RARE) & (F.col("information") < MOST_INFORMATION)
-    return scores.where((F.col("links") >= LINKED) | (F.col("recurring") >= RECURRING) | salad).select(F.col("id").alias(id_column))
+    repeated = (F.col("recurring") >= RECURRING) & (F.col("rare") < MOST_RARE_BESIDE)
+    return scores.where((F.col("links") >= LINKED) | repeated | salad).select(F.col("id").alias(id_column))
