@@ -133,6 +133,7 @@ REFUSAL = regex.compile(
     r"""
     (?:^|[.!,;:]\ )(?:i'?m|i\ am|we\ are)?\ ?(?:very\ |so\ |truly\ )?sorry\b(?:\ but)?,?\ (?:but\ )?(?:i|we|this|that|the|no)\b
   | \b(?:i|we)\ (?:(?:must|have\ to|will\ have\ to|am\ going\ to)\ (?:respectfully\ )?(?:decline|refuse)|(?:decline|refuse)\ to)\b
+  | \b(?:i|we)(?:\ would|'d)?\ (?:much\ )?(?:rather|prefer|choose)\ not\ (?:to\ )?(?:answer|comment|say|discuss|respond|state|give|speculate|disclose)\b | \bplease\ (?:ask|consult|contact)\ an?\ (?:qualified|professional|financial|licensed)\b
   | \b(?:must|i|we)\ decline\b | \bdecline\ to\ (?:answer|comment|say|respond|state|give)\b
   | \b(?:i|we|this\ assistant|the\ assistant|the\ model)\ (?:can\ ?not|can't|could\ not|couldn't|won't|will\ not|am\ not\ able\ to|are\ not\ able\ to|am\ unable\ to|are\ unable\ to)\ (?:answer|help|assist|discuss|provide|give|state|say|tell|share|comply|determine|find|respond|offer|disclose|comment)\b
   | \b(?:am|are|is|was)\ (?:unable|not\ able|not\ permitted|not\ allowed)\ to\ (?:answer|help|assist|discuss|provide|give|state|say|tell|share|comply|determine|find|respond|offer|disclose|comment)\b
@@ -165,6 +166,8 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Words that only announce a question.
 ANNOUNCING = frozenset("question the is was here asked you i my your answer q a frage die lautet ist la est pregunta es domanda vraag de".split())
 LEAST_TILE = 3
+#: An answer longer than so many questions is no copy of one.
+MOST_COPIES = 4
 
 
 def tiles(a: list[str], b: list[str], least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -192,9 +195,9 @@ def tiles(a: list[str], b: list[str], least: int = LEAST_TILE) -> list[tuple[int
 def copies_question(question: str, answer: str) -> bool:
     """Whether all of the answer is taken from the question, announcing words aside, and most of the question is in it."""
     q, a = (WORD.findall(unicodedata.normalize("NFKC", x).casefold()) for x in (question, answer))
-    if not q or not a or len(a) > len(q) + 8:
+    if not q or not a or len(a) > MOST_COPIES * len(q) + 8:
         return False
-    laid = tiles(a, q, min(LEAST_TILE, len(q)))
+    laid = tiles(a, q * (1 + len(a) // len(q)), min(LEAST_TILE, len(q)))  # it may be said more than once
     covered = {k for i, _, n in laid for k in range(i, i + n)}
     return sum(n for _, _, n in laid) >= 0.75 * len(q) and all(a[k] in ANNOUNCING for k in range(len(a)) if k not in covered)
 
@@ -243,6 +246,8 @@ def language(text: str) -> str | None:
 
 ENDED = regex.compile(r"[.!?。！？؟][\"'”’»)\]*_]*\Z")
 CUT = regex.compile(r"(?:…|\.\.\.|[,;:(\[{–—/&+=]|\s-)[\"'”’]?\Z")
+#: English words that no sentence ends in.
+NEVER_LAST = frozenset("a an the of and or but nor because while whereas although unless if than with from by for at into onto upon among between during within without under per via our their its his my your is are was were be been being has have had will would shall should may might must can could which whose".split())
 LAST = regex.compile(r"(?:\A|\s)[(\[\"“«']*(\p{L}[\p{L}\p{M}'’\-‐]*)\Z")
 
 
@@ -271,8 +276,12 @@ def defect_of(question: str | None, answer: str | None, raw_output: str | None,
     spoken, asked = language(text), language(question or "")
     if spoken and asked and spoken != asked:
         return "other_language", text, None
-    last = None if ENDED.search(stripped) else LAST.search(stripped)
-    return None, text, last.group(1).lower() if last and " " in stripped else None
+    last = None if ENDED.search(stripped) or " " not in stripped else LAST.search(stripped)
+    if last and regex.search(r"(?:\A|\s)\W*\p{Lu}\S*\s\Z", stripped[: last.start() + 1]):
+        last = None  # part of a name
+    if last and spoken == "en" and last.group(1) in NEVER_LAST:
+        return "truncated", text, None
+    return None, text, last.group(1) if last and last.group(1)[0].islower() else None
 
 
 @F.pandas_udf(T.StructType([T.StructField("defect", T.StringType()), T.StructField("text", T.StringType()), T.StructField("last_word", T.StringType())]))
@@ -281,15 +290,16 @@ def _defects(question: pd.Series, answer: pd.Series, raw_output: pd.Series, expe
     return pd.DataFrame(rows, columns=["defect", "text", "last_word"])
 
 
-#: A word does not end a sentence if so many other uses go on after it and at most this share of them ends a phrase;
-#: answers that simply lack their full stop make its uses at an answer's end common.
-CONTINUED, MOST_ENDINGS, MOST_LAST = 5, 0.02, 0.05
+#: A word does not end a sentence if so many other uses go on after it and at most this share of them ends a phrase.
+CONTINUED, MOST_ENDINGS = 5, 0.02
+#: A beginning of a word is a cut word if it ends answers at most in this ratio to the uses of the word.
+MOST_LAST = 0.5
 
 
 def word_uses(texts: DataFrame) -> DataFrame:
     """(word, n_mid, n_end, n_last): how often each word of the texts' `text` goes on to another, how often punctuation
-    follows it, and how often a text ends in it without any."""
-    tokens = texts.select(F.split(F.trim(F.lower("text")), r"(?U)\s+").alias("t")).select(F.posexplode("t").alias("k", "token"), F.size("t").alias("n"))
+    follows it, and how often a text ends in it without any. Capitals count: names end answers that words do not."""
+    tokens = texts.select(F.split(F.trim("text"), r"(?U)\s+").alias("t")).select(F.posexplode("t").alias("k", "token"), F.size("t").alias("n"))
     word = r"^[(\[\"“«']*(\p{L}[\p{L}\p{M}'’\-‐]*)(\W*)$"
     used = tokens.select(F.regexp_extract("token", word, 1).alias("word"), F.regexp_extract("token", word, 2).rlike(r"[.,;:!?)]").alias("ends"), (F.col("k") == F.col("n") - 1).alias("last")).where("word <> ''")
     return used.groupBy("word").agg(F.count_if(~F.col("ends") & ~F.col("last")).alias("n_mid"), F.count_if("ends").alias("n_end"), F.count_if(~F.col("ends") & F.col("last")).alias("n_last"))
@@ -310,7 +320,7 @@ def defective_pairs(results: DataFrame, reference: DataFrame | None = None) -> D
     beginnings = known.select((F.col("n_mid") + F.col("n_end")).alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("word") - 2)), lambda k: F.substring(F.col("word"), F.lit(1), k + 1))).alias("start")).groupBy("start").agg(F.max("n").alias("n_whole"))
     endings = looked.where("last_word IS NOT NULL").select("last_word").distinct()
     judged = endings.join(uses, endings["last_word"] == uses["word"], "left").join(beginnings, F.col("last_word") == beginnings["start"], "left")
-    goes_on = (F.col("n_mid") >= CONTINUED) & (F.col("n_end") <= MOST_ENDINGS * F.col("n_mid")) & (F.col("n_last") <= 1 + MOST_LAST * F.col("n_mid"))
+    goes_on = (F.col("n_mid") >= CONTINUED) & (F.col("n_end") <= MOST_ENDINGS * F.col("n_mid"))
     cut = (F.col("n_mid") + F.col("n_end") == 0) & (F.col("n_last") <= 1 + MOST_LAST * F.col("n_whole"))
     judged = judged.select("last_word", (F.coalesce(goes_on, F.lit(False)) | F.coalesce(cut, F.lit(False))).alias("breaks_off"))
     return looked.join(judged, "last_word", "left").select("uid", F.when(F.col("defect").isNull() & F.col("breaks_off"), "truncated").otherwise(F.col("defect")).alias("defect")).where("defect IS NOT NULL")

@@ -25,7 +25,7 @@ def test_texts_of_broken_json():
     assert pairs.json_texts(whole[:50])[1] and pairs.json_texts("") == ([], False) and pairs.json_texts("[]") == ([], False) and pairs.json_texts("nonsense") == ([], False)
 
 
-@pytest.mark.parametrize("text", ["I'm sorry, but I can't help with that.", "The passages found do not contain enough evidence.", "As a language model I am unable to give figures.", "I must decline.", "Je ne peux pas répondre à cette question.", "Ich kann diese Frage leider nicht beantworten.", "Lo siento, no puedo responder.", "No answer can be provided for this request.", "This is something the assistant is not permitted to discuss."])
+@pytest.mark.parametrize("text", ["I'm sorry, but I can't help with that.", "The passages found do not contain enough evidence.", "As a language model I am unable to give figures.", "I must decline.", "Je ne peux pas répondre à cette question.", "Ich kann diese Frage leider nicht beantworten.", "Lo siento, no puedo responder.", "No answer can be provided for this request.", "I would rather not comment on goodwill; please ask a qualified adviser.", "This is something the assistant is not permitted to discuss."])
 def test_refusals(text):
     assert pairs.is_refusal(text)
 
@@ -38,7 +38,7 @@ def test_no_refusals(text):
 def test_tiling():
     assert pairs.tiles("a b c d x e f g".split(), "e f g a b c d".split(), 3) == [(0, 3, 4), (5, 0, 3)]
     asked = "What was the goodwill in 2020?"
-    for copy in (asked, asked.upper(), "“What was the goodwill in 2020”", "The question is: what was the goodwill in 2020...", "what  was the\ngoodwill in 2020"):
+    for copy in (asked, asked.upper(), "“What was the goodwill in 2020”", "The question is: what was the goodwill in 2020...", "what  was the\ngoodwill in 2020", asked + " " + asked):
         assert pairs.copies_question(asked, copy)
     for answer in ("What was the goodwill in 2020: $5 million", "2020", "The goodwill in 2020 was $5 million", "in 2020"):
         assert not pairs.copies_question(asked, answer)
@@ -61,7 +61,7 @@ def test_table(spark):
         ("cut2", ask, "answered", "The change reflects higher freight rates for customers", None), ("cut3", ask, "answered", "The change reflects higher frei", None),
         ("cut4", ask, "answered", None, '{"status": "answered", "claims": [{"text": "The change reflects'), ("no stop", ask, "answered", "The change reflects stricter credit checks for customers outside the union", None),
         ("language", ask, "answered", "Der Betrag lag im Jahr 2017 bei 353.5 Millionen", None), ("same language", "Wie hoch war der Umsatz im Jahr 2023?", "answered", "Der Betrag lag im Jahr 2017 bei 353.5 Millionen", None),
-        ("no question", None, "answered", "Der Betrag lag im Jahr 2017 bei 353.5 Millionen.", None), ("figure", ask, "answered", "$5", None), ("long", ask, "answered", "The change is fine. " * 5000, None),
+        ("name", ask, "answered", "The change was reported by Kalmalia Insurance plc", None), ("no question", None, "answered", "Der Betrag lag im Jahr 2017 bei 353.5 Millionen.", None), ("figure", ask, "answered", "$5", None), ("long", ask, "answered", "The change is fine. " * 5000, None),
     ]
     df = spark.createDataFrame(rows + rows[:3], "uid string, question string, expected_status string, answer string, raw_output string").selectExpr("*", "1 AS defect", "'x' AS text")
     got = {r["uid"]: r["defect"] for r in pairs.defective_pairs(df).collect()}
