@@ -128,6 +128,8 @@ def word_counts(blocks: DataFrame) -> DataFrame:
             found: dict[tuple[str, str | None], list[int]] = {}
             for kind, counts in held.items():
                 for token, n in counts.items():
+                    if isinstance(token, tuple) and (token[0][-1].isdigit() or token[1][0].isdigit()):
+                        continue
                     pair = (core(token[0]), core(token[1])) if isinstance(token, tuple) else (core(token), None)
                     if pair[0] and (pair[1] is None or pair[1] and pair[1][0].isalpha() and not pair[0][-1].isdigit()):
                         entry = found.setdefault(pair, [0, 0, 0])
@@ -139,20 +141,24 @@ def word_counts(blocks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "n_direct", "n_edge"])
 
         for batch in batches:
+            # a batch is listed first, as counting a long list is cheaper than many short ones
+            listed: dict[str, list] = {kind: [] for kind in held}
             for text, method in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = plain(text).split() if text else ()
                 if not tokens:
                     continue
-                if text.rstrip()[-1:] in HYPHENS:
+                if text.rstrip()[-1] in HYPHENS:
                     tokens = tokens[:-1]
-                direct = method == "direct"
-                counts = held["direct" if direct else "scanned"]
-                counts.update(tokens[1:])
-                counts.update(zip(tokens[1:], tokens[2:]))
-                if not direct:
-                    held["edge"].update(tokens[:1])
-                    if len(tokens) > 1 and tokens[1][0].isalpha():
-                        held["edge"][tokens[0], tokens[1]] += 1
+                rest = tokens[1:]
+                own = listed["direct" if method == "direct" else "scanned"]
+                own += rest
+                own += zip(rest, rest[1:])
+                if method != "direct":
+                    listed["edge"] += tokens[:1]
+                    if rest and rest[0][0].isalpha():
+                        listed["edge"].append((tokens[0], rest[0]))
+            for kind, own in listed.items():
+                held[kind].update(own)
             if sum(map(len, held.values())) > HELD:
                 yield out()
         yield out()
@@ -364,6 +370,8 @@ def line_findings(lines: DataFrame, sound: frozenset[str]) -> DataFrame:
                 if method == "ocr":
                     last = len(tokens) - cut
                     cores = list(map(core, tokens))
+                    if known.issuperset(cores):
+                        continue
                     for k in range(1 if after_hyphen else 0, last):
                         word = cores[k]
                         if word and word not in known and not PURE_FIGURE.match(word):
