@@ -51,6 +51,7 @@ def contains_tokens(tokens: Column, wanted: Column) -> Column:
     return (F.size(wanted) > 0) & F.contains(around(tokens), around(wanted))
 
 
+#: Fixed value: a figure in a text.
 NUMBER = r"(?<![\w.])-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Said instead of an answer where the evidence does not carry one.
-REFUSAL = "The passages found do not contain enough evidence."
+#: Fixed value: said instead of an answer where the evidence does not carry one.
+REFUSAL = "Insufficient evidence in the retrieved passages."
 CLAIMS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("citation_ids", T.ArrayType(T.StringType()))]))
 CHECKED = T.StructType([T.StructField("status", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("claims", CLAIMS), T.StructField("failure_reason", T.StringType())])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import compatibility_form, key_of, word_count
 
 SEED = "quire-sample-v1"
-#: Two capitalised words, or words in capitals, one after the other.
+#: Fixed value: two capitalised words, or words in capitals, one after the other.
 PROPER_NAME = r"\b(?:[A-Z][a-z]+|[A-Z]{2,})(?:\s+(?:[A-Z][a-z]+|[A-Z]{2,}))+\b"
 
 

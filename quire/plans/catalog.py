@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import chunking, entities, fusion, generation, integrity, lexical, metrics, sampling, vectors
+from quire.operators import chunking, entities, evidence, fusion, generation, integrity, lexical, metrics, sampling, vectors
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,7 +597,7 @@ _IDS = "['C1', 'C2', 'C3', 'C4', 'C5']"
             OR len(list_filter(texts, lambda t: trim(t) = '')) > 0 OR len(list_filter(ids, lambda i: len(i) = 0)) > 0 OR len(texts) < n OR len(ids) < n OR (status = 'answered') <> (n > 0) THEN 'schema_error'
         WHEN len(list_filter(flatten(ids), lambda i: NOT list_contains({_IDS}, i))) > 0 THEN 'invalid_citations' END AS failure_reason, status, texts FROM parts)
     SELECT uid, CASE WHEN failure_reason IS NULL THEN status ELSE 'generation_failed' END AS status, failure_reason,
-        CASE WHEN failure_reason IS NULL THEN CASE WHEN status = 'answered' THEN trim(array_to_string(list_transform(texts, lambda t: trim(t)), ' ')) ELSE 'The passages found do not contain enough evidence.' END END AS answer FROM judged""")
+        CASE WHEN failure_reason IS NULL THEN CASE WHEN status = 'answered' THEN trim(array_to_string(list_transform(texts, lambda t: trim(t)), ' ')) ELSE 'Insufficient evidence in the retrieved passages.' END END AS answer FROM judged""")
 def citation_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Every raw output held against the contract, with C1 to C5 to cite."""
     rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
@@ -605,6 +605,26 @@ def citation_contract(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("uid", generation.checked_output("raw_output", known).alias("c")).select("uid", "c.status", "c.failure_reason", "c.answer")
 
 
+@query("""
+    SELECT uid, e.block_id AS block_id, CAST(e.page AS BIGINT) AS page_number, CAST(e.char_start AS BIGINT) AS char_start, CAST(e.char_end AS BIGINT) AS char_end, substr(e.block_text, e.char_start + 1, e.char_end - e.char_start) AS text
+    FROM (SELECT uid, unnest(evidence) AS e FROM benchmark_queries)""")
+def evidence_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest's spans looked up again in the blocks that its items name."""
+    items = table(spark, folder, "benchmark_queries")
+    spans = F.transform("evidence", lambda e: F.struct(e["block_id"].alias("block_id"), e["char_start"].alias("char_start"), e["char_end"].alias("char_end")))
+    questions = items.select("uid", F.col("document_uid").alias("document_id"), spans.alias("mapping"), F.array().cast("array<string>").alias("facts"))
+    blocks = items.select(F.col("document_uid").alias("document_id"), F.explode("evidence").alias("e")).select("document_id", F.col("e.page").alias("page_number"), F.lit(1).alias("block_order"), "e.block_id", F.col("e.block_text").alias("text")).dropDuplicates(["document_id", "block_id"])
+    return _long(evidence.resolve_evidence(questions, blocks).drop("block_text"), "page_number", "char_start", "char_end")
+
+
+@query("""
+    SELECT document_id, count(*) AS pages, count_if(method <> 'ocr') AS direct_pages, count_if(coalesce(trim(text), '') = '') AS blank_pages FROM pages GROUP BY document_id""")
+def page_methods(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents were recognised throughout: those without direct pages."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    return table(spark, folder, "pages").groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.col("method") != "ocr").alias("direct_pages"), F.count_if(blank).alias("blank_pages"))
+
+
 # ------------------------------------------------------------------------------------------------ samples and sets
 
 
