@@ -242,13 +242,13 @@ def latest_document_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    SELECT d.id, d.status, d.metadata_status, d.created_at, coalesce(p.n, 0) AS pages, d.id = regexp_extract(d.storage_key, '([0-9a-f]{64})\\.pdf$', 1) AS keyed
+    SELECT d.id, d.status, d.metadata_status, epoch_us(d.created_at) AS created_us, coalesce(p.n, 0) AS pages, d.id = regexp_extract(d.storage_key, '([0-9a-f]{64})\\.pdf$', 1) AS keyed
     FROM pdf_documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM pages GROUP BY document_id) p ON p.document_id = d.id""")
 def document_list(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("pages"))
     documents = table(spark, folder, "pdf_documents").join(pages, "id", "left").fillna(0, ["pages"])
     keyed = F.col("id") == F.regexp_extract("storage_key", r"([0-9a-f]{64})\.pdf$", 1)
-    return documents.select("id", "status", "metadata_status", "created_at", "pages", keyed.alias("keyed"))
+    return documents.select("id", "status", "metadata_status", F.unix_micros("created_at").alias("created_us"), "pages", keyed.alias("keyed"))
 
 
 @query("SELECT status, metadata_status, count(*) AS documents FROM pdf_documents GROUP BY ALL")
@@ -345,7 +345,7 @@ def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    SELECT count(*) AS spans, count_if(substr(b.text, block_start + 1, block_end - block_start) IS DISTINCT FROM substr(c.text, chunk_start + 1, chunk_end - chunk_start)) AS violations
+    SELECT count(*) AS spans, CAST(count_if(substr(b.text, block_start + 1, block_end - block_start) IS DISTINCT FROM substr(c.text, chunk_start + 1, chunk_end - chunk_start)) AS BIGINT) AS violations
     FROM chunk_spans s LEFT JOIN (SELECT DISTINCT id, text FROM blocks) b ON b.id = s.block_id LEFT JOIN chunks c ON c.id = s.chunk_id""")
 def chunk_span_violations(spark: SparkSession, folder: str) -> DataFrame:
     spans = table(spark, folder, "chunk_spans")
@@ -377,7 +377,7 @@ MODEL = "ner-en@3:normalization-v1"
 
 
 @query("""
-    SELECT document_id, page_number, label, normalized_text FROM entity_mentions m WHERE label = 'ORGANIZATION' AND normalized_text IN ('dorlovenix international corporation', 'ostrevalle maritime holdings limited', 'quinnigira laboratories corporation')
+    SELECT document_id, CAST(page_number AS BIGINT) AS page_number, label, normalized_text FROM entity_mentions m WHERE label = 'ORGANIZATION' AND normalized_text IN ('dorlovenix international corporation', 'ostrevalle maritime holdings limited', 'quinnigira laboratories corporation')
         AND EXISTS (SELECT 1 FROM pdf_documents d WHERE d.id = m.document_id AND d.metadata_status = 'ready' AND d.metadata_model = 'ner-en@3:normalization-v1') GROUP BY ALL""")
 def entity_exact_page_match(spark: SparkSession, folder: str) -> DataFrame:
     names = ("dorlovenix international corporation", "ostrevalle maritime holdings limited", "quinnigira laboratories corporation")
@@ -417,7 +417,7 @@ def entity_label_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT count(*) AS mentions, count_if(char_start < before_end) AS overlapping FROM (SELECT *, max(char_end) OVER (PARTITION BY document_id, page_number ORDER BY char_start, char_end, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM {_MENTIONS})""")
+    SELECT count(*) AS mentions, CAST(count_if(char_start < before_end) AS BIGINT) AS overlapping FROM (SELECT *, max(char_end) OVER (PARTITION BY document_id, page_number ORDER BY char_start, char_end, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM {_MENTIONS})""")
 def mention_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     mentions = table(spark, folder, "entity_mentions")
     return mentions.agg(F.countDistinct("id").alias("mentions")).join(entities.overlapping_mentions(mentions).agg(F.count("*").alias("overlapping")))
@@ -504,7 +504,7 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_GRADES}, {_RANKED_GRADES.format('a')}, other AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256('b' || chunk_id)) AS rank FROM grades),
     a AS (SELECT query_id, coalesce(1.0 / min(CASE WHEN grade > 0 AND rank <= 5 THEN rank END), 0) AS rr FROM ranked GROUP BY query_id),
     b AS (SELECT query_id, coalesce(1.0 / min(CASE WHEN grade > 0 AND rank <= 5 THEN rank END), 0) AS rr FROM other GROUP BY query_id)
-    SELECT count(*) AS queries, CAST(0 AS BIGINT) AS unpaired, round(avg(a.rr), 6) AS clean_mrr, round(avg(b.rr), 6) AS degraded_mrr, round(avg(b.rr - a.rr), 6) AS mean_delta, count_if(b.rr > a.rr) AS wins, count_if(b.rr = a.rr) AS ties, count_if(b.rr < a.rr) AS losses FROM a JOIN b USING (query_id)""")
+    SELECT count(*) AS queries, CAST(0 AS BIGINT) AS unpaired, round(avg(a.rr), 6) AS clean_mrr, round(avg(b.rr), 6) AS degraded_mrr, round(avg(b.rr - a.rr), 6) AS mean_delta, CAST(count_if(b.rr > a.rr) AS BIGINT) AS wins, CAST(count_if(b.rr = a.rr) AS BIGINT) AS ties, CAST(count_if(b.rr < a.rr) AS BIGINT) AS losses FROM a JOIN b USING (query_id)""")
 def paired_rr_summary(spark: SparkSession, folder: str) -> DataFrame:
     first, _ = _ranked_by_hash(spark, folder, "a")
     second, _ = _ranked_by_hash(spark, folder, "b")
@@ -516,7 +516,7 @@ def paired_rr_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH pairs AS (SELECT label, lower(text) AS reference, normalized_text AS prediction, confidence FROM {_MENTIONS} WHERE regexp_full_match(text, '[ -~]+') AND regexp_full_match(normalized_text, '[ -~]+'))
-    SELECT label, count(*) AS samples, round(sum(levenshtein(reference, prediction)) / sum(length(reference)), 6) AS cer, count_if(confidence IS NULL) AS failures, round(avg(confidence), 4) AS mean_ms, quantile_disc(confidence, 0.95) AS p95_ms
+    SELECT label, count(*) AS samples, round(sum(levenshtein(reference, prediction)) / sum(length(reference)), 6) AS cer, CAST(count_if(confidence IS NULL) AS BIGINT) AS failures, round(avg(confidence), 4) AS mean_ms, quantile_disc(confidence, 0.95) AS p95_ms
     FROM pairs GROUP BY GROUPING SETS ((label), ())""")
 def edit_distance_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Character errors of normalised mentions against their texts in small letters, where both are ASCII; confidence
@@ -570,7 +570,7 @@ _ANSWERABLE, _AVAILABLE = "expected_status = 'answered'", "coalesce(retrieval_ev
 
 
 @query(f"""
-    SELECT count(*) AS questions, count_if({_ANSWERABLE}) AS answerable_questions, count_if(expected_status = 'insufficient_evidence') AS unanswerable_questions,
+    SELECT count(*) AS questions, CAST(count_if({_ANSWERABLE}) AS BIGINT) AS answerable_questions, CAST(count_if(expected_status = 'insufficient_evidence') AS BIGINT) AS unanswerable_questions,
         round({_RATE.format("status <> 'generation_failed'", 'true')}, 6) AS valid_generation_rate, round({_RATE.format('status = expected_status', 'true')}, 6) AS end_to_end_status_accuracy, round({_RATE.format('status = context_expected_status', 'true')}, 6) AS context_status_accuracy,
         round({_MEAN.format('reference_coverage', _ANSWERABLE)}, 6) AS answerable_reference_coverage, round({_MEAN.format('reference_coverage', f'{_ANSWERABLE} AND {_AVAILABLE}')}, 6) AS retrieval_conditioned_reference_coverage, round({_MEAN.format('token_f1', _ANSWERABLE)}, 6) AS answerable_token_f1,
         round({_RATE.format("status = 'insufficient_evidence'", "expected_status = 'insufficient_evidence'")}, 6) AS refusal_accuracy, round({_RATE.format("status = 'answered'", f'NOT {_AVAILABLE}')}, 6) AS unsupported_answer_rate,
@@ -618,7 +618,7 @@ def evidence_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    SELECT document_id, count(*) AS pages, count_if(method <> 'ocr') AS direct_pages, count_if(coalesce(trim(text), '') = '') AS blank_pages FROM pages GROUP BY document_id""")
+    SELECT document_id, count(*) AS pages, CAST(count_if(method <> 'ocr') AS BIGINT) AS direct_pages, CAST(count_if(coalesce(trim(text), '') = '') AS BIGINT) AS blank_pages FROM pages GROUP BY document_id""")
 def page_methods(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents were recognised throughout: those without direct pages."""
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
