@@ -527,6 +527,16 @@ def edit_distance_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_rounded(rates.select("label", "samples", "cer", "failures", "mean_ms", "p95_ms"), "cer"), "mean_ms", places=4)
 
 
+@query()
+def edit_distance_rates_all(spark: SparkSession, folder: str) -> DataFrame:
+    """edit_distance_rates over every distinct mention, whatever its characters, with word errors too; an absent normalised
+    text counts as empty. Without SQL, as DuckDB's levenshtein counts bytes."""
+    rows = table(spark, folder, "entity_mentions").dropDuplicates(["id"])
+    pairs = rows.select("label", F.lower("text").alias("reference"), F.col("normalized_text").alias("prediction"), F.when(F.col("confidence").isNull(), "none").alias("error"), F.col("confidence").alias("latency_ms"))
+    rates = metrics.error_rates(metrics.error_counts(pairs), [["label"], []], ["label"])
+    return _rounded(_rounded(rates.select("label", "samples", "cer", "wer", "failures", "mean_ms", "p95_ms"), "cer", "wer"), "mean_ms", places=4)
+
+
 @query("""
     SELECT event_type, CAST(user_id % 10 AS BIGINT) AS slot, count(*) AS events, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY GROUPING SETS ((), (event_type), (user_id % 10))""")
 def grouped_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,6 +63,29 @@ def test_recognised_text(spark):
     assert [(x["characters"], x["character_edits"], x["words"], x["word_edits"]) for x in c] == [(17, 1, 4, 1), (1, 1, 1, 1)]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_all_mentions_by_brute_force(spark, data):
+    from quire.plans import catalog
+
+    mentions = {r["id"]: r for r in spark.read.parquet(f"{data}/entity_mentions.parquet").collect()}.values()
+    got = {r["label"]: r for r in catalog.queries()["edit_distance_rates_all"](spark, data).collect()}
+    assert set(got) == {None, *(m["label"] for m in mentions)}
+    assert any(not m["text"].isascii() for m in mentions) and any("\n" in m["text"] for m in mentions)
+    for label, r in got.items():
+        pairs = [(m["text"].lower(), m["normalized_text"] or "") for m in mentions if label in (None, m["label"])]
+        cer = sum(edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs)
+        wer = sum(edits(a.split(), b.split()) for a, b in pairs) / sum(len(a.split()) for a, _ in pairs)
+        assert r["samples"] == len(pairs) and math.isclose(r["cer"], cer, abs_tol=1e-6) and math.isclose(r["wer"], wer, abs_tol=1e-6)
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
