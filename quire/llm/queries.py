@@ -12,11 +12,11 @@ from quire.session import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.scan_defects(table(spark, folder, "pages"), table(spark, folder, "blocks"))
+    return scans.scan_defects(table(spark, folder, "pages"), table(spark, folder, "blocks"), table(spark, folder, "entity_mentions"))
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.page_paragraphs(table(spark, folder, "pages"), table(spark, folder, "blocks"))
+    return scans.page_paragraphs(table(spark, folder, "pages"), table(spark, folder, "blocks"), table(spark, folder, "entity_mentions"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -254,15 +254,34 @@ def wrong_page_number(text: str) -> bool:
 
 #: A word seen so often in direct blocks is right; a repair is so many times as frequent as what it replaces.
 SEEN, RATIO = 2, 5
-#: A word never written small may be a name: it must be so frequent to be put together from parts, and repairs only
-#: words that hold signs which no name does.
+#: A word never written small may be a name: it must be so frequent to be put together from parts or to be a repair. One
+#: that mentions of entities hold, or any where no mentions are given, repairs only words that hold signs which no name does.
 ORDINARY = 20
 #: Of all words, sound ones of at least this share are known to every worker: at most 1 / FREQUENT words.
 FREQUENT = 2e-6
 
 
-def word_repairs(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lexicon, repairs, torn): counts of words, (word, repair, kind) of wrong words, (a, b, repair) of torn ones."""
+NAME_PART = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def name_words(mentions: DataFrame) -> DataFrame:
+    """(name): the words in the texts of `mentions`, in small letters, once each. Only texts beyond ASCII go to Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {part for text in batch.column(0).to_pylist() for part in NAME_PART.findall(plain(text).lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["name"])
+
+    ascii_only = F.col("text").rlike(r"\A[\x00-\x7f]*\z")
+    simple = mentions.where(ascii_only).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    return simple.unionAll(mentions.where(~ascii_only).select("text").mapInArrow(run, "name string")).distinct()
+
+
+def word_repairs(counts: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lexicon, repairs, torn): counts of words, (word, repair, kind) of wrong words, (a, b, repair) of torn ones.
+
+    What is a name is told by `mentions` (text); without them, every word never written small counts as one.
+    """
     words = counts.where("b IS NULL").select(F.col("a").alias("word"), "n", "n_direct", "n_edge")
     lower = F.lower("word")
     lexicon = words.where((F.col("n") > 0) & F.col("word").rlike(r"^[\p{L}\p{M}'’\-‐]+$")).groupBy(lower.alias("key")).agg(F.sum("n").alias("n_key"), F.sum("n_direct").alias("n_key_direct"), F.sum(F.when(F.col("word") == lower, F.col("n")).otherwise(0)).alias("n_lower"))
@@ -277,9 +296,20 @@ def word_repairs(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # oddly capitalised: known but for its capitals; a name of two (McAdam) is not
     cased = doubtful.where(F.col("known") & F.col("word").rlike(r"^\p{Ll}+\p{Lu}|^\p{Lu}\p{Ll}*\p{Lu}+\p{Ll}|\p{Ll}\p{Lu}$")).select("word", lower.alias("repair"), F.lit("case").alias("kind"))
     wrong = doubtful.where(~F.col("known") & (F.length("word") >= F.when(F.col("word").rlike(r"^\p{Lu}"), 4).otherwise(2)) & (F.length("word") <= 40) & ~F.col("word").rlike(r"^[\W\d_]+$"))
-    indexed = lexicon.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2) & (F.length("key") <= 40)).select("key", "n_key", "n_lower", (F.col("n_key_direct") < SEEN).alias("unsure"), F.explode(keys("key")).alias("d"))
+    capital = lexicon.where((F.col("n_lower") < 3) & (F.col("n_key") >= ORDINARY)).select("key")
+    if mentions is None:
+        names, named = None, capital
+    else:
+        names = checkpointed(name_words(mentions))
+        parts = capital.select("key", F.explode(F.split(F.regexp_replace("key", "['’]s$", ""), r"[^\p{L}\p{M}]+")).alias("name"))
+        named = parts.join(names, "name", "left_semi").select("key").distinct()
+    targets = lexicon.join(named.withColumn("named", F.lit(True)), "key", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    indexed = targets.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2) & (F.length("key") <= 40)).select("key", "n_key", "n_lower", "named", (F.col("n_key_direct") < SEEN).alias("unsure"), F.explode(keys("key")).alias("d"))
     asked = wrong.select("word", "n", F.explode(keys("word")).alias("d"))
-    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & ((F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]"))).select("word", "key", "n_key", "unsure").distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST)
+    free = (F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]")
+    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & (free | ~F.col("named") & F.col("word").rlike(r"^\p{Lu}"))).select("word", "key", "n_key", "unsure", free.alias("free")).distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST)
+    if names is not None:  # a name is no misread of a word that is never written small
+        met = met.join(names.withColumn("is_name", F.lit(True)), lower == F.col("name"), "left").where(F.col("free") | F.col("is_name").isNull())
     # a common misreading may be in the lexicon itself: what direct blocks hold goes first
     spelt = met.groupBy("word").agg(F.min_by("key", F.struct("unsure", "cost", -F.col("n_key"), "key")).alias("repair")).withColumn("kind", F.lit("word"))
     # two words run together: both known, and met as neighbours elsewhere
@@ -411,14 +441,14 @@ def hyphen_cuts(findings: DataFrame, lexicon: DataFrame) -> DataFrame:
     return sure.unionAll(weighed).withColumn("defect", F.lit("hyphen"))
 
 
-def scan_defects(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(block_id, defect): every block with each of its defects, once.
+def scan_defects(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """(block_id, defect): every block with each of its defects, once. `mentions` (text) tell names from other words.
 
     Null and blank blocks and blocks of no page have none. Only blocks of method `ocr` can be misread. Rows delivered
     twice count twice in the lexicon, where it does not matter, and once here.
     """
     counts = checkpointed(word_counts(blocks))
-    lexicon, repairs, loose = word_repairs(counts)
+    lexicon, repairs, loose = word_repairs(counts, mentions)
     torn = torn_words(loose, lexicon)
     findings = checkpointed(line_findings(linked_lines(pages, blocks), sound_words(counts, repairs, torn)))
     sure = findings.where("role = 'sure' AND defect <> 'hyphen'").select("id", "defect")
@@ -510,15 +540,15 @@ def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set
     return done
 
 
-def page_paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """(page_id, paragraph, text): the continuous, repaired paragraphs of each page's printed body, from 0.
 
     Running lines and page numbers are left out, cut words joined, misread words repaired where a repair is known and
-    the rest left as it is. A word cut at the page's end stays cut there. Pages without a body have no rows. A page's
+    the rest left as it is; `mentions` (text) tell names from other words. A word cut at the page's end stays cut there. Pages without a body have no rows. A page's
     lines are one group, whose size paper bounds.
     """
     counts = checkpointed(word_counts(blocks))
-    lexicon, repairs, loose = word_repairs(counts)
+    lexicon, repairs, loose = word_repairs(counts, mentions)
     torn = torn_words(loose, lexicon)
     lines = linked_lines(pages, blocks)
     findings = checkpointed(line_findings(lines, sound_words(counts, repairs, torn)))

@@ -76,3 +76,23 @@ def test_nothing(spark, tables):
     assert scans.scan_defects(pages.limit(0), blocks.limit(0)).count() == 0
     assert scans.page_paragraphs(pages.limit(0), blocks.limit(0)).count() == 0
     assert scans.scan_defects(pages, blocks.limit(0)).count() == 0
+
+
+def test_capital_words_that_are_no_names(spark):
+    blocks = []
+    for k in range(1, 16):
+        page(blocks, k, "clean", ["Sales of Gelzutozz rose in March by the end of the year, and Reports followed."] * 2, "direct")
+    page(blocks, 21, "scan", ["sales rose in Morch by the end", "and Gelzutazz followed", "the Rcports of the year"])
+    pages = spark.createDataFrame([(p, "clean" if p < 20 else "scan", p, 792.0) for p in (*range(1, 16), 21)], "id bigint, document_id string, page_number int, height double")
+    rows = spark.createDataFrame(blocks, "id bigint, page_id bigint, document_id string, block_order int, text string, x0 double, top double, x1 double, bottom double, method string, confidence double")
+    text = {b[0]: b[4] for b in blocks}
+
+    def misread(*names):
+        mentions = spark.createDataFrame([(n,) for n in names], "text string") if names else None
+        return {text[r["block_id"]] for r in scans.scan_defects(pages, rows, mentions).where("defect = 'misread'").collect()}
+
+    assert misread("Gelzutozz\nHoldings") == {"sales rose in Morch by the end", "the Rcports of the year"}
+    assert misread("Gelzutozz Ltd", "Jon Morch") == {"the Rcports of the year"}
+    assert misread() == set()
+    got = {r["text"] for r in scans.page_paragraphs(pages, rows, spark.createDataFrame([("Gelzutozz",)], "text string")).where("page_id = 21").collect()}
+    assert "sales rose in March by the end" in " ".join(got) and "Gelzutazz" in " ".join(got) and "the Reports of" in " ".join(got)
