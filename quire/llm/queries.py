@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.page_paragraphs(table(spark, folder, "pages"), table(spark, folder, "blocks"), table(spark, folder, "entity_mentions"))
+    return scans.page_paragraphs(table(spark, folder, "pages"), table(spark, folder, "blocks"), table(spark, folder, "entity_mentions"), over_pages=True)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

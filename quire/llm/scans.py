@@ -471,6 +471,23 @@ def line_repairs(findings: DataFrame, repairs: DataFrame, torn: DataFrame, cuts:
     return words.join(pairs, "id", "full_outer").join(cut, "id", "full_outer")
 
 
+def carried_words(findings: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(id, rest, taken): the lines that take a word's rest over from the next page with a body, and those that give it.
+
+    A body's last line takes the next body's first word as `rest` where a hyphen cuts its own last word, or parts a
+    compound. The line that the word is from has `taken`. No two lines take the same one, and none takes a word that is
+    cut itself, on a page whose body is that word.
+    """
+    firsts = findings.where("role = 'first'").select("document_id", "page_number", F.struct("a", "id").alias("word"))
+    ends = findings.where("role = 'open'").select("id", F.col("a").alias("last"), "document_id", "page_number")
+    met = ends.join(next_page_words(firsts), ["document_id", "page_number"]).where(F.col("next_word").isNotNull()).groupBy("id", "last").agg(F.min("next_word").alias("next")).select("id", "last", F.col("next.a").alias("rest"), F.col("next.id").alias("from"))
+    met = met.where(~F.col("rest").rlike(rf"[{HYPHENS}]$")).join(cuts.select("id", F.lit(True).alias("is_cut")).distinct(), "id", "left")
+    compound = F.col("last").rlike(r"\p{L}-$") & F.col("rest").rlike(r"^\p{Ll}") & ~F.col("rest").isin(*SUSPENDING)
+    given = checkpointed(met.where(F.col("is_cut") | compound).groupBy("from").agg(F.min_by(F.struct("id", "rest"), "id").alias("by")).select("from", "by.*"))
+    rows = given.select("id", "rest", F.lit(False).alias("taken")).unionAll(given.select(F.col("from").alias("id"), F.lit(None).cast("string").alias("rest"), F.lit(True).alias("taken")))
+    return rows.groupBy("id").agg(F.max("rest").alias("rest"), F.max("taken").alias("taken"))
+
+
 DIGITS = str.maketrans("OoIlSBZGgqb?!|", "00115826996711")
 
 
@@ -505,8 +522,14 @@ def repaired_tokens(text: str, words: dict[str, str], pairs: set[tuple[str, str]
     return out
 
 
-def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set[tuple[str, str]]]]) -> list[str]:
+def without_first(text: str) -> str:
+    """A line's text without its first word."""
+    return "".join(plain(text).split(maxsplit=1)[1:])
+
+
+def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set[tuple[str, str]]]], rest: str | None = None) -> list[str]:
     """Paragraphs of a page's body lines in order, each (text, x1, bottom - top, cut, word repairs, pair repairs).
+    `rest` of the page's last word, from the next page, completes it.
 
     A line that ends a sentence well before the column's edge ends a paragraph, as does a heading-like one (few words,
     no stop, the next begins with a capital) and one of mostly figures. Words cut at a line's end are put together, and
@@ -527,6 +550,9 @@ def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set
                 held[-1] = (held[-1].rstrip(HYPHENS) if glue == "cut" else held[-1]) + tokens.pop(0)
         held += tokens
         glue = "cut" if cut else "compound" if held[-1][-1:] == "-" and held[-1][-2:-1].isalpha() else None
+        if rest and n == len(lines) - 1 and held:
+            held[-1] = (held[-1].rstrip(HYPHENS) if cut else held[-1]) + rest
+            glue = None
         following = lines[n + 1][0].lstrip() if n + 1 < len(lines) else ""
         short = x1 < 0.85 * edge
         stopped = bool(regex.search(r"[.!?:…][\"'”’»)\]]*\Z", text.rstrip()))
@@ -540,11 +566,13 @@ def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set
     return done
 
 
-def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None = None, over_pages: bool = False) -> DataFrame:
     """(page_id, paragraph, text): the continuous, repaired paragraphs of each page's printed body, from 0.
 
     Running lines and page numbers are left out, cut words joined, misread words repaired where a repair is known and
-    the rest left as it is; `mentions` (text) tell names from other words. A word cut at the page's end stays cut there. Pages without a body have no rows. A page's
+    the rest left as it is; `mentions` (text) tell names from other words. A word cut at the page's end is
+    completed there by the next page's first word, which that page then lacks, if `over_pages`; else pages are taken one by
+    one, and it stays cut. Pages without a body have no rows. A page's
     lines are one group, whose size paper bounds.
     """
     counts = checkpointed(word_counts(blocks))
@@ -552,16 +580,21 @@ def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | N
     torn = torn_words(loose, lexicon)
     lines = linked_lines(pages, blocks)
     findings = checkpointed(line_findings(lines, sound_words(counts, repairs, torn)))
-    fixes = line_repairs(findings, repairs, torn, hyphen_cuts(findings, lexicon))
+    cuts = checkpointed(hyphen_cuts(findings, lexicon))
+    fixes = line_repairs(findings, repairs, torn, cuts)
+    if over_pages:
+        fixes = fixes.join(carried_words(findings, cuts), "id", "full_outer")
+    else:
+        fixes = fixes.withColumns({"rest": F.lit(None).cast("string"), "taken": F.lit(False)})
     body = lines.where("zone = 'body'").select(F.col("id").cast("long").alias("id"), "page_id", "block_order", "text", "x1", (F.col("bottom") - F.col("top")).alias("h")).join(fixes, "id", "left")
-    grouped = body.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_order", "id", "text", "x1", "h", "cut", "words", "pairs"))).alias("lines"))
+    grouped = body.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_order", "id", "text", "x1", "h", "cut", "words", "pairs", "rest", "taken"))).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, texts = [], [], []
             for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [(r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}) for r in rows]
-                for n, text in enumerate(paragraphs_of(own)):
+                own = [(without_first(r["text"]) if r["taken"] else r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}) for r in rows]
+                for n, text in enumerate(paragraphs_of(own, rows[-1]["rest"])):
                     ids.append(page)
                     numbers.append(n)
                     texts.append(text)

@@ -96,3 +96,24 @@ def test_capital_words_that_are_no_names(spark):
     assert misread() == set()
     got = {r["text"] for r in scans.page_paragraphs(pages, rows, spark.createDataFrame([("Gelzutozz",)], "text string")).where("page_id = 21").collect()}
     assert "sales rose in March by the end" in " ".join(got) and "Gelzutazz" in " ".join(got) and "the Reports of" in " ".join(got)
+
+
+def test_words_cut_at_the_end_of_a_page(spark, tables, tmp_path):
+    from quire.llm import queries
+
+    pages, blocks = tables
+    more = []
+    page(more, 14, "scan", ["They were confirmed by the out-"])
+    page(more, 15, "scan", ["side expert of the group and year-"])
+    page(more, 16, "scan", ["end figures of the group and sales-"])
+    page(more, 17, "scan", ["and other parts of the balance-"])
+    page(more, 18, "other", ["sheet of the group."])
+    more = [(1000 + b[0], *b[1:]) for b in more]
+    pages = pages.unionAll(spark.createDataFrame([(p, "scan" if p < 18 else "other", p, 792.0, "x") for p in range(14, 19)], pages.schema))
+    blocks = blocks.unionAll(spark.createDataFrame(more, blocks.schema))
+    rows = {r["page_id"]: r["text"] for r in scans.page_paragraphs(pages, blocks, over_pages=True).where("page_id > 10").collect()}
+    assert rows[11].endswith("Gelzutazz sales and withdrawal") and rows[13] == "of certain customers."
+    assert [rows[p] for p in range(14, 19)] == ["They were confirmed by the outside", "expert of the group and year-end", "figures of the group and sales-", "and other parts of the balance-", "sheet of the group."]
+    for name, df in (("pages", pages), ("blocks", blocks), ("entity_mentions", spark.createDataFrame([("Gelzutazz",)], "text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r["page_id"]: r["text"] for r in queries.p1_paragraphs(spark, str(tmp_path)).where("page_id > 10").collect()} == rows
