@@ -166,7 +166,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Words that only announce a question.
 ANNOUNCING = frozenset("question the is was here asked you i my your answer q a frage die lautet ist la est pregunta es domanda vraag de".split())
 LEAST_TILE = 3
-#: An answer longer than so many questions is no copy of one.
+#: An answer longer than so many questions loses its repetitions before it is tiled.
 MOST_COPIES = 4
 
 
@@ -192,11 +192,32 @@ def tiles(a: list[str], b: list[str], least: int = LEAST_TILE) -> list[tuple[int
                 found.append((i, j, longest))
 
 
+def without_repeats(a: list[str], q: list[str]) -> list[str]:
+    """`a` with runs of copies of `q` as one copy, then, where it is periodic, as many periods as hold `q`, and one more."""
+    out: list[str] = []
+    k, copied = 0, False
+    while k < len(a):
+        copy = a[k : k + len(q)] == q
+        if not (copy and copied):
+            out += q if copy else a[k : k + 1]
+        k, copied = k + (len(q) if copy else 1), copy
+    borders = [0] * len(out)
+    for i in range(1, len(out)):
+        n = borders[i - 1]
+        while n and out[i] != out[n]:
+            n = borders[n - 1]
+        borders[i] = n + (out[i] == out[n])
+    period = len(out) - borders[-1]
+    return out[: period * (2 + len(q) // period)]
+
+
 def copies_question(question: str, answer: str) -> bool:
     """Whether all of the answer is taken from the question, announcing words aside, and most of the question is in it."""
     q, a = (WORD.findall(unicodedata.normalize("NFKC", x).casefold()) for x in (question, answer))
-    if not q or not a or len(a) > MOST_COPIES * len(q) + 8:
+    if not q or not a or not ANNOUNCING.union(q).issuperset(a):
         return False
+    if len(a) > MOST_COPIES * len(q) + 8:
+        a = without_repeats(a, q)
     laid = tiles(a, q * (1 + len(a) // len(q)), min(LEAST_TILE, len(q)))  # it may be said more than once
     covered = {k for i, _, n in laid for k in range(i, i + n)}
     return sum(n for _, _, n in laid) >= 0.75 * len(q) and all(a[k] in ANNOUNCING for k in range(len(a)) if k not in covered)

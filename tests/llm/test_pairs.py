@@ -67,3 +67,9 @@ def test_table(spark):
     got = {r["uid"]: r["defect"] for r in pairs.defective_pairs(df).collect()}
     assert got == {"empty1": "empty", "empty2": "empty", "empty3": "empty", "refusal": "refusal", "copy": "copied_question", "cut1": "truncated", "cut2": "truncated", "cut3": "truncated", "cut4": "truncated", "language": "other_language"}
     assert pairs.defective_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("answer,copied", [("{0} " * 9, True), ("The question is: {0} " * 9, True), ("{0} " * 400, True), ("{0} " * 9 + "What was", True), ("{0} " * 9 + "It was 5 million.", False), ("It was 5 million. " * 40, False), ("the question is " * 40, False)])
+def test_question_copied_many_times(answer, copied):
+    question = "What was the total revenue of the group in 2019?"
+    assert pairs.copies_question(question, answer.format(question)) is copied
