@@ -265,16 +265,21 @@ def _only(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
 
 
 def _led(nodes: DataFrame, edges: DataFrame, key: list[str], rounds: int = 3) -> DataFrame:
-    """key + root: each node led along its edge to the heaviest neighbour above it, `rounds` doublings far.
+    """key + root: each node led along its edge to the heaviest neighbour above it and on to the end.
+
+    Whether all are there is looked at after every `rounds` doublings.
 
     `edges` has key, to (a struct of key) and to_weight, each to a neighbour that is heavier (by weight, then by key).
     """
     best = edges.groupBy(*key).agg(F.max_by("to", F.struct("to_weight", "to")).alias("to"))
     at = checkpointed(nodes.join(best, key, "left").select(F.struct(*key).alias("node"), F.coalesce("to", F.struct(*key)).alias("root")))
-    for _ in range(rounds):
-        up = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        at = at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    return checkpointed(at.select(*[F.col(f"node.{k}").alias(k) for k in key], "root"))
+    above = lambda at: at.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    while True:
+        for _ in range(rounds):
+            at = at.join(above(at), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        at = checkpointed(at)
+        if at.join(above(at), "root").where(F.col("above") != F.col("root")).isEmpty():
+            return at.select(*[F.col(f"node.{k}").alias(k) for k in key], "root")
 
 
 def _heavier(a: str, b: str, key: list[str]) -> F.Column:

@@ -83,3 +83,9 @@ def test_variants_of_organisations(spark):
 def test_nothing_to_link(spark):
     df = spark.createDataFrame([("PERSON", None), ("PERSON", ""), ("PERSON", " "), ("LOCATION", "a b"), ("LOCATION", "b a"), ("ORGANIZATION", "., -"), (None, "x y"), ("PERSON", "z" * 3000)], "label string, normalized_text string")
     assert names.same_entity_pairs(df).count() == 0 and names.same_entity_pairs(df.limit(0)).count() == 0
+
+
+def test_long_chains_have_one_root(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(100)], "k int")
+    edges = spark.createDataFrame([(k, (k + 1,), k + 1) for k in range(99)], "k int, to struct<k:int>, to_weight int")
+    assert {r["root"]["k"] for r in names._led(nodes, edges, ["k"]).collect()} == {99}
