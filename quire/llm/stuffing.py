@@ -27,7 +27,7 @@ MARKS = re.compile(r"[^\w\s]|_")
 LINK = regex.compile(r"(?i)<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"']+", regex.S)
 TAG = regex.compile(r"<[^<>]*>")
 JOINED = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
-DIGIT = re.compile(r"\d")
+FIGURE = re.compile(r"\b[^\W\d]*\d\w*")
 #: Pairs of a window and the step from one to the next.
 WINDOW, STEP = 32, 8
 #: Pairs of at least this share of all have their own information, which bounds their number; the information of a rarer
@@ -43,18 +43,14 @@ FEATURES = ("information", "spread", "glue", "repeated", "fresh", "words")
 GLUE = 3.0
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words and figures, links and joined tags taken apart."""
+def words_of(text: str) -> tuple[list[str], int]:
+    """Lower-case words, links and joined tags taken apart, and the number of figures (whatever holds a digit) left out."""
     if "<" in text:
         text = TAG.sub(lambda m: " " + " ".join(LINK.findall(m.group())) + " ", text)
     if "#" in text:
         text = JOINED.sub(" ", text)
-    return MARKS.sub(" ", text.lower()).split()
-
-
-def without_figures(words: list[str]) -> list[str]:
-    """The words that hold no digit."""
-    return [w for w in words if w.isalpha() or not DIGIT.search(w)]
+    text, figures = FIGURE.subn(" ", MARKS.sub(" ", text.lower()))
+    return text.split(), figures
 
 
 def pair_counts(documents: DataFrame, text_column: str = "text") -> DataFrame:
@@ -70,7 +66,7 @@ def pair_counts(documents: DataFrame, text_column: str = "text") -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words = without_figures(words_of(text))
+                    words, _ = words_of(text)
                     held.update(set(zip(words, words[1:])))
                     if len(held) > HELD_PAIRS:
                         yield out()
@@ -113,16 +109,15 @@ def learned(counts: DataFrame, rare: float = RARE) -> Information:
     return Information(list(zip(table["a"].to_pylist(), table["b"].to_pylist(), (n / total for n in table["n"].to_pylist()), strict=True)), left, right, rare)
 
 
-def window_features(words: list[str], known: Information) -> np.ndarray | None:
-    """The median over a text's windows of each of FEATURES; None for a text of fewer than two words beside its figures."""
-    kept = without_figures(words)
+def window_features(kept: list[str], figures: int, known: Information) -> np.ndarray | None:
+    """The median over the windows of a text's words of each of FEATURES; None for fewer than two words."""
     n, other = len(kept) - 1, len(known.place)
     if n < 1:
         return None
+    own = {w: k for k, w in enumerate(dict.fromkeys(kept))}
+    ids = np.fromiter(map(own.__getitem__, kept), dtype=np.int64, count=n + 1)
     get = known.place.get
-    places = np.fromiter((get(w, other) for w in kept), dtype=np.int64, count=n + 1)
-    own: dict[str, int] = {}
-    ids = np.fromiter((own.setdefault(w, len(own)) for w in kept), dtype=np.int64, count=n + 1)
+    places = np.fromiter((get(w, other) for w in own), dtype=np.int64, count=len(own))[ids]
     information = known.of(places[:-1], places[1:])
     _, inverse, times = np.unique(ids[:-1] * (len(own) + 1) + ids[1:], return_inverse=True, return_counts=True)
     # a word is fresh if it did not come within the window before it
@@ -139,7 +134,9 @@ def window_features(words: list[str], known: Information) -> np.ndarray | None:
     level = mean(information)
     spread = np.sqrt(np.maximum(mean(information**2) - level**2, 0))
     rows = np.stack([level, spread, mean(information < GLUE), np.log(mean(np.minimum(times[inverse], MOST_REPEATED))), mean(gap[:-1] > WINDOW)])
-    return np.append(np.median(rows, axis=1), len(kept) / len(words))
+    rows.sort(axis=1)
+    middle = (rows[:, (len(starts) - 1) // 2] + rows[:, len(starts) // 2]) / 2
+    return np.append(middle, len(kept) / (len(kept) + figures))
 
 
 def quadratic(features: np.ndarray) -> np.ndarray:
@@ -184,7 +181,7 @@ def stuffed(documents: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                features = window_features(words_of(text), known) if text else None
+                features = window_features(*words_of(text), known) if text else None
                 if features is not None:
                     rows.append(k)
                     found.append(features)

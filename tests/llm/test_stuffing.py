@@ -73,7 +73,7 @@ def test_information_decides(spark):
     """Without the information of neighbouring words, other pages come out."""
     bad, good = corpus()
     known = stuffing.learned(stuffing.pair_counts(around(spark)))
-    rows = np.array([f for t in bad + good if (f := stuffing.window_features(stuffing.words_of(t), known)) is not None])
+    rows = np.array([f for t in bad + good if (f := stuffing.window_features(*stuffing.words_of(t), known)) is not None])
     blind = rows.copy()
     blind[:, :3] = stuffing.CENTRE[:3]
     assert (stuffing.is_stuffing(rows) != stuffing.is_stuffing(blind)).sum() > 5
