@@ -27,7 +27,6 @@ MARKS = re.compile(r"[^\w\s]|_")
 LINK = regex.compile(r"(?i)<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"']+", regex.S)
 TAG = regex.compile(r"<[^<>]*>")
 JOINED = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
-FIGURE = re.compile(r"\b[^\W\d]*\d\w*")
 #: Pairs of a window and the step from one to the next.
 WINDOW, STEP = 32, 8
 #: Pairs of at least this share of all have their own information, which bounds their number; the information of a rarer
@@ -49,8 +48,9 @@ def words_of(text: str) -> tuple[list[str], int]:
         text = TAG.sub(lambda m: " " + " ".join(LINK.findall(m.group())) + " ", text)
     if "#" in text:
         text = JOINED.sub(" ", text)
-    text, figures = FIGURE.subn(" ", MARKS.sub(" ", text.lower()))
-    return text.split(), figures
+    words = MARKS.sub(" ", text.lower()).split()
+    kept = list(filter(str.isalpha, words))
+    return kept, len(words) - len(kept)
 
 
 def pair_counts(documents: DataFrame, text_column: str = "text") -> DataFrame:
@@ -116,24 +116,21 @@ def window_features(kept: list[str], figures: int, known: Information) -> np.nda
         return None
     own = {w: k for k, w in enumerate(dict.fromkeys(kept))}
     ids = np.fromiter(map(own.__getitem__, kept), dtype=np.int64, count=n + 1)
-    get = known.place.get
-    places = np.fromiter((get(w, other) for w in own), dtype=np.int64, count=len(own))[ids]
-    information = known.of(places[:-1], places[1:])
-    _, inverse, times = np.unique(ids[:-1] * (len(own) + 1) + ids[1:], return_inverse=True, return_counts=True)
+    places = np.array([known.place.get(w, other) for w in own], dtype=np.int64)
+    pairs, inverse, times = np.unique(ids[:-1] * len(own) + ids[1:], return_inverse=True, return_counts=True)
+    information = known.of(places[pairs // len(own)], places[pairs % len(own)])
     # a word is fresh if it did not come within the window before it
     order = np.argsort(ids, kind="stable")
     gap = np.full(n + 1, WINDOW + 1)
     gap[order[1:]] = np.where(ids[order[1:]] == ids[order[:-1]], order[1:] - order[:-1], WINDOW + 1)
+    by_pair = np.stack([information, information**2, information < GLUE, np.minimum(times, MOST_REPEATED)])
+    sums = np.zeros((5, n + 1))
+    np.cumsum(by_pair[:, inverse], axis=1, out=sums[:4, 1:])
+    np.cumsum(gap[:-1] > WINDOW, out=sums[4, 1:])
     width = min(WINDOW, n)
     starts = np.arange(0, n - width + 1, STEP)
-
-    def mean(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        return (sums[starts + width] - sums[starts]) / width
-
-    level = mean(information)
-    spread = np.sqrt(np.maximum(mean(information**2) - level**2, 0))
-    rows = np.stack([level, spread, mean(information < GLUE), np.log(mean(np.minimum(times[inverse], MOST_REPEATED))), mean(gap[:-1] > WINDOW)])
+    level, square, glue, repeated, fresh = (sums[:, starts + width] - sums[:, starts]) / width
+    rows = np.stack([level, np.sqrt(np.maximum(square - level**2, 0)), glue, np.log(repeated), fresh])
     rows.sort(axis=1)
     middle = (rows[:, (len(starts) - 1) // 2] + rows[:, len(starts) // 2]) / 2
     return np.append(middle, len(kept) / (len(kept) + figures))
