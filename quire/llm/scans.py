@@ -38,12 +38,12 @@ CONFUSIONS = {
     ("rn", "m"), ("m", "rn"), ("n", "ri"), ("ri", "n"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("h", "li"), ("li", "h"), ("lc", "k"), ("tl", "d"),
     ("0", "o"), ("o", "0"), ("0", "a"), ("1", "l"), ("1", "i"), ("l", "1"), ("l", "i"), ("i", "l"), ("i", "1"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("j", "i"), ("5", "s"), ("s", "5"), ("$", "s"),
     ("9", "g"), ("g", "9"), ("q", "g"), ("6", "g"), ("g", "6"), ("6", "b"), ("8", "b"), ("b", "8"), ("3", "e"), ("2", "z"), ("z", "2"), ("4", "a"), ("7", "t"), ("c", "e"), ("e", "c"), ("(", "c"), ("f", "t"), ("t", "f"),
-    ("h", "b"), ("b", "h"), ("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"),
+    ("in", "m"), ("c1", "d"), ("h", "b"), ("b", "h"), ("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"),
 }
 STRAY = "~|^*_\\`°¦§"
 CONFUSED, STRAYED, CASE, WRONG = 0.2, 0.2, 0.1, 1.0
-#: The most that a repair may cost.
-MOST_COST = 0.95
+#: The most that a repair may cost by itself, and where the words beside it speak for it.
+MOST_COST, MOST_COST_IN_CONTEXT = 0.95, 1.25
 
 
 @lru_cache(maxsize=200_000)
@@ -58,33 +58,48 @@ def shapes(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+#: No repair within the limits shifts letters by more places.
+BAND = 7
+
+
 @lru_cache(maxsize=200_000)
 def repair_cost(read: str, meant: str) -> float:
-    """Weighted edit distance from what was read to what is meant: confusions and stray marks are cheap."""
+    """Weighted edit distance from what was read to what is meant: confusions and stray marks are cheap. Beyond the most
+    that a repair may cost it is only told to be so."""
     a, b = read.lower(), meant.lower()
-    rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    if abs(len(a) - len(b)) > BAND:
+        return 99.0
+    rows: list[dict[int, float]] = []
     for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if not i and not j:
-                continue
-            best = 99.0
+        row: dict[int, float] = {}
+        for j in range(max(0, i - BAND), min(len(b), i + BAND) + 1):
+            best = 0.0 if not i and not j else 99.0
             if i and j:
-                best = rows[i - 1][j - 1] + (0.0 if a[i - 1] == b[j - 1] else CONFUSED if (a[i - 1], b[j - 1]) in CONFUSIONS else WRONG)
+                best = rows[i - 1].get(j - 1, 99.0) + (0.0 if a[i - 1] == b[j - 1] else CONFUSED if (a[i - 1], b[j - 1]) in CONFUSIONS else WRONG)
             if i:
-                best = min(best, rows[i - 1][j] + (STRAYED if a[i - 1] in STRAY else WRONG))
+                best = min(best, rows[i - 1].get(j, 99.0) + (STRAYED if a[i - 1] in STRAY else WRONG))
             if j:
-                best = min(best, rows[i][j - 1] + WRONG)
+                best = min(best, row.get(j - 1, 99.0) + WRONG)
             for m, n in ((2, 1), (1, 2)):
                 if i >= m and j >= n and (a[i - m : i], b[j - n : j]) in CONFUSIONS:
-                    best = min(best, rows[i - m][j - n] + CONFUSED)
-            rows[i][j] = best
-    return rows[-1][-1]
+                    best = min(best, rows[i - m].get(j - n, 99.0) + CONFUSED)
+            row[j] = best
+        if i and min(row.values()) > MOST_COST_IN_CONTEXT and min(rows[-1].values()) > MOST_COST_IN_CONTEXT:
+            return 99.0
+        rows.append(row)
+    return rows[-1].get(len(b), 99.0)
+
+
+#: Words of more letters are rare; their keys are both ends, one of which an error leaves alone.
+LONG, END_LETTERS = 40, 16
 
 
 def deletes(word: str) -> list[str]:
     """The keys of a word in the symmetric-delete index: its shapes, whole and with any one letter left out."""
     forms = shapes("".join(c for c in word if c not in STRAY) or word)
-    return list({key for form in forms for key in (form, *(form[:k] + form[k + 1 :] for k in range(len(form) if len(form) > 4 else 0)))})
+    if len(word) > LONG:
+        return list({key for form in forms for key in ("<" + form[:END_LETTERS], ">" + form[-END_LETTERS:])})
+    return list({key for form in forms for key in (form, *(form[:k] + form[k + 1 :] for k in range(len(form) if len(form) > 2 else 0)))})
 
 
 # ---------------------------------------------------------------------------------------------- words of lines
@@ -254,6 +269,8 @@ def wrong_page_number(text: str) -> bool:
 
 #: A word seen so often in direct blocks is right; a repair is so many times as frequent as what it replaces.
 SEEN, RATIO = 2, 5
+#: Of a word's distinct neighbours, the share that must know a repair by plain edits.
+SPEAKING = 0.5
 #: A word never written small may be a name: it must be so frequent to be put together from parts or to be a repair. One
 #: that mentions of entities hold, or any where no mentions are given, repairs only words that hold signs which no name does.
 ORDINARY = 20
@@ -277,8 +294,54 @@ def name_words(mentions: DataFrame) -> DataFrame:
     return simple.unionAll(mentions.where(~ascii_only).select("text").mapInArrow(run, "name string")).distinct()
 
 
-def word_repairs(counts: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lexicon, repairs, torn): counts of words, (word, repair, kind) of wrong words, (a, b, repair) of torn ones.
+def candidates(wrong: DataFrame, lexicon: DataFrame, mentions: DataFrame | None) -> DataFrame:
+    """(word, key, n_key, unsure, cost, plain) from the symmetric-delete index: what a wrong word may stand for.
+
+    `plain` candidates cost more than confusions and stray marks do; they need the context to speak for them.
+    """
+    keys, cost = F.udf(deletes, T.ArrayType(T.StringType())), F.udf(repair_cost, T.DoubleType())
+    capital = lexicon.where((F.col("n_lower") < 3) & (F.col("n_key") >= ORDINARY)).select("key")
+    if mentions is None:
+        names, named = None, capital
+    else:
+        names = checkpointed(name_words(mentions))
+        parts = capital.select("key", F.explode(F.split(F.regexp_replace("key", "['’]s$", ""), r"[^\p{L}\p{M}]+")).alias("name"))
+        named = parts.join(names, "name", "left_semi").select("key").distinct()
+    targets = lexicon.join(named.withColumn("named", F.lit(True)), "key", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    indexed = targets.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2)).select("key", "n_key", "n_lower", "named", (F.col("n_key_direct") < SEEN).alias("unsure"), F.explode(keys("key")).alias("d"))
+    asked = wrong.where(F.length("word") >= F.when(F.col("word").rlike(r"^\p{Lu}"), 4).otherwise(2)).select("word", "n", F.explode(keys("word")).alias("d"))
+    free = (F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]")
+    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & (free | ~F.col("named") & F.col("word").rlike(r"^\p{Lu}"))).select("word", "key", "n_key", "unsure", free.alias("free")).distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST_IN_CONTEXT)
+    if names is not None:  # a name is no misread of a word that is never written small
+        met = met.join(names.withColumn("is_name", F.lit(True)), F.lower("word") == F.col("name"), "left").withColumn("is_name", F.col("is_name").isNotNull()).where(F.col("free") | ~F.col("is_name"))
+    else:
+        met = met.withColumn("is_name", F.col("word").rlike(r"^\p{Lu}"))
+    plain = F.col("cost") > MOST_COST
+    sound = ~F.col("unsure") & ~F.col("is_name") & F.col("free") & F.col("word").rlike(r"^[\p{L}\p{M}'’\-‐]{3,}$")
+    return checkpointed(met.where(~plain | sound).select("word", "key", "n_key", "unsure", "cost", plain.alias("plain")))
+
+
+def in_context(met: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, key, cost, plain, a, b, second, n_pair): the candidates that the context is to decide on, with each pair (a, b)
+    that their word comes in (as the second of the two, or the first) and how often that pair is known with the
+    candidate in the word's place. `known` has (a, b, n_pair)."""
+    several = met.groupBy("word").agg(F.count("*").alias("ways"))
+    asked = checkpointed(met.join(several, "word").where("plain OR ways > 1").select("word", "key", "cost", "plain"))
+    met_in = counts.where("b IS NOT NULL").select("a", "b")
+    after = asked.join(met_in, F.col("word") == F.col("b")).select("word", "key", "cost", "plain", "a", "b", F.lit(True).alias("second"), F.lower("a").alias("x"), F.col("key").alias("y"))
+    before = asked.join(met_in, F.col("word") == F.col("a")).select("word", "key", "cost", "plain", "a", "b", F.lit(False).alias("second"), F.col("key").alias("x"), F.lower("b").alias("y"))
+    pairs = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "n_pair")
+    return checkpointed(after.unionAll(before).join(pairs, ["x", "y"], "left").select("word", "key", "cost", "plain", "a", "b", "second", F.coalesce("n_pair", F.lit(0)).alias("n_pair")))
+
+
+def context_score(n_pair: Column, cost: Column) -> Column:
+    """How well a candidate fits between its neighbours: a confusion more weighs as much as e times the pairs."""
+    return F.log1p(n_pair) - cost / CONFUSED
+
+
+def word_repairs(counts: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lexicon, repairs, torn, placed): counts of words, (word, repair, kind) of wrong words, (a, b, repair, rarer) of torn
+    ones, and (a, b, second, repair) for words whose repair depends on the word before or after them.
 
     What is a name is told by `mentions` (text); without them, every word never written small counts as one.
     """
@@ -290,36 +353,35 @@ def word_repairs(counts: DataFrame, mentions: DataFrame | None = None) -> tuple[
     doubtful = words.withColumn("n", F.col("n") + F.col("n_edge")).where((F.col("n_direct") < SEEN) & ~F.col("word").rlike(r"^[\W\d_]*$|^(US\$|RM)[\d.,]*$")).join(lexicon, lower == lexicon["key"], "left")
     regular = (F.col("word") == lower) | (F.col("word") == F.upper("word")) | (F.col("word") == F.initcap("word"))
     doubtful = checkpointed(doubtful.where(~(F.coalesce("n_key_direct", F.lit(0)) >= SEEN) | ~regular).select("word", "n", (F.coalesce("n_key_direct", F.lit(0)) >= SEEN).alias("known")))
-    figure, keys = F.udf(lambda w: bool(FIGURE.match(w)), T.BooleanType()), F.udf(deletes, T.ArrayType(T.StringType()))
-    cost = F.udf(repair_cost, T.DoubleType())
+    figure = F.udf(lambda w: bool(FIGURE.match(w)), T.BooleanType())
     figures = doubtful.where(F.col("word").rlike(r"\d") & figure("word")).select("word", F.lit(None).cast("string").alias("repair"), F.lit("figure").alias("kind"))
     # oddly capitalised: known but for its capitals; a name of two (McAdam) is not
     cased = doubtful.where(F.col("known") & F.col("word").rlike(r"^\p{Ll}+\p{Lu}|^\p{Lu}\p{Ll}*\p{Lu}+\p{Ll}|\p{Ll}\p{Lu}$")).select("word", lower.alias("repair"), F.lit("case").alias("kind"))
-    wrong = doubtful.where(~F.col("known") & (F.length("word") >= F.when(F.col("word").rlike(r"^\p{Lu}"), 4).otherwise(2)) & (F.length("word") <= 40) & ~F.col("word").rlike(r"^[\W\d_]+$"))
-    capital = lexicon.where((F.col("n_lower") < 3) & (F.col("n_key") >= ORDINARY)).select("key")
-    if mentions is None:
-        names, named = None, capital
-    else:
-        names = checkpointed(name_words(mentions))
-        parts = capital.select("key", F.explode(F.split(F.regexp_replace("key", "['’]s$", ""), r"[^\p{L}\p{M}]+")).alias("name"))
-        named = parts.join(names, "name", "left_semi").select("key").distinct()
-    targets = lexicon.join(named.withColumn("named", F.lit(True)), "key", "left").withColumn("named", F.coalesce("named", F.lit(False)))
-    indexed = targets.where(((F.col("n_lower") >= 3) | (F.col("n_key") >= ORDINARY)) & (F.length("key") >= 2) & (F.length("key") <= 40)).select("key", "n_key", "n_lower", "named", (F.col("n_key_direct") < SEEN).alias("unsure"), F.explode(keys("key")).alias("d"))
-    asked = wrong.select("word", "n", F.explode(keys("word")).alias("d"))
-    free = (F.col("n_lower") >= 3) | F.col("word").rlike(r"[\d~|^*_\\!]")
-    met = asked.join(indexed, "d").where((F.col("n_key") >= RATIO * F.col("n")) & (free | ~F.col("named") & F.col("word").rlike(r"^\p{Lu}"))).select("word", "key", "n_key", "unsure", free.alias("free")).distinct().withColumn("cost", cost("word", "key")).where(F.col("cost") <= MOST_COST)
-    if names is not None:  # a name is no misread of a word that is never written small
-        met = met.join(names.withColumn("is_name", F.lit(True)), lower == F.col("name"), "left").where(F.col("free") | F.col("is_name").isNull())
-    # a common misreading may be in the lexicon itself: what direct blocks hold goes first
-    spelt = met.groupBy("word").agg(F.min_by("key", F.struct("unsure", "cost", -F.col("n_key"), "key")).alias("repair")).withColumn("kind", F.lit("word"))
-    # two words run together: both known, and met as neighbours elsewhere
-    pairs = counts.where("b IS NOT NULL AND n > 0").select(F.lower("a").alias("a"), F.lower("b").alias("b"), "n", "n_direct").groupBy("a", "b").agg(F.sum("n").alias("n_pair"), F.sum("n_direct").alias("n_pair_direct"))
-    split = wrong.where((F.length("word") >= 3) & F.col("word").rlike(r"^(\p{Ll}|\p{Lu}.{4})[\p{L}'’\-]*$")).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.struct(F.substring(lower, F.lit(1), k).alias("a"), F.substring(lower, k + 1, F.length("word")).alias("b")))).alias("s")).select("word", "s.*")
-    run = split.join(pairs.where(F.col("n_pair") >= 2), ["a", "b"]).groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), "n_pair").alias("repair")).withColumn("kind", F.lit("run"))
-    repairs = figures.unionAll(cased).unionAll(spelt).unionAll(run.join(spelt.select("word"), "word", "left_anti"))
+    wrong = doubtful.where(~F.col("known") & ~F.col("word").rlike(r"^[\W\d_]+$"))
+    pairs = counts.where("b IS NOT NULL AND n > 0").select(F.lower("a").alias("a"), F.lower("b").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n_pair")).where(F.col("n_pair") >= SEEN)
     # torn apart: neighbours that no direct block has, that together are a word known much better than the pair
     loose = counts.where("b IS NOT NULL").where((F.col("n_direct") == 0) & F.col("a").rlike(r"^[\p{L}'’\-]+$") & F.col("b").rlike(r"^[\p{L}'’\-]+$") & ~F.concat("a", "b").rlike(r"^\p{Lu}{2}$")).select("a", "b", (F.col("n") + F.col("n_edge")).alias("n"), F.lower(F.concat("a", "b")).alias("key"))
-    return lexicon, checkpointed(repairs), loose
+    torn = torn_words(loose, lexicon)
+    met = candidates(wrong, lexicon, mentions)
+    weighed = in_context(met, counts, pairs)
+    # a common misreading may be in the lexicon itself: what direct blocks hold goes first, then what the context speaks for
+    support = weighed.groupBy("word", "key").agg(F.max(F.log1p("n_pair")).alias("support"), F.avg((F.col("n_pair") > 0).cast("double")).alias("share"))
+    fit = met.join(support, ["word", "key"], "left")
+    spelt = fit.where("NOT plain").groupBy("word").agg(F.min_by("key", F.struct("unsure", F.col("cost") / CONFUSED - F.coalesce("support", F.lit(0.0)), -F.col("n_key"), "key")).alias("repair")).withColumn("kind", F.lit("word"))
+    # two words run together: both known, and met as neighbours elsewhere
+    most = F.least(F.length("word") - 1, F.lit(LONG))
+    split = wrong.where((F.length("word") >= 3) & (F.length("word") <= 2 * LONG) & F.col("word").rlike(r"^(\p{Ll}|\p{Lu}.{4})[\p{L}'’\-]*$")).select("word", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.length("word") - LONG), most), lambda k: F.struct(F.substring(lower, F.lit(1), k).alias("a"), F.substring(lower, k + 1, F.length("word")).alias("b")))).alias("s")).select("word", "s.*")
+    run = split.join(pairs, ["a", "b"]).groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), "n_pair").alias("repair")).withColumn("kind", F.lit("run"))
+    # any other wrong letter: most of the word's neighbours know the candidate, and the word is no part of a torn one
+    parts = torn.select(F.lower("a").alias("part")).unionAll(torn.select(F.lower("b"))).distinct()
+    edited = fit.where(F.col("plain") & (F.col("share") >= SPEAKING)).join(parts, lower == F.col("part"), "left_anti")
+    edited = edited.groupBy("word").agg(F.max_by("key", F.struct(context_score(F.exp("support"), F.col("cost")), "n_key", "key")).alias("repair")).withColumn("kind", F.lit("edit"))
+    repairs = figures.unionAll(cased).unionAll(spelt).unionAll(run.join(spelt.select("word"), "word", "left_anti"))
+    repairs = checkpointed(repairs.unionAll(edited.join(repairs.select("word"), "word", "left_anti")))
+    # per occurrence: of what the words beside it know, the candidate that fits best
+    apt = weighed.where("n_pair > 0").join(repairs.where("kind IN ('word', 'edit')").select("word", "kind"), "word").where(~F.col("plain") | (F.col("kind") == "edit"))
+    placed = apt.groupBy("a", "b", "second").agg(F.max_by("key", F.struct(context_score(F.col("n_pair"), F.col("cost")), "key")).alias("repair"), F.max(context_score(F.col("n_pair"), F.col("cost"))).alias("fits"))
+    return lexicon, repairs, torn, placed
 
 
 def torn_words(loose: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -448,8 +510,7 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None
     twice count twice in the lexicon, where it does not matter, and once here.
     """
     counts = checkpointed(word_counts(blocks))
-    lexicon, repairs, loose = word_repairs(counts, mentions)
-    torn = torn_words(loose, lexicon)
+    lexicon, repairs, torn, _ = word_repairs(counts, mentions)
     findings = checkpointed(line_findings(linked_lines(pages, blocks), sound_words(counts, repairs, torn)))
     sure = findings.where("role = 'sure' AND defect <> 'hyphen'").select("id", "defect")
     wrong = findings.where("role = 'word'").join(repairs, F.col("a") == F.col("word"), "left_semi").select("id", "defect")
@@ -461,12 +522,14 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | None
 # ---------------------------------------------------------------------------------------------- paragraphs
 
 
-def line_repairs(findings: DataFrame, repairs: DataFrame, torn: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(id, words, pairs, cut): per block the repairs of its words and torn pairs, and whether its last word is cut.
+def line_repairs(findings: DataFrame, repairs: DataFrame, torn: DataFrame, placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(id, words, pairs, placed, cut): per block the repairs of its words, its torn pairs, the repairs that depend on a
+    neighbour, and whether its last word is cut.
 
     A block's repairs are as many as its words at most."""
     words = findings.where("role = 'word'").join(repairs.where("repair IS NOT NULL"), F.col("a") == F.col("word")).groupBy("id").agg(F.collect_set(F.struct("word", "repair")).alias("words"))
-    pairs = findings.where("role = 'pair'").join(torn, ["a", "b"]).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    both = torn.select("a", "b", F.lit(None).cast("boolean").alias("second"), F.lit(None).cast("string").alias("repair"), F.lit(None).cast("double").alias("fits")).unionAll(placed)
+    pairs = findings.where("role = 'pair'").select("id", "a", "b").join(both, ["a", "b"]).groupBy("id").agg(F.collect_set(F.when(F.col("second").isNull(), F.struct("a", "b"))).alias("pairs"), F.collect_set(F.when(F.col("second").isNotNull(), F.struct("a", "b", "second", "repair", "fits"))).alias("placed"))
     cut = cuts.select("id", F.lit(True).alias("cut")).distinct()
     return words.join(pairs, "id", "full_outer").join(cut, "id", "full_outer")
 
@@ -495,19 +558,24 @@ DIGITS = str.maketrans("OoIlSBZGgqb?!|", "00115826996711")
 SUSPENDING = frozenset("and or to und oder et ou y o".split())
 
 
-def repaired_tokens(text: str, words: dict[str, str], pairs: set[tuple[str, str]]) -> list[str]:
-    """The tokens of a line with its repairs made: capitals as they were, figures' letters as digits, torn words whole."""
+def repaired_tokens(text: str, words: dict[str, str], pairs: set[tuple[str, str]], placed: dict[tuple[str, str, bool], tuple[float, str]]) -> list[str]:
+    """The tokens of a line with its repairs made: capitals as they were, figures' letters as digits, torn words whole.
+
+    `placed` has, by a pair and whether the word is its second, how well which repair fits there; it goes before `words`.
+    """
     tokens = plain(text).split()
+    cores = list(map(core, tokens))
     out: list[str] = []
     k = 0
     while k < len(tokens):
-        token, own = tokens[k], core(tokens[k])
-        if k + 1 < len(tokens) and (own, core(tokens[k + 1])) in pairs:
+        token, own = tokens[k], cores[k]
+        if k + 1 < len(tokens) and (own, cores[k + 1]) in pairs:
             out.append(token + tokens[k + 1])
             k += 2
             continue
         if own in words:
-            meant = words[own]
+            fitting = [placed.get((cores[k - 1], own, True)) if k else None, placed.get((own, cores[k + 1], False)) if k + 1 < len(tokens) else None]
+            meant = max(filter(None, fitting), default=(0.0, words[own]))[1]
             first = next((c for c in own if c.isalpha()), "")
             if own.isupper() and len(own) > 1:
                 meant = meant.upper()
@@ -527,8 +595,8 @@ def without_first(text: str) -> str:
     return "".join(plain(text).split(maxsplit=1)[1:])
 
 
-def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set[tuple[str, str]]]], rest: str | None = None) -> list[str]:
-    """Paragraphs of a page's body lines in order, each (text, x1, bottom - top, cut, word repairs, pair repairs).
+def paragraphs_of(lines: list[tuple], rest: str | None = None) -> list[str]:
+    """Paragraphs of a page's body lines in order, each (text, x1, bottom - top, cut, word repairs, torn pairs, placed repairs).
     `rest` of the page's last word, from the next page, completes it.
 
     A line that ends a sentence well before the column's edge ends a paragraph, as does a heading-like one (few words,
@@ -540,8 +608,8 @@ def paragraphs_of(lines: list[tuple[str, float, float, bool, dict[str, str], set
     done: list[str] = []
     held: list[str] = []
     glue: str | None = None
-    for n, (text, x1, _, cut, words, pairs) in enumerate(lines):
-        tokens = repaired_tokens(text, words, pairs)
+    for n, (text, x1, _, cut, words, pairs, placed) in enumerate(lines):
+        tokens = repaired_tokens(text, words, pairs, placed)
         if not tokens:
             continue
         whole = len(tokens)
@@ -576,24 +644,23 @@ def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | N
     lines are one group, whose size paper bounds.
     """
     counts = checkpointed(word_counts(blocks))
-    lexicon, repairs, loose = word_repairs(counts, mentions)
-    torn = torn_words(loose, lexicon)
+    lexicon, repairs, torn, placed = word_repairs(counts, mentions)
     lines = linked_lines(pages, blocks)
     findings = checkpointed(line_findings(lines, sound_words(counts, repairs, torn)))
     cuts = checkpointed(hyphen_cuts(findings, lexicon))
-    fixes = line_repairs(findings, repairs, torn, cuts)
+    fixes = line_repairs(findings, repairs, torn, placed, cuts)
     if over_pages:
         fixes = fixes.join(carried_words(findings, cuts), "id", "full_outer")
     else:
         fixes = fixes.withColumns({"rest": F.lit(None).cast("string"), "taken": F.lit(False)})
     body = lines.where("zone = 'body'").select(F.col("id").cast("long").alias("id"), "page_id", "block_order", "text", "x1", (F.col("bottom") - F.col("top")).alias("h")).join(fixes, "id", "left")
-    grouped = body.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_order", "id", "text", "x1", "h", "cut", "words", "pairs", "rest", "taken"))).alias("lines"))
+    grouped = body.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_order", "id", "text", "x1", "h", "cut", "words", "pairs", "placed", "rest", "taken"))).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, texts = [], [], []
             for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [(without_first(r["text"]) if r["taken"] else r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}) for r in rows]
+                own = [(without_first(r["text"]) if r["taken"] else r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}, {(p["a"], p["b"], p["second"]): (p["fits"], p["repair"]) for p in r["placed"] or ()}) for r in rows]
                 for n, text in enumerate(paragraphs_of(own, rows[-1]["rest"])):
                     ids.append(page)
                     numbers.append(n)

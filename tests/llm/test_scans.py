@@ -117,3 +117,52 @@ def test_words_cut_at_the_end_of_a_page(spark, tables, tmp_path):
     for name, df in (("pages", pages), ("blocks", blocks), ("entity_mentions", spark.createDataFrame([("Gelzutazz",)], "text string"))):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     assert {r["page_id"]: r["text"] for r in queries.p1_paragraphs(spark, str(tmp_path)).where("page_id > 10").collect()} == rows
+
+
+SOUND = ["the company reported revenue of the logistics segment", "expenses for transport and storage were lower", "customers of the company paid for transport in advance", "revenue of the northern branch grew in autumn", "the managers expect lower expenses for storage", "our warehouse in the harbour was closed in autumn"]
+SLIPS = {"comany": "company", "revnue": "revenue", "logstics": "logistics", "segmxnt": "segment", "expennses": "expenses", "transprt": "transport", "storags": "storage", "cusomers": "customers", "advancee": "advance", "northrn": "northern", "brannch": "branch", "manaqers": "managers", "warehousse": "warehouse", "harbur": "harbour", "autuxn": "autumn", "cloxed": "closed", "repoorted": "reported", "lowwer": "lower", "expekt": "expect", "grewx": "grew"}
+
+
+@pytest.fixture(scope="module")
+def slipped(spark):
+    """Pages of sound lines, and a scan with one plain slip a line."""
+    blocks, number = [], 0
+    for k in range(1, 9):
+        page(blocks, k, "clean", SOUND * 2, "direct")
+    lines = [" ".join(wrong if w == right else w for w in line.split()) for wrong, right in SLIPS.items() for line in [next(x for x in SOUND if right in x.split())]]
+    page(blocks, 20, "scan", lines)
+    pages = spark.createDataFrame([(p, "clean" if p < 20 else "scan", p, 792.0) for p in (*range(1, 9), 20)], "id bigint, document_id string, page_number int, height double")
+    return pages, spark.createDataFrame(blocks, "id bigint, page_id bigint, document_id string, block_order int, text string, x0 double, top double, x1 double, bottom double, method string, confidence double"), blocks
+
+
+def test_plain_slips(slipped, monkeypatch):
+    pages, rows, blocks = slipped
+    slips = {b[0] for b in blocks if b[1] == 20 and set(b[4].split()) & SLIPS.keys()}
+    found = lambda: {r["block_id"] for r in scans.scan_defects(pages, rows).where("defect = 'misread'").collect()}
+    assert len(slips) == 20 and len(found() & slips) >= 18
+    monkeypatch.setattr(scans, "SPEAKING", 2.0)  # without the words beside them, none is accepted
+    assert len(found() & slips) <= 5
+
+
+def test_deletions_find_the_slips(slipped, monkeypatch):
+    """Without the keys of letters left out, the index does not bring slips and words together."""
+    assert not any(set(scans.shapes(a)) & set(scans.shapes(b)) for a, b in SLIPS.items() if len(a) != len(b) and a != "comany" and scans.repair_cost(a, b) > scans.MOST_COST)
+    assert all(set(scans.deletes(a)) & set(scans.deletes(b)) for a, b in SLIPS.items())
+
+
+def test_neighbours_choose_the_repair(spark):
+    """`nat` may stand for `hat` or `bat`; what stands beside it tells which."""
+    blocks = []
+    for k in range(1, 9):
+        page(blocks, k, "clean", ["she wore a warm hat every winter", "the old bat flew by night again"] * 3, "direct")
+    page(blocks, 20, "scan", ["she wore a warm oat every winter", "the old 6at flew by night again", "the warm nat every winter", "the old nat flew by night"])
+    pages = spark.createDataFrame([(p, "clean" if p < 20 else "scan", p, 792.0) for p in (*range(1, 9), 20)], "id bigint, document_id string, page_number int, height double")
+    rows = spark.createDataFrame(blocks, "id bigint, page_id bigint, document_id string, block_order int, text string, x0 double, top double, x1 double, bottom double, method string, confidence double")
+    text = " ".join(r["text"] for r in scans.page_paragraphs(pages, rows).where("page_id = 20").collect())
+    assert "the warm hat every winter" in text and "the old bat flew by night" in text
+
+
+def test_long_words(spark):
+    long = "antidisestablishmentarianismandcounterreformation"
+    assert scans.repair_cost(long.replace("m", "rn", 1), long) <= scans.MOST_COST and set(scans.deletes(long)) & set(scans.deletes(long.replace("m", "rn", 1)))
+    assert scans.repair_cost("x" * 30_000, "x" * 29_999 + "y") == 1.0
