@@ -192,12 +192,14 @@ def page_lines(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """(id, page_id, document_id, page_number, block_order, text, method, zone, ...) of each block once.
 
     zone is `head`, `foot` or `body`. A line is at the head if it begins in the page's upper part and a gap follows
-    it, or the head lines below it, before the body; at the foot likewise. Blocks without a page or text are left out.
+    it, or the head lines below it, before the body; at the foot likewise. Blocks without a page or text are left out, and
+    so are rows delivered again, equal in every column.
     """
     own = blocks.where("trim(text) <> ''").select("id", "page_id", "block_order", "text", "top", "bottom", "x0", "x1", "method")
-    # one shuffle by page serves the join, the doubled rows and the windows
-    lines = own.repartition("page_id").dropDuplicates(["page_id", "id"]).join(pages.select(F.col("id").alias("page_id"), "document_id", "page_number", "height"), "page_id")
-    down = Window.partitionBy("page_id").orderBy("top", "block_order")
+    # one shuffle by page serves the join, which needs no order, and the windows, whose order brings doubled rows together
+    lines = own.repartition("page_id").join(pages.select(F.col("id").alias("page_id"), "document_id", "page_number", "height").hint("shuffle_hash"), "page_id")
+    down = Window.partitionBy("page_id").orderBy("top", "block_order", "id")
+    lines = lines.withColumn("again", F.coalesce(F.lag("id").over(down) == F.col("id"), F.lit(False))).where("NOT again").drop("again")
     height = F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0))
     line_height = F.least(height, F.lit(24.0))
     above = F.max("bottom").over(down.rowsBetween(Window.unboundedPreceding, -1))
@@ -645,7 +647,7 @@ def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | N
     """
     counts = checkpointed(word_counts(blocks))
     lexicon, repairs, torn, placed = word_repairs(counts, mentions)
-    lines = linked_lines(pages, blocks)
+    lines = checkpointed(linked_lines(pages, blocks))
     findings = checkpointed(line_findings(lines, sound_words(counts, repairs, torn)))
     cuts = checkpointed(hyphen_cuts(findings, lexicon))
     fixes = line_repairs(findings, repairs, torn, placed, cuts)
