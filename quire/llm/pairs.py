@@ -8,6 +8,7 @@ question, and script and function-word checks of both languages find the rest.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -18,37 +19,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import checkpointed
+
 # ---------------------------------------------------------------------------------------------- pushdown parser
 
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 CLOSERS = {")", "]", "}", "”", "»"}
 VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr"}
+EMPHASIS = ("**", "__", "~~")
 TAG = regex.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>|<[A-Za-z/][^<>]*\Z")
-LIST_ITEM = regex.compile(r"(?m)^[ \t]*(?:[-*•]|\d{1,3}[.)])[ \t]*\Z")
+ITEM = regex.compile(r"([ \t]*)(?:([-*•])|(\d{1,3}|[a-z])([.)]))(?:[ \t]+(?=\S)|[ \t]*(?=\n|\Z))")
+#: Marks after which something has to come, and words of which the same holds.
+PROMISES = frozenset(",;:–—/&+=…")
+#: English words that no sentence ends in.
+NEVER_LAST = frozenset("a an the of and or but nor because while whereas although unless if than with from by for at into onto upon among between during within without under per via our their its his my your is are was were be been being has have had will would shall should may might must can could which whose".split())
+ENDING = regex.compile(r"[.!?;:。！？؟]")
+
+
+class Rows:
+    """The list items and table rows of a text, line by line: items by their indent on a stack, a table as its cells."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[int, str, list[str]]] = []  # indent, kind of marker, contents so far
+        self.cells = 0
+
+    def line(self, text: str) -> None:
+        bare = text.strip()
+        if bare.startswith("|"):
+            closed = bare.endswith("|") and len(bare) > 1
+            count = bare.count("|") - 1 if closed else 0
+            self.cells = max(self.cells, count)
+            self.row_open = not closed or count < self.cells
+            return
+        self.row_open = False
+        if bare:
+            self.cells = 0
+        marker = ITEM.match(text)
+        if marker:
+            indent, kind = len(marker.group(1).expandtabs(4)), marker.group(2) or ("1" if marker.group(3).isdigit() else "a") + marker.group(4)
+            while self.items and (self.items[-1][0] > indent or self.items[-1][0] == indent and self.items[-1][1] != kind):
+                self.items.pop()
+            if not self.items or self.items[-1][0] < indent:
+                self.items.append((indent, kind, []))
+            self.items[-1][2].append(text[marker.end() :].strip())
+        elif bare and self.items:
+            if text[:1].isspace():
+                self.items[-1][2][-1] += " " + bare  # an item goes on
+            else:
+                self.items.clear()
+        elif not bare:
+            self.row_open = False
+
+    def open(self) -> list[str]:
+        """`row` of fewer cells than those above it or without its end; `item` that is empty, of words only that promise
+        more, or without the stop that all items above it have."""
+        found = ["row"] if getattr(self, "row_open", False) else []
+        if self.items:
+            *above, last = self.items[-1][2]
+            words = regex.findall(r"\p{L}+", last.lower())
+            stopped = [bool(ENDING.search(x[-1:])) for x in above]
+            if (not last and (above or len(self.items) > 1)) or words and NEVER_LAST.issuperset(words) and above or len(above) > 1 and all(stopped) and not ENDING.search(last[-1:]):
+                found.append("item")
+        return found
 
 
 def open_at_end(text: str) -> list[str]:
-    """What `text` leaves open, outermost first: fences, code spans, brackets, quotations, tags, an empty list item.
+    """What `text` leaves open, outermost first: fences, code spans, emphasis, brackets, quotations, tags, list items, table
+    rows, and `more` after a mark that something has to follow.
 
     Inside a fence or code span nothing else counts. A closing mark pops back to its opener; one without an opener is
     ignored, as in `1)` or `:)`. Apostrophes and inch marks are no quotations: a straight double quote opens only
-    before a word and after a gap.
+    before a word and after a gap; so does emphasis, and it closes after a word.
     """
     stack: list[str] = []
-    i, n = 0, len(text)
+    rows, fenced, promised = Rows(), False, False
+    i, n, line = 0, len(text), 0
     while i < n:
         c = text[i]
         if text.startswith("```", i):
             stack.pop() if stack and stack[-1] == "```" else stack.append("```")
-            i += 3
+            i, fenced, promised = i + 3, True, False
             continue
         if stack and stack[-1] == "```":
             i += 1
             continue
+        if c == "\n":
+            if not fenced:
+                rows.line(text[line:i])
+            line, fenced = i + 1, False
         if c == "`":
             stack.pop() if stack and stack[-1] == "`" else stack.append("`")
         elif stack and stack[-1] == "`":
             pass
+        elif text[i : i + 2] in EMPHASIS:
+            mark = text[i : i + 2]
+            if mark in stack and i and not text[i - 1].isspace():
+                while stack.pop() != mark:
+                    pass
+            elif i + 2 < n and not text[i + 2].isspace() and text[i + 2] not in "*_~" and (i == 0 or not text[i - 1].isalnum()) or i + 2 == n and i and text[i - 1].isspace():
+                stack.append(mark)
+            i += 2
+            continue
         elif c == "<" and (tag := TAG.match(text, i)):
             if tag.group(2) is None:
                 stack.append("<")
@@ -76,10 +147,15 @@ def open_at_end(text: str) -> list[str]:
                 stack.append(c)
         elif c in OPENERS:
             stack.append(c)
+        if c in PROMISES or text.startswith("...", i) or c == "-" and i and text[i - 1].isspace():
+            promised = True
+            i += 2 * text.startswith("...", i)
+        elif not c.isspace() and c not in "\"'”’»":
+            promised = False
         i += 1
-    if LIST_ITEM.search(text) and "\n" in text.strip():
-        stack.append("item")
-    return stack
+    if not fenced:
+        rows.line(text[line:])
+    return stack + rows.open() + ["more"] * promised
 
 
 def _unescaped(body: str) -> str:
@@ -128,36 +204,113 @@ def json_texts(raw: str | None) -> tuple[list[str], bool]:
 
 # ---------------------------------------------------------------------------------------------- refusals
 
-#: The refusal grammar, over lower-case text with plain apostrophes and single spaces.
-REFUSAL = regex.compile(
-    r"""
-    (?:^|[.!,;:]\ )(?:i'?m|i\ am|we\ are)?\ ?(?:very\ |so\ |truly\ )?sorry\b(?:\ but)?,?\ (?:but\ )?(?:i|we|this|that|the|no)\b
-  | \b(?:i|we)\ (?:(?:must|have\ to|will\ have\ to|am\ going\ to)\ (?:respectfully\ )?(?:decline|refuse)|(?:decline|refuse)\ to)\b
-  | \b(?:i|we)(?:\ would|'d)?\ (?:much\ )?(?:rather|prefer|choose)\ not\ (?:to\ )?(?:answer|comment|say|discuss|respond|state|give|speculate|disclose)\b | \bplease\ (?:ask|consult|contact)\ an?\ (?:qualified|professional|financial|licensed)\b
-  | \b(?:must|i|we)\ decline\b | \bdecline\ to\ (?:answer|comment|say|respond|state|give)\b
-  | \b(?:i|we|this\ assistant|the\ assistant|the\ model)\ (?:can\ ?not|can't|could\ not|couldn't|won't|will\ not|am\ not\ able\ to|are\ not\ able\ to|am\ unable\ to|are\ unable\ to)\ (?:answer|help|assist|discuss|provide|give|state|say|tell|share|comply|determine|find|respond|offer|disclose|comment)\b
-  | \b(?:am|are|is|was)\ (?:unable|not\ able|not\ permitted|not\ allowed)\ to\ (?:answer|help|assist|discuss|provide|give|state|say|tell|share|comply|determine|find|respond|offer|disclose|comment)\b
-  | \bnot\ (?:permitted|allowed|able|possible)\ (?:for\ (?:me|us)\ )?to\ (?:answer|discuss|say|give|provide|state|determine|tell)\b
-  | \bas\ an?\ (?:ai|artificial\ intelligence|language\ model|assistant|ai\ language\ model|large\ language\ model)\b
-  | \b(?:no|an)\ answer\ (?:can|could|may)(?:not|\ not)?\ be\ (?:provided|given|found|determined)\b
-  | \b(?:outside|beyond)\ (?:of\ )?(?:what\ i|the\ scope|my)\b
-  | \b(?:do|does|did)\ ?(?:not|n't)\ (?:contain|provide|include|hold|give|offer|have)\ (?:enough|sufficient|any|the\ (?:necessary|required|requested|relevant))?\ ?(?:evidence|information|data|details|access|context|support)\b
-  | \b(?:do|does)\ ?(?:not|n't)\ have\ access\b | \bpassages?\ (?:found\ )?(?:do|does)\ not\ (?:say|state|mention|tell|answer|cover)\b
-  | \b(?:not\ enough|insufficient|no\ sufficient|lack\ of|no\ supporting)\ (?:evidence|information|context|data)\b
-  | \bno\ evidence\ (?:was\ found|is\ available|in\ the\ (?:passages|context|documents?))\b
-  | \bcannot\ be\ (?:answered|determined|established)\ (?:from|on|with|by)\b
-  | \bje\ (?:suis\ désolée?|ne\ peux\ pas|ne\ suis\ pas\ en\ mesure|dois\ refuser)\b | \bne\ (?:contiennent|contient|permettent|permet)\ pas\ (?:assez|suffisamment|d'éléments|de\ répondre)
-  | \b(?:es\ tut\ mir\ leid|ich\ kann\ (?:das|diese|dazu|ihnen|leider)|(?:leider|dazu)\ (?:kann\ ich|ist\ es\ mir)|nicht\ genügend\ (?:belege|angaben|informationen)|keine\ ausreichenden)\b
-  | \b(?:lo\ siento|no\ puedo\ (?:responder|ayudar|dar|facilitar|indicar)|no\ (?:contienen|contiene|hay)\ (?:suficientes?|pruebas|evidencias?|información\ suficiente))\b
-  | \b(?:mi\ dispiace|non\ posso\ (?:rispondere|aiutare|fornire)|non\ contengono\ (?:prove|informazioni)\ sufficienti)\b
-  | \b(?:het\ spijt\ me|ik\ kan\ (?:deze|daar|dit)\ |onvoldoende\ (?:bewijs|informatie))
-    """,
-    regex.X,
-)
+#: The refusal grammar, over lower-case words, symbols in capitals; `^` begins a sentence or clause. A symbol with ? may be left out, one with *
+#: may be repeated. Whoever declines is the one who answers: what others cannot do or say is no refusal.
+GRAMMAR = {
+    "REFUSAL": ("APOLOGY", "DECLINING", "PREFERENCE", "INABILITY", "PASSIVE", "OUTSIDE", "LACK", "^ as an? PERSONA", "please REFERRAL", "FOREIGN"),
+    "APOLOGY": ("^ OWN_STATE? DEGREE* sorry but? SUBJECT",),
+    "OWN_STATE": ("i'm", "i am", "we are", "we're"),
+    "SUBJECT": ("i", "we", "this", "that", "the", "no"),
+    "SPEAKER": ("i", "we", "this ROLE", "the ROLE"),
+    "ROLE": ("assistant", "model", "system", "chatbot"),
+    "DECLINING": ("SPEAKER DUTY? DEGREE* REFUSE", "^ must REFUSE", "SPEAKER_IS going to REFUSE"),
+    "DUTY": ("must", "have to", "will have to", "will", "would", "should", "shall"),
+    "REFUSE": ("decline to SPEECH", "refuse to SPEECH", "decline ^", "refuse ^", "decline this", "decline that"),
+    "PREFERENCE": ("SPEAKER would? DEGREE* rather not SPEECH", "SPEAKER would? DEGREE* prefer not to SPEECH", "SPEAKER would? DEGREE* choose not to SPEECH", "i'd DEGREE* rather not SPEECH", "i'd DEGREE* prefer not to SPEECH"),
+    "INABILITY": ("SPEAKER DEGREE* CANNOT DEGREE* SPEECH", "SPEAKER_IS DEGREE* UNABLE SPEECH", "^ DEGREE* UNABLE SPEECH", "^ CANNOT SPEECH", "it is not possible FOR_ME? to SPEECH", "it's not possible FOR_ME? to SPEECH"),
+    "SPEAKER_IS": ("i am", "i'm", "we are", "we're", "this ROLE is", "the ROLE is", "i was", "we were"),
+    "FOR_ME": ("for me", "for us"),
+    "CANNOT": ("cannot", "can not", "can't", "could not", "couldn't", "won't", "will not", "am not able to", "are not able to"),
+    "UNABLE": ("unable to", "not able to", "not permitted to", "not allowed to", "not in a position to"),
+    "PASSIVE": ("no answer MODAL be GIVEN", "an answer CANNOT be GIVEN", "THING? CANNOT be GIVEN PREPOSITION SOURCE"),
+    "THING": ("question", "request", "answer", "this", "that", "it"),
+    "MODAL": ("can", "could", "may"),
+    "GIVEN": ("provided", "given", "found", "determined", "answered", "established"),
+    "PREPOSITION": ("from", "on", "with", "by", "based on", "using"),
+    "OUTSIDE": ("BEYOND of? what OWN", "BEYOND of? my", "BEYOND of? the scope of my", "BEYOND of? the scope of SOURCE", "BEYOND of? the scope of what OWN"),
+    "BEYOND": ("beyond", "outside"),
+    "OWN": ("i", "we", "the ROLE", "this ROLE"),
+    "LACK": ("SOURCE FOUND? DO_NOT DEGREE* TELL", "SOURCE FOUND? DO_NOT DEGREE* HOLD SOME? MATTER", "SPEAKER DO_NOT DEGREE* have SOME? MATTER", "SPEAKER LACK SOME? MATTER", "there is SCARCE MATTER", "there was SCARCE MATTER", "^ SCARCE MATTER", "no MATTER was found", "no MATTER is available", "no MATTER in SOURCE"),
+    "SOURCE": ("DET KIND? DOCUMENT", "DET KIND? DOCUMENT provided"),
+    "DET": ("the", "these", "this", "those", "your", "given"),
+    "KIND": ("given", "provided", "available", "retrieved", "supplied", "source", "above"),
+    "DOCUMENT": ("passages", "passage", "context", "documents", "document", "sources", "source", "excerpts", "excerpt", "evidence", "texts", "text", "materials", "material", "pages"),
+    "FOUND": ("found", "given", "provided", "above", "retrieved", "supplied"),
+    "DO_NOT": ("do not", "does not", "did not", "don't", "doesn't", "didn't"),
+    "TELL": ("say", "state", "mention", "tell", "answer", "cover", "address", "specify"),
+    "HOLD": ("contain", "provide", "include", "hold", "give", "offer", "have"),
+    "SOME": ("enough", "sufficient", "any", "the necessary", "the required", "the requested", "the relevant", "relevant"),
+    "SCARCE": ("not enough", "insufficient", "no sufficient", "no supporting", "a lack of", "lack of"),
+    "MATTER": ("evidence", "information", "data", "details", "access", "context", "support"),
+    "PERSONA": ("ai", "artificial intelligence", "language model", "assistant", "ai language model", "large language model", "ai assistant", "ai model"),
+    "REFERRAL": ("ask a qualified", "ask a professional", "consult a qualified", "consult a professional", "consult a financial", "contact a qualified", "contact a professional", "ask a financial", "ask a licensed", "consult a licensed"),
+    "SPEECH": ("answer", "help", "assist", "discuss", "provide", "give", "state", "say", "tell", "share", "comply", "determine", "find", "respond", "offer", "disclose", "comment", "confirm", "speculate"),
+    "DEGREE": ("very", "so", "truly", "really", "respectfully", "unfortunately", "therefore", "also", "simply", "much", "currently", "still"),
+    "FOREIGN": (
+        "je suis désolé", "je suis désolée", "je ne peux pas", "je ne suis pas en mesure", "je dois refuser", "ne contiennent pas assez", "ne contient pas assez", "ne contiennent pas suffisamment", "ne contient pas suffisamment",
+        "ne permettent pas de répondre", "ne permet pas de répondre", "ne contiennent pas d'éléments", "ne contient pas d'éléments", "es tut mir leid", "ich kann das", "ich kann diese", "ich kann dazu", "ich kann ihnen", "ich kann leider", "leider kann ich", "dazu kann ich",
+        "leider ist es mir", "dazu ist es mir", "nicht genügend belege", "nicht genügend angaben", "nicht genügend informationen", "keine ausreichenden", "lo siento", "no puedo responder", "no puedo ayudar", "no puedo dar", "no puedo facilitar", "no puedo indicar",
+        "no contienen suficiente", "no contienen suficientes", "no contiene suficiente", "no contiene suficientes", "no hay suficiente", "no hay suficientes", "no contienen pruebas", "no hay pruebas", "no contienen información suficiente", "no hay información suficiente",
+        "mi dispiace", "non posso rispondere", "non posso aiutare", "non posso fornire", "non contengono prove sufficienti", "non contengono informazioni sufficienti", "het spijt me", "ik kan deze", "ik kan daar", "ik kan dit", "onvoldoende bewijs", "onvoldoende informatie",
+    ),
+}
+RULES = {symbol: tuple(way.split() for way in ways) for symbol, ways in GRAMMAR.items()}
+TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:'[\p{L}]+)*|[.!?;:,\n]")
+
+
+@lru_cache(maxsize=None)
+def beginnings(symbol: str) -> frozenset[str]:
+    """The words that `symbol` may begin with."""
+    if symbol not in RULES:
+        return frozenset((symbol,))
+    found: set[str] = set()
+    for way in RULES[symbol]:
+        for part in way:
+            found |= beginnings(part.rstrip("?*"))
+            if part[-1] not in "?*":
+                break
+    return frozenset(found)
+
+
+def derived(symbol: str, words: list[str], at: int) -> set[int]:
+    """Where `symbol` may end if it begins at `at`."""
+    if symbol == "an?":
+        return {at + 1} if at < len(words) and words[at] in ("a", "an") else set()
+    if symbol[-1] in "?*":
+        ends, todo = {at}, [at]
+        while todo:
+            new = derived(symbol[:-1], words, todo.pop()) - ends
+            ends |= new
+            todo += new if symbol[-1] == "*" else ()
+        return ends
+    if symbol not in RULES:
+        return {at + 1} if at < len(words) and words[at] == symbol else set()
+    if at >= len(words) or words[at] not in beginnings(symbol) and "^" not in beginnings(symbol):
+        return set()
+    ends = set()
+    for way in RULES[symbol]:
+        places = {at}
+        for part in way:
+            places = {end for place in places for end in derived(part, words, place)}
+            if not places:
+                break
+        ends |= places
+    return ends
 
 
 def is_refusal(text: str) -> bool:
-    return bool(REFUSAL.search(" ".join(text.lower().replace("’", "'").split())))
+    """Whether a refusal can be derived anywhere in `text`."""
+    words = ["^"]
+    for word in TOKENS.findall(text.lower().replace("’", "'")):
+        if word[0].isalnum():
+            words.append(word)
+        elif words[-1] != "^":
+            words.append("^")
+    words = [*words, "^"] if words[-1] != "^" else words
+    # a comma within a phrase parts nothing: it is tried with and without
+    bare = ["^", *(w for w in words if w != "^")]
+    first = beginnings("REFUSAL")
+    return any(w in first and derived("REFUSAL", own, k) for own in (words, bare) for k, w in enumerate(own))
 
 
 # ---------------------------------------------------------------------------------------------- copies of the question
@@ -166,49 +319,44 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Words that only announce a question.
 ANNOUNCING = frozenset("question the is was here asked you i my your answer q a frage die lautet ist la est pregunta es domanda vraag de".split())
 LEAST_TILE = 3
-#: An answer longer than so many questions loses its repetitions before it is tiled.
-MOST_COPIES = 4
+
+
+def longest_runs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """For each place of `a`, the length of the longest run from there that `b` holds, and its first place in `b`.
+
+    Only places of `b` with the same word are looked at, from the back, so that each run grows from the one behind it.
+    """
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(b):
+        places.setdefault(word, []).append(j)
+    behind: dict[int, int] = {}
+    runs = [(0, 0)] * len(a)
+    for i in range(len(a) - 1, -1, -1):
+        behind = {j: behind.get(j + 1, 0) + 1 for j in places.get(a[i], ())}
+        if behind:
+            runs[i] = max(((k, -j) for j, k in behind.items()))
+            runs[i] = (runs[i][0], -runs[i][1])
+    return runs
 
 
 def tiles(a: list[str], b: list[str], least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: longest common runs first, no word in two tiles, as (place in a, place in b, length)."""
-    marked_a, marked_b, found = [False] * len(a), [False] * len(b), []
-    while True:
-        longest, best = least - 1, []
-        for i in range(len(a)):
-            for j in range(len(b)):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not marked_a[i + k] and not marked_b[j + k]:
-                    k += 1
-                if k > longest:
-                    longest, best = k, [(i, j)]
-                elif k == longest and k >= least:
-                    best.append((i, j))
-        if not best:
-            return found
-        for i, j in best:
-            if not any(marked_a[i : i + longest]) and not any(marked_b[j : j + longest]):
-                marked_a[i : i + longest] = marked_b[j : j + longest] = [True] * longest
-                found.append((i, j, longest))
-
-
-def without_repeats(a: list[str], q: list[str]) -> list[str]:
-    """`a` with runs of copies of `q` as one copy, then, where it is periodic, as many periods as hold `q`, and one more."""
-    out: list[str] = []
-    k, copied = 0, False
-    while k < len(a):
-        copy = a[k : k + len(q)] == q
-        if not (copy and copied):
-            out += q if copy else a[k : k + 1]
-        k, copied = k + (len(q) if copy else 1), copy
-    borders = [0] * len(out)
-    for i in range(1, len(out)):
-        n = borders[i - 1]
-        while n and out[i] != out[n]:
-            n = borders[n - 1]
-        borders[i] = n + (out[i] == out[n])
-    period = len(out) - borders[-1]
-    return out[: period * (2 + len(q) // period)]
+    """Greedy string tiling of `a` by runs of `b`: the longest first, no word of `a` in two tiles, as (place in a, place in b,
+    length). `b` may be used again and again, as by an answer that repeats its question."""
+    runs = longest_runs(a, b)
+    waiting = [(-k, i, j) for i, (k, j) in enumerate(runs) if k >= least]
+    heapq.heapify(waiting)
+    marked, found = [False] * len(a), []
+    while waiting:
+        k, i, j = heapq.heappop(waiting)
+        free = 0
+        while free < -k and not marked[i + free]:
+            free += 1
+        if free == -k:
+            marked[i : i + free] = [True] * free
+            found.append((i, j, free))
+        elif free >= least:
+            heapq.heappush(waiting, (-free, i, j))
+    return found
 
 
 def copies_question(question: str, answer: str) -> bool:
@@ -216,11 +364,10 @@ def copies_question(question: str, answer: str) -> bool:
     q, a = (WORD.findall(unicodedata.normalize("NFKC", x).casefold()) for x in (question, answer))
     if not q or not a or not ANNOUNCING.union(q).issuperset(a):
         return False
-    if len(a) > MOST_COPIES * len(q) + 8:
-        a = without_repeats(a, q)
-    laid = tiles(a, q * (1 + len(a) // len(q)), min(LEAST_TILE, len(q)))  # it may be said more than once
+    laid = tiles(a, q + q, min(LEAST_TILE, len(q)))  # twice, so that a run may go on into the next copy
     covered = {k for i, _, n in laid for k in range(i, i + n)}
-    return sum(n for _, _, n in laid) >= 0.75 * len(q) and all(a[k] in ANNOUNCING for k in range(len(a)) if k not in covered)
+    asked = {k % len(q) for _, j, n in laid for k in range(j, j + n)}
+    return len(asked) >= 0.75 * len(q) and all(a[k] in ANNOUNCING for k in range(len(a)) if k not in covered)
 
 
 # ---------------------------------------------------------------------------------------------- languages
@@ -266,9 +413,6 @@ def language(text: str) -> str | None:
 # ---------------------------------------------------------------------------------------------- one pair
 
 ENDED = regex.compile(r"[.!?。！？؟][\"'”’»)\]*_]*\Z")
-CUT = regex.compile(r"(?:…|\.\.\.|[,;:(\[{–—/&+=]|\s-)[\"'”’]?\Z")
-#: English words that no sentence ends in.
-NEVER_LAST = frozenset("a an the of and or but nor because while whereas although unless if than with from by for at into onto upon among between during within without under per via our their its his my your is are was were be been being has have had will would shall should may might must can could which whose".split())
 LAST = regex.compile(r"(?:\A|\s)[(\[\"“«']*(\p{L}[\p{L}\p{M}'’\-‐]*)\Z")
 
 
@@ -292,7 +436,7 @@ def defect_of(question: str | None, answer: str | None, raw_output: str | None,
     if question and copies_question(question, text):
         return "copied_question", text, None
     stripped = text.rstrip()
-    if inside or CUT.search(stripped) or open_at_end(stripped):
+    if inside or open_at_end(stripped):
         return "truncated", text, None
     spoken, asked = language(text), language(question or "")
     if spoken and asked and spoken != asked:
@@ -334,7 +478,8 @@ def defective_pairs(results: DataFrame, reference: DataFrame | None = None) -> D
     Whether a last word breaks off is told from its other uses in all answers and in the texts of `reference` (text).
     """
     once = results.select("uid", "question", "answer", "raw_output", "expected_status").dropDuplicates(["uid"])
-    looked = once.select("uid", _defects("question", "answer", "raw_output", "expected_status").alias("d")).select("uid", "d.*")
+    # four consumers: it is looked at once
+    looked = checkpointed(once.select("uid", _defects("question", "answer", "raw_output", "expected_status").alias("d")).select("uid", "d.*"))
     texts = looked.where("defect IS NULL OR defect = 'truncated'").select("text")
     uses = word_uses(texts if reference is None else texts.unionAll(reference.select("text")))
     known = uses.where("n_mid + n_end > 0 AND length(word) > 1")

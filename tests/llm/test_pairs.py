@@ -73,3 +73,45 @@ def test_table(spark):
 def test_question_copied_many_times(answer, copied):
     question = "What was the total revenue of the group in 2019?"
     assert pairs.copies_question(question, answer.format(question)) is copied
+
+
+@pytest.mark.parametrize("text", ["1. first\n2. second\n3. and", "- sales rose.\n- costs fell.\n- margins", "1. one\n   a) sub\n   b)", "| a | b |\n|---|---|\n| 1 |", "| a | b |\n| 1 | 2", "so **bold", "the costs of A,", "it was due to …", "and more...", "between 2018 –", "see:", "~~gone"])
+def test_left_open_lists_rows_and_marks(text):
+    assert pairs.open_at_end(text)
+
+
+@pytest.mark.parametrize("text", ["1. first\n2. second\n3. third", "- sales rose.\n- costs fell.\n- margins too.", "- a\n  - b\n  - c\n- d", "| a | b |\n|---|---|\n| 1 | 2 |", "**bold** ~~gone~~", "3*4 and 2**3", "Item 5.", "5.", "a) yes", "Sales rose.\n\nCosts fell", "well-known", "a, b; c"])
+def test_closed_lists_rows_and_marks(text):
+    assert not pairs.open_at_end(text)
+
+
+@pytest.mark.parametrize("text", ["Revenue fell because the plant was not able to provide power.", "The bank is not permitted to provide loans above 5m.", "Sales must decline before they can rise.", "The auditors could not determine the value, so it was written off.", "Insufficient capital was the reason.", "The segment lies outside the scope of the tax rules.", "The contracts do not contain any data protection clause.", "The company refused to answer the claim.", "Management decided not to give figures."])
+def test_what_others_cannot_do(text):
+    assert not pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["Unfortunately, I am currently not able to provide this.", "We are unable to determine the amount.", "The documents provided do not contain enough information.", "There is insufficient evidence to say.", "I don't have access to that report.", "Unable to answer from the context.", "It is not possible for me to say.", "That is beyond what I can discuss.", "The question cannot be answered from the given passages."])
+def test_more_refusals(text):
+    assert pairs.is_refusal(text)
+
+
+def test_the_parser_decides(spark, monkeypatch):
+    """Without the parser, answers that end with something open are not found."""
+    ask = "Which factor explains the change in goodwill in 2020?"
+    rows = [(f"u{k}", ask, "answered", f"The change reflects {end}", None) for k, end in enumerate(["higher freight rates (mostly", "two things:\n1. freight rates\n2. and", "what it called “stricter checks", "freight rates, wages,", "**freight rates"])]
+    df = spark.createDataFrame(rows, "uid string, question string, expected_status string, answer string, raw_output string")
+    assert {r["defect"] for r in pairs.defective_pairs(df).collect()} == {"truncated"} and pairs.defective_pairs(df).count() == 5
+    assert all(pairs.defect_of(r[1], r[3], None, "answered")[0] == "truncated" for r in rows)
+    monkeypatch.setattr(pairs, "open_at_end", lambda text: [])
+    assert sum(pairs.defect_of(r[1], r[3], None, "answered")[0] == "truncated" for r in rows) <= 1
+
+
+@pytest.mark.parametrize("times", [1, 4, 5, 6, 7, 60])
+def test_any_number_of_copies(times):
+    assert pairs.copies_question("What was the goodwill in 2020?", "What was the goodwill in 2020? " * times)
+
+
+def test_long_answers_are_tiled_quickly():
+    words = ("the goodwill was what in 2020 " * 5000).split()
+    assert sum(n for *_, n in pairs.tiles(words, "what was the goodwill in 2020".split(), 2)) > 0
+    assert not pairs.copies_question("What was the goodwill in 2020?", "2020 in " * 10_000)
