@@ -23,10 +23,38 @@ def test_occurrences_like_brute_force():
         assert set(tables.occurrences(words)) == wanted
 
 
-def test_stock_phrases_are_no_test_strings():
+def test_stock_phrases_are_no_leaks():
+    """They are test strings of all their passages; laid along the document, what they find is too short."""
     stock = "this report contains statements about the future that involve risks"
-    tables = leakage.Passages([("a", stock + " alpha beta gamma delta epsilon zeta eta"), ("b", stock + " one two three four five six seven")])
-    assert tables.occurrences(stock.split()) == []
+    rng = random.Random(4)
+    tables = leakage.Passages([("a", stock + " " + passage(rng, 30)), ("b", passage(rng, 30) + " " + stock)])
+    assert {p for p, _, _ in tables.occurrences(stock.split())} == {0, 1}
+    assert tables.leaks((passage(rng, 20) + " " + stock + " " + passage(rng, 20)).split()) == {}
+
+
+def test_passages_within_others():
+    rng = random.Random(5)
+    text = passage(rng, 23)
+    tables = leakage.Passages([("u1", text), ("u2", text + " more"), ("u3", "two words " + text)])
+    assert set(tables.leaks((passage(rng, 30) + " " + text + " " + passage(rng, 30)).split())) == {"u1", "u2", "u3"}
+
+
+def test_every_sixth_and_fifth_word_changed():
+    rng = random.Random(6)
+    for n, every in ((23, 6), (23, 5), (90, 6), (90, 5)):
+        words = passage(rng, n).split()
+        tables = leakage.Passages([("u", " ".join(words))])
+        copy = [("zzz" if k % every == every - 1 else w) for k, w in enumerate(words)]
+        assert set(tables.leaks(passage(rng, 40).split() + copy + passage(rng, 40).split())) == {"u"}
+
+
+def test_blocks_of_passages(spark):
+    rng = random.Random(7)
+    texts = [passage(rng, 30) for _ in range(7)]
+    assert [len(b) for b in leakage.blocks_of([("u", t) for t in texts], 65)] == [2, 2, 2, 1] and list(leakage.blocks_of([])) == []
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    passages = [(f"u{k}", t) for k, t in enumerate(texts)]
+    assert sorted(map(tuple, leakage.leaking(docs, passages, most=65).collect())) == sorted(map(tuple, leakage.leaking(docs, passages).collect())) == [(k, f"u{k}", 1.0) for k in range(7)]
 
 
 def test_what_leaks():
