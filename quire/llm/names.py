@@ -1,8 +1,8 @@
 """Problem 4: variant spellings of the names of people and organisations.
 
 Name parts (family names, first names, firm names) that are one typing error apart come from a trie join: words are
-sharded by their halves, one of which an error leaves alone; each shard becomes a trie, and a Levenshtein automaton of
-each word walks it. Whole names are then read as parts in any order, completed from the fuller names of the same family
+sharded by their halves, one of which an error leaves alone (short ones by what is left without a letter); each shard
+becomes a trie, and a Levenshtein automaton of each word walks it. Whole names are then read as parts in any order, completed from the fuller names of the same family
 or firm where only one fits, and led along the joined parts to the most frequent spelling of their entity.
 """
 
@@ -93,23 +93,57 @@ def trie_of(words: list[str]) -> dict:
     return root
 
 
+#: Words of up to so many letters are sharded by what is left without one letter, longer ones by their halves.
+SHORT_WORD = 7
+#: A shard of more words is split by the rest of its words.
+SHARD_WORDS = 20_000
+
+
 def shards(word: str) -> list[str]:
-    """Keys of which two words within one error share at least one: both halves, and one letter less of each."""
-    half = max(1, len(word) // 2)
-    return sorted({side + part for n in {half, max(1, half - 1)} for side, part in (("<", word[:n]), (">", word[-n:]))})
+    """Keys of which two words within one error share at least one.
+
+    For short words these are the word and what is left of it without one letter, so that no more words share one than
+    there are letters to put in; for long ones both halves, of four letters at least, and one letter less of each. Words
+    of the length between have the keys of both.
+    """
+    keys = {"=" + word, *("=" + word[:k] + word[k + 1 :] for k in range(len(word)))} if len(word) <= SHORT_WORD + 1 else set()
+    if len(word) > SHORT_WORD:
+        half = len(word) // 2
+        keys |= {side + part for n in (half, half - 1) for side, part in (("<", word[:n]), (">", word[-n:]))}
+    return sorted(keys)
+
 
+def split_shard(word: str, shard: str) -> list[str]:
+    """The keys of a word in a shard that is split: the shard's half is the same, so the error is in the rest."""
+    if shard[0] == "=":
+        return [shard]  # bounded by the alphabet
+    n = len(shard) - 1
+    return [f"{shard}/{key}" for key in shards(word[n:] if shard[0] == "<" else word[:-n])]
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(kind, a, b) with a <> b, both ways, of all words of `words` (kind, word) of a kind that are one error apart."""
-    keys = F.udf(shards, T.ArrayType(T.StringType()))
-    placed = words.where(F.length("word") >= 4).select("kind", "word", F.explode(keys("word")).alias("shard"))
+
+@lru_cache(maxsize=20_000)
+def automaton(word: str) -> Automaton:
+    return Automaton(word)
+
+
+def near_words(words: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
+    """(kind, a, b) with a <> b, both ways, of all words of `words` (kind, word) of a kind that are one error apart.
+
+    Words of fewer than four letters are left alone: names so short are one letter apart by nature (Jon, Ron, Don).
+    """
+    keys, split = F.udf(shards, T.ArrayType(T.StringType())), F.udf(split_shard, T.ArrayType(T.StringType()))
+    placed = checkpointed(words.where(F.length("word") >= 4).select("kind", "word", F.explode(keys("word")).alias("shard")))
+    large = placed.groupBy("kind", "shard").agg(F.count("*").alias("held")).where((F.col("held") > most) & ~F.col("shard").startswith("="))
+    if not large.isEmpty():
+        parted = placed.join(large, ["kind", "shard"]).select("kind", "word", F.explode(split("word", "shard")).alias("shard"))
+        placed = placed.join(large, ["kind", "shard"], "left_anti").select("kind", "word", "shard").unionAll(parted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def pairs(kind: str) -> pa.RecordBatch:
             trie = trie_of(held)
-            found = [(kind, a, b) for a in held for b in Automaton(a).walk(trie) if a != b]
+            found = [(kind, a, b) for a in held for b in automaton(a).walk(trie) if a != b]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["kind", "a", "b"])
 
         for batch in batches:

@@ -37,6 +37,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.same_entity_pairs(table(spark, folder, "entity_mentions"))
 
 
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.linked_names(table(spark, folder, "entity_mentions"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_items(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
 
@@ -59,7 +63,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_consistent, p3_found, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_consistent, p3_found, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 #: A word is what stands between Unicode white space, as in the operator.

@@ -89,3 +89,37 @@ def test_long_chains_have_one_root(spark):
     nodes = spark.createDataFrame([(k,) for k in range(100)], "k int")
     edges = spark.createDataFrame([(k, (k + 1,), k + 1) for k in range(99)], "k int, to struct<k:int>, to_weight int")
     assert {r["root"]["k"] for r in names._led(nodes, edges, ["k"]).collect()} == {99}
+
+
+def test_shards_meet():
+    """Any word and any other one error away share a shard, split ones too."""
+    import random
+
+    rng = random.Random(3)
+    letters = "abcdefgh"
+    for _ in range(4000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randrange(4, 22)))
+        k, kind = rng.randrange(len(word)), rng.randrange(4)
+        other = (word[:k] + word[k + 1 :], word[:k] + rng.choice(letters) + word[k:], word[:k] + rng.choice(letters) + word[k + 1 :], word[:k] + word[k : k + 2][::-1] + word[k + 2 :])[kind]
+        if len(other) < 4:
+            continue
+        common = set(names.shards(word)) & set(names.shards(other))
+        assert common, (word, other)
+        halves = {s for s in common if s[0] != "="}
+        assert not halves or any(set(names.split_shard(word, s)) & set(names.split_shard(other, s)) for s in halves), (word, other)
+        assert all(len(s) > 3 for s in names.shards(word))
+
+
+def test_split_shards_give_the_same(spark):
+    words = ["montgomery" + a + b for a in "abcdef" for b in "uvwxyz"] + ["mont", "monty", "month", "mouth"]
+    df = spark.createDataFrame([("family", w) for w in words], "kind string, word string")
+    whole = set(map(tuple, names.near_words(df).collect()))
+    assert whole == set(map(tuple, names.near_words(df, most=5).collect())) and ("family", "mont", "month") in whole and ("family", "montgomeryau", "montgomeryav") in whole
+
+
+def test_entities_and_pairs_agree(spark):
+    rows = [("PERSON", n) for n in ("Ana Belmar", "ana belmar", "Belmar, Ana", "Ana Bellmar", "Rui Costa", None, " ")] + [("ORGANIZATION", n) for n in ("Kordan Bank plc", "Kordan Bank", "KORDAN BANK PLC")]
+    df = spark.createDataFrame(rows, "label string, normalized_text string")
+    linked = {(r["label"], r["name"]): r["entity"] for r in names.linked_names(df).collect()}
+    pairs = {(r["label"], r["name_a"], r["name_b"]) for r in names.same_entity_pairs(df).collect()}
+    assert pairs == {(a[0], a[1], b[1]) for a in linked for b in linked if a[0] == b[0] and linked[a] == linked[b] and a[1] < b[1]} and len(pairs) == 9
