@@ -70,9 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = r"len(regexp_extract_all(text, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+'))"
 
 
-LOOK_ALIKE = "".join(own for own, _ in (characters.CYRILLIC, characters.GREEK, characters.ARMENIAN, characters.CHEROKEE))
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": rf"""
@@ -82,8 +79,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE regexp_matches(text, '[\x{{ff01}}-\x{{ff5e}}\x{{ffe0}}-\x{{ffe6}}\x{{fb00}}-\x{{fb06}}\x{{fb13}}-\x{{fb17}}]|\pL\pM*\p{{Mn}}|[\p{{Cf}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{ffa0}}]')
                 OR regexp_matches(replace(text, ' ', ''), '\p{{Zs}}')
                 OR len(list_filter(regexp_extract_all(text, '[\pL\pM\pN\p{{Cf}}]+'), lambda t:
-                    regexp_matches(t, '\p{{Latin}}') AND regexp_matches(t, '[{LOOK_ALIKE}]')
-                    AND NOT regexp_matches(regexp_replace(t, '[{LOOK_ALIKE}\p{{Latin}}]', '', 'g'), '\pL'))) > 0""",
+                    regexp_matches(t, '\p{{Latin}}') AND regexp_matches(t, '[\p{{Cyrillic}}\p{{Greek}}\p{{Armenian}}\p{{Cherokee}}\p{{Lisu}}]'))) > 0""",
         "p5_found": f"""
             SELECT DISTINCT item_kind, item_id FROM (
                 SELECT 'block' AS item_kind, CAST(id AS VARCHAR) AS item_id, text FROM blocks

@@ -28,9 +28,42 @@ def test_no_cases(text):
     assert characters.consistent(text) == (text, [])
 
 
-def test_kinds():
-    assert characters.token_kind("Cоmpany") == "mixed" and characters.token_kind("закрытой") == "single" and characters.token_kind("рост") == "whole" and characters.token_kind("123") == "none"
-    assert characters.token_kind("Wжb") == "other"
+def test_scripts_of_tokens():
+    common = lambda token: characters.token_scripts(token)[0]
+    assert "Latin" in common("C\u043empany") and "Cyrillic" not in common("C\u043empany") and common("закрытой") == {"Cyrillic"} and common("рост") == {"Cyrillic", "Latin"} and common("123") == set()
+    assert common("Rжz") == set() and characters.chosen_script("Rжz", {}) is None
+    assert {s for c in "xж" for s in characters.scripts(c)} >= {"Latin", "Cyrillic"} and characters.own_script("µ") is None and characters.own_script("ʰ") is None
+
+
+@pytest.mark.parametrize(
+    "text,plain",
+    [
+        ("в М\u006fскве", "в Москве"),  # a Latin o
+        ("в\u006fда", "вода"),
+        ("Совет дал \u006fтчёт о росте", "Совет дал отчёт о росте"),
+        ("τ\u006f μέλλον", "το μέλλον"),
+        ("\ua4eepple and pears", "Apple and pears"),  # Lisu
+    ],
+)
+def test_the_words_own_script(text, plain):
+    got, forms = characters.consistent(text)
+    assert got == plain and forms and characters.consistent(plain) == (plain, [])
+
+
+def test_text_decides_between_scripts():
+    assert characters.consistent("sales of the C\u043ec\u043e brand rose")[0] == "sales of the Coco brand rose"
+    assert characters.consistent("Продажи марки С\u006fс\u006f выросли")[0] == "Продажи марки Сосо выросли"
+
+
+def test_tables_are_consistent():
+    assert all(len(own) == len(latin) and len(set(own)) == len(own) for own, latin in characters.TABLES.values())
+    assert all(characters.own_script(c) == script for script, (own, _) in characters.TABLES.items() for c in own)
+
+
+def test_latin_letters_in_other_scripts_are_no_case(spark):
+    pages = spark.createDataFrame([(1, "в М\u006fскве"), (2, "th\u0435 end")], "id bigint, text string")
+    mentions = spark.createDataFrame([], "id bigint, normalized_text string")
+    assert [tuple(r) for r in characters.deviating_items(pages, mentions).collect()] == [("page", 2)]
 
 
 def test_tables(spark):
