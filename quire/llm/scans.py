@@ -566,6 +566,8 @@ def repaired_tokens(text: str, words: dict[str, str], pairs: set[tuple[str, str]
     `placed` has, by a pair and whether the word is its second, how well which repair fits there; it goes before `words`.
     """
     tokens = plain(text).split()
+    if not words and not pairs and not any(map(str.isdigit, text)):
+        return tokens
     cores = list(map(core, tokens))
     out: list[str] = []
     k = 0
@@ -661,12 +663,22 @@ def page_paragraphs(pages: DataFrame, blocks: DataFrame, mentions: DataFrame | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, texts = [], [], []
-            for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [(without_first(r["text"]) if r["taken"] else r["text"], r["x1"] or 0.0, r["h"] or 0.0, bool(r["cut"]), {w["word"]: w["repair"] for w in r["words"] or ()}, {(p["a"], p["b"]) for p in r["pairs"] or ()}, {(p["a"], p["b"], p["second"]): (p["fits"], p["repair"]) for p in r["placed"] or ()}) for r in rows]
-                for n, text in enumerate(paragraphs_of(own, rows[-1]["rest"])):
+            listed = batch.column(1)
+            offsets, lines = listed.offsets.to_pylist(), listed.flatten()
+            first = offsets[0] if offsets else 0
+            text, x1, h, cut, words, pairs, placed, rest, taken = (lines.field(name).to_pylist() for name in ("text", "x1", "h", "cut", "words", "pairs", "placed", "rest", "taken"))
+            for page, begin, end in zip(batch.column(0).to_pylist(), offsets, offsets[1:], strict=False):
+                own = [
+                    (
+                        without_first(text[k]) if taken[k] else text[k], x1[k] or 0.0, h[k] or 0.0, bool(cut[k]), {w["word"]: w["repair"] for w in words[k] or ()},
+                        {(p["a"], p["b"]) for p in pairs[k] or ()}, {(p["a"], p["b"], p["second"]): (p["fits"], p["repair"]) for p in placed[k] or ()},
+                    )
+                    for k in range(begin - first, end - first)
+                ]
+                for n, paragraph in enumerate(paragraphs_of(own, rest[end - first - 1])):
                     ids.append(page)
                     numbers.append(n)
-                    texts.append(text)
+                    texts.append(paragraph)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["page_id", "paragraph", "text"])
 
     return grouped.select(F.col("page_id").cast("long"), "lines").mapInArrow(run, "page_id long, paragraph long, text string")
