@@ -54,13 +54,13 @@ def tables(spark, documents):
 
 
 def test_windows_of_one_block(spark):
-    pages, blocks = tables(spark, {"d": [(2, 1, "one two three four five six")]})
+    pages, blocks = tables(spark, {"d": [(2, 1, "ropes coil on wet planks here")]})
     rows = chunking.provenance_chunks(pages, blocks, 4, 1).orderBy("ordinal").collect()
-    assert [r["text"] for r in rows] == ["one two three four", "four five six"]
+    assert [r["text"] for r in rows] == ["ropes coil on wet", "wet planks here"]
     assert {(r["page_start"], r["page_end"]) for r in rows} == {(2, 2)}
     span = rows[1]["spans"][0]
-    assert "one two three four five six"[span["block_start"] : span["block_end"]] == "four five six"
-    assert rows[0]["id"] == hashlib.sha256("d\0blocks-v1-4-1\0001\0one two three four".encode()).hexdigest()
+    assert "ropes coil on wet planks here"[span["block_start"] : span["block_end"]] == "wet planks here"
+    assert rows[0]["id"] == hashlib.sha256("d\0blocks-v1-4-1\0001\0ropes coil on wet".encode()).hexdigest()
 
 
 @pytest.mark.parametrize("page_range", [1, 2, 64])
@@ -96,7 +96,7 @@ def test_limits(spark, most, overlap):
 
 
 def test_passages(spark):
-    assert chunking.passages_of("one two three four five six seven eight nine", 5, 2) == ["one two three four five", "four five six seven eight", "seven eight nine"]
+    assert chunking.passages_of("tide ebbs past the old quay wall every dusk", 5, 2) == ["tide ebbs past the old", "the old quay wall every", "wall every dusk"]
     assert chunking.passages_of("a b c\n\nd e f\n \ng", 5, 2) == ["a b c", "b c d e f", "e f g"]
     assert chunking.passages_of(" \n\n ", 5, 2) == []
     rows = spark.createDataFrame([(1, "a b c\n\nd e f", 0), (2, None, 0), (3, "", 0)], "doc_id bigint, text string, passage int")
@@ -107,6 +107,6 @@ def test_lines(spark):
     words = [(1, "late", 50.0, 30.0, 70.0, 40.0), (1, "b", 30.0, 12.5, 40.0, 22.0), (1, "a", 10.0, 10.0, 20.0, 20.0), (1, "c", 50.0, 13.2, 60.0, 23.0)]
     rows = chunking.line_blocks(spark.createDataFrame(words, "page_id bigint, text string, x0 double, top double, x1 double, bottom double")).orderBy("block_order").collect()
     assert [(r["block_order"], r["text"], r["x0"], r["bottom"]) for r in rows] == [(1, "a b", 10.0, 22.0), (2, "c", 50.0, 23.0), (3, "late", 50.0, 40.0)]
-    seen = [(1, 1, "Scanned", 0, 0, 10, 5, 91.0, "1-1"), (1, 2, "evidence", 12, 1, 10, 5, 89.0, "1-1"), (1, 3, "", 0, 9, 1, 1, 50.0, "1-2"), (1, 4, "noise", 0, 9, 1, 1, -1.0, "1-2")]
+    seen = [(1, 1, "Faded", 0, 0, 10, 5, 91.0, "1-1"), (1, 2, "ledger", 12, 1, 10, 5, 89.0, "1-1"), (1, 3, "", 0, 9, 1, 1, 50.0, "1-2"), (1, 4, "noise", 0, 9, 1, 1, -1.0, "1-2")]
     rows = chunking.recognised_blocks(spark.createDataFrame(seen, "page_id bigint, seq bigint, text string, left int, top int, width int, height int, confidence double, line_key string"), 0.5, 0.5).collect()
-    assert [(r["text"], r["confidence"], r["x1"]) for r in rows] == [("Scanned evidence", 90.0, 11.0)]
+    assert [(r["text"], r["confidence"], r["x1"]) for r in rows] == [("Faded ledger", 90.0, 11.0)]

@@ -29,8 +29,8 @@ class Gazetteer:
         self.name, self.shift = name, shift
 
     def mentions(self, pages):
-        start = F.instr("text", "Example Ltd") - 1
-        return pages.where(start >= 0).select(F.col("id"), "document_id", "page_number", F.lit("ORG").alias("label"), F.lit("Example Ltd").alias("text"), (start + self.shift).cast("int").alias("char_start"), (start + 11 + self.shift).cast("int").alias("char_end"), F.lit(None).cast("double").alias("confidence"))
+        start = F.instr("text", "Orwell Marine plc") - 1
+        return pages.where(start >= 0).select(F.col("id"), "document_id", "page_number", F.lit("ORG").alias("label"), F.lit("Orwell Marine plc").alias("text"), (start + self.shift).cast("int").alias("char_start"), (start + len("Orwell Marine plc") + self.shift).cast("int").alias("char_end"), F.lit(None).cast("double").alias("confidence"))
 
 
 class FailingEncoder(HashEncoder):
@@ -47,9 +47,9 @@ class Echo:
 def inbox(tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "first.pdf").write_bytes(PDF + b"Privacy controls at Example Ltd are strict.\fWeather forecast")
-    (folder / "again.pdf").write_bytes(PDF + b"Privacy controls at Example Ltd are strict.\fWeather forecast")
-    (folder / "other.pdf").write_bytes(PDF + b"Zebras graze here.")
+    (folder / "first.pdf").write_bytes(PDF + b"Dredging works by Orwell Marine plc began.\fTide tables")
+    (folder / "again.pdf").write_bytes(PDF + b"Dredging works by Orwell Marine plc began.\fTide tables")
+    (folder / "other.pdf").write_bytes(PDF + b"Sluices close here.")
     (folder / "bad.pdf").write_bytes(b"hello")
     (folder / "broken.pdf").write_bytes(PDF + b"broken")
     return folder
@@ -70,12 +70,12 @@ def test_from_upload_to_reset(spark, inbox, tmp_path):
     assert len(listed) == 3 and {r["name"] for r in listed} >= {"other.pdf", "broken.pdf"}
     document = next(r["id"] for r in listed if r["name"] in ("first.pdf", "again.pdf"))
     assert engine.get(document).first()["pages"] == 2
-    assert [m["normalized_text"] for m in engine.mentions(document).collect()] == ["example ltd"]
-    found = engine.search("privacy").collect()
+    assert [m["normalized_text"] for m in engine.mentions(document).collect()] == ["orwell marine plc"]
+    found = engine.search("dredging").collect()
     assert found[0]["document_id"] == document and found[0]["keyword_rank"] == 1 and found[0]["pages"] == "Page 1"
     assert engine.search(" ").count() == 0
-    assert engine.search("zebra graze").first()["document_name"] == "other.pdf"
-    answer = engine.answer("What about privacy?")
+    assert engine.search("sluice close").first()["document_name"] == "other.pdf"
+    answer = engine.answer("What about dredging?")
     assert answer["status"] == "answered" and answer["claims"][0]["citation_ids"] == ["C1"]
     for bad in (lambda: engine.search("x", 0), lambda: engine.answer(" "), lambda: engine.answer("x", 11)):
         with pytest.raises(ValueError):
@@ -88,7 +88,7 @@ def test_from_upload_to_reset(spark, inbox, tmp_path):
     EvidenceEngine(spark, str(tmp_path / "store"), CountingExtractor(), HashEncoder(), Gazetteer(), max_words=2, overlap=0).ingest(files.uploads(spark, str(inbox)))
     assert engine.store.read("chunks").count() > before and {r[0] for r in engine.store.read("chunks").select("chunker_version").distinct().collect()} == {"blocks-v1-2-0"}
     assert engine.delete(document) and not engine.delete(document)
-    assert engine.search("privacy").where(F.col("document_id") == document).count() == 0 and engine.store.read("chunk_spans").join(engine.store.read("chunks"), F.col("chunk_id") == F.col("id"), "left_anti").count() == 0
+    assert engine.search("dredging").where(F.col("document_id") == document).count() == 0 and engine.store.read("chunk_spans").join(engine.store.read("chunks"), F.col("chunk_id") == F.col("id"), "left_anti").count() == 0
     assert engine.reset() == 2 and engine.documents().count() == 0
 
 

@@ -7,19 +7,21 @@ from quire.operators import entities, generation, metrics
 
 
 def test_relevance(spark):
-    chunks = spark.createDataFrame([("1", "other", "Accrued expenses were 0.9 million.", 2, 2), ("2", "document", "Accrued expenses were 0.9 million.", 1, 1), ("3", "document", "Unrelated", 2, 2), ("4", "document", "Accrued expenses were 0.9 million.", 1, 2)], "id string, document_id string, text string, page_start int, page_end int")
-    judged = spark.createDataFrame([("q", "document", [2], ["$0.9 million", ""])], "query_id string, document_id string, relevant_pages array<int>, evidence_texts array<string>")
-    assert {r["chunk_id"]: r["grade"] for r in metrics.relevance_grades(chunks, judged).collect()} == {"2": 0, "3": 1, "4": 2}
+    said = "Berth fees rose by 3.75 percent after the dredging."
+    chunks = spark.createDataFrame([("elsewhere", "harbour", said, 5, 6), ("page before", "port", said, 3, 4), ("page only", "port", "Cranes were painted.", 6, 7), ("both", "port", said, 4, 5)], "id string, document_id string, text string, page_start int, page_end int")
+    judged = spark.createDataFrame([("fees", "port", [5, 6], ["3.75 PERCENT", "  "])], "query_id string, document_id string, relevant_pages array<int>, evidence_texts array<string>")
+    assert {r["chunk_id"]: r["grade"] for r in metrics.relevance_grades(chunks, judged).collect()} == {"page before": 0, "page only": 1, "both": 2}
 
 
 def test_ranking(spark):
-    grades = spark.createDataFrame([("q", "best", 2), ("q", "relevant", 1), ("q", "other", 0), ("none", "x", 0), ("plain", "y", 1)], "query_id string, chunk_id string, grade int")
-    ranked = spark.createDataFrame([("q", "other", 1), ("q", "relevant", 2), ("q", "best", 3), ("none", "x", 1), ("plain", "y", 1)], "query_id string, chunk_id string, rank int")
+    grades = spark.createDataFrame([("q", "m1", 2), ("q", "m2", 2), ("q", "m3", 1), ("q", "m4", 0), ("empty", "m1", 0), ("loose", "m5", 1)], "query_id string, chunk_id string, grade int")
+    ranked = spark.createDataFrame([("q", "m3", 1), ("q", "m4", 2), ("q", "m1", 3), ("empty", "m1", 1), ("loose", "m9", 1)], "query_id string, chunk_id string, rank int")
     rows = {r["query_id"]: r for r in metrics.ranking_metrics(ranked, grades, (1, 3)).collect()}
     q = rows["q"]
-    assert (q["recall_1"], q["hit_1"], q["evidence_hit_1"], q["recall_3"], q["hit_3"], q["evidence_hit_3"], q["mrr"]) == (0, 0, 0, 1, 1, 1, 0.5)
-    assert math.isclose(q["ndcg"], 0.5868826714, abs_tol=1e-9)
-    assert rows["plain"]["evidence_hit_1"] is None and "none" not in rows
+    assert [q[c] for c in ("hit_1", "evidence_hit_1", "hit_3", "evidence_hit_3", "mrr")] == [1, 0, 1, 1, 1]
+    assert math.isclose(q["recall_1"], 1 / 3) and math.isclose(q["recall_3"], 2 / 3)
+    assert math.isclose(q["ndcg"], (1 + 3 / 2) / (3 + 3 / math.log2(3) + 1 / 2))
+    assert rows["loose"]["evidence_hit_1"] is None and rows["loose"]["ndcg"] == 0 and "empty" not in rows
     with pytest.raises(ValueError):
         metrics.ranking_metrics(ranked, grades, (1, 3), strict=True)
     with pytest.raises(ValueError):
@@ -28,39 +30,45 @@ def test_ranking(spark):
 
 def test_reciprocal_and_paired(spark):
     rows = lambda spec: spark.createDataFrame([(q, k, g) for q, grades in spec.items() for k, g in enumerate(grades, 1)], "query_id string, rank int, grade int")
-    one = rows({"a": [0, 0, 1, 0]})
-    assert metrics.reciprocal_rank(one, 2).first()["rr"] == 0 and math.isclose(metrics.reciprocal_rank(one, 5).first()["rr"], 1 / 3)
+    late = rows({"u": [0, 0, 0, 2, 0]})
+    assert [metrics.reciprocal_rank(late, k).first()["rr"] for k in (3, 4, 5)] == [0, 0.25, 0.25]
     with pytest.raises(ValueError):
-        metrics.reciprocal_rank(one, 0)
-    clean, degraded = rows({"a": [1], "b": [0, 1], "c": [0, 0]}), rows({"a": [0, 1], "b": [1], "c": [0, 0]})
+        metrics.reciprocal_rank(late, 0)
+    clean, degraded = rows({"u": [0, 1], "v": [1], "w": [0, 0, 1], "x": [2]}), rows({"u": [1], "v": [1], "w": [0], "x": [0, 0, 0, 1]})
     s = metrics.paired_summary(metrics.reciprocal_rank(clean), metrics.reciprocal_rank(degraded)).first()
-    assert (s["clean_mrr"], s["degraded_mrr"], s["wins"], s["ties"], s["losses"], s["unpaired"]) == (0.5, 0.5, 1, 1, 1, 0)
+    assert (s["wins"], s["ties"], s["losses"], s["unpaired"], s["queries"]) == (1, 1, 2, 0, 4)
+    assert math.isclose(s["clean_mrr"], (1 / 2 + 1 + 1 / 3 + 1) / 4) and math.isclose(s["degraded_mrr"], 2.25 / 4) and math.isclose(s["mean_delta"], s["degraded_mrr"] - s["clean_mrr"])
     with pytest.raises(ValueError):
-        metrics.paired_summary(metrics.reciprocal_rank(clean), metrics.reciprocal_rank(one), strict=True)
-    assert metrics.padded_grades(spark.createDataFrame([(1, 0), (2, 2)], "rank int, grade int"), 3, 1) == [0, 2, 1, 1]
+        metrics.paired_summary(metrics.reciprocal_rank(clean), metrics.reciprocal_rank(late), strict=True)
 
 
 SPANS = "passage_id string, seq bigint, label string, start bigint, end bigint"
 
 
 def test_spans(spark):
-    refs = spark.createDataFrame([("p", 1, "PERSON", 0, 5), ("p", 2, "ORGANIZATION", 13, 24)], SPANS)
-    preds = spark.createDataFrame([("p", 1, "PERSON", 0, 5), ("p", 2, "ORGANIZATION", 13, 20), ("p", 3, "LOCATION", 28, 34)], SPANS)
+    refs = spark.createDataFrame([("p", 1, "LOCATION", 3, 9), ("p", 2, "PERSON", 20, 31), ("p", 3, "PERSON", 40, 44)], SPANS)
+    preds = spark.createDataFrame([("p", 1, "LOCATION", 3, 9), ("p", 2, "PERSON", 20, 30), ("p", 3, "LOCATION", 40, 44), ("p", 4, "PERSON", 40, 44)], SPANS)
     total = metrics.strict_span_metrics(refs, preds).where("label IS NULL").first()
-    assert (total["true_positives"], total["false_positives"], total["false_negatives"], total["recall"]) == (1, 2, 1, 0.5)
-    assert math.isclose(total["precision"], 1 / 3)
-    relaxed = metrics.relaxed_span_metrics(spark.createDataFrame([("p", 1, "ORGANIZATION", 10, 21)], SPANS), spark.createDataFrame([("p", 1, "ORGANIZATION", 10, 17), ("p", 2, "ORGANIZATION", 12, 21)], SPANS)).where("label IS NULL").first()
-    assert (relaxed["true_positives"], relaxed["false_positives"], relaxed["false_negatives"]) == (1, 1, 0)
+    assert (total["true_positives"], total["false_positives"], total["false_negatives"], total["precision"]) == (2, 2, 1, 0.5)
+    assert math.isclose(total["recall"], 2 / 3)
     nothing = metrics.strict_span_metrics(refs.limit(0), preds.limit(0)).collect()
     assert all(r["f1"] == 0 for r in nothing)
 
 
+def test_overlaps_are_taken_in_order(spark):
+    """Two references want the same prediction: the first takes the first that overlaps it, the second what is left."""
+    refs = spark.createDataFrame([("p", 1, "PERSON", 0, 10), ("p", 2, "PERSON", 8, 20), ("p", 3, "PERSON", 50, 60)], SPANS)
+    preds = spark.createDataFrame([("p", 1, "PERSON", 9, 12), ("p", 2, "PERSON", 2, 4), ("p", 3, "PERSON", 60, 65)], SPANS)
+    r = metrics.relaxed_span_metrics(refs, preds).where("label IS NULL").first()
+    assert (r["true_positives"], r["false_positives"], r["false_negatives"]) == (1, 2, 2)
+
+
 def test_recognised_text(spark):
-    rows = spark.createDataFrame([("abcd", "abxd", 10.0, None), ("one two", "one", 30.0, "boom")], "reference string, prediction string, latency_ms double, error string")
+    rows = spark.createDataFrame([("quay", "quoy", 4.0, None), ("tide table", "tide", 12.0, "torn"), ("sluice", "sluice", 8.0, None)], "reference string, prediction string, latency_ms double, error string")
     r = metrics.error_rates(metrics.error_counts(rows), [[]], []).first()
-    assert math.isclose(r["cer"], 5 / 11) and math.isclose(r["wer"], 2 / 3) and (r["mean_ms"], r["p95_ms"], r["failures"]) == (20.0, 30.0, 1)
-    c = metrics.error_counts(spark.createDataFrame([("Net income was 50", "Net income was 5O"), ("x", None)], "reference string, prediction string")).collect()
-    assert [(x["characters"], x["character_edits"], x["words"], x["word_edits"]) for x in c] == [(17, 1, 4, 1), (1, 1, 1, 1)]
+    assert math.isclose(r["cer"], 7 / 20) and math.isclose(r["wer"], 2 / 4) and (r["mean_ms"], r["p95_ms"], r["failures"]) == (8.0, 12.0, 1)
+    c = metrics.error_counts(spark.createDataFrame([("Dredging ended in 1987", "Dredg ing ended in I987"), ("ebb", None)], "reference string, prediction string")).collect()
+    assert [(x["characters"], x["character_edits"], x["words"], x["word_edits"]) for x in c] == [(22, 2, 4, 3), (3, 3, 1, 1)]
 
 
 def edits(a, b):
@@ -94,13 +102,13 @@ def test_answers(spark):
     texts = lambda *t: F.array(*[F.lit(x) for x in t]).cast("array<string>")
     figures = lambda *t: F.array(*[F.lit(float(x)) for x in t]).cast("array<double>")
     cover = lambda p, t, f: value(spark, metrics.reference_coverage(F.lit(p).cast("string"), t, f))
-    assert cover("The values were 50% and 43%.", texts("50%", "43%"), figures()) == 1.0
-    assert cover("It was -4.59 in all.", texts(), figures(-4.59)) == 1.0
-    assert cover("Only 50% fits.", texts("50%", "43%"), figures()) == 0.5
-    assert cover(None, texts("x"), figures()) == 0.0
+    assert cover("Tolls made up 12% and pilotage 8.5%.", texts("12%", "8.5%"), figures()) == 1.0
+    assert cover("The balance stood at -731.2 by then.", texts(), figures(-731.2)) == 1.0
+    assert cover("Tolls only: 12%.", texts("12%", "8.5%"), figures(12, 99)) == 0.5
+    assert cover(None, texts("tolls"), figures()) == 0.0
     f1 = lambda a, b: value(spark, metrics.token_f1(F.lit(a).cast("string"), F.lit(b).cast("string")))
-    assert math.isclose(f1("Woolworths Group plan", "Woolworths Group Superannuation Plan"), 6 / 7)
-    assert (f1("", ""), f1(None, "x"), f1("a", "b")) == (1.0, 0.0, 0.0)
+    assert math.isclose(f1("north quay north shed", "the north quay shed"), 2 * 3 / 8)
+    assert (f1("", ""), f1(None, "quay"), f1("quay", "shed")) == (1.0, 0.0, 0.0)
 
 
 def test_scorecard(spark):
@@ -134,21 +142,21 @@ MENTIONS = "id bigint, document_id string, page_number int, label string, text s
 
 
 def test_mentions(spark):
-    pages = spark.createDataFrame([("d", 1, "Alice joined Example Ltd in London.")], PAGES)
-    rows = spark.createDataFrame([(1, "d", 1, "PERSON", "Alice", "alice", 0, 5, None), (2, "d", 1, "ORGANIZATION", "Example Ltd", "example ltd", 13, 24, 0.5), (3, "d", 1, "LOCATION", "Paris", "paris", 28, 34, 1.0), (4, "d", 2, "PERSON", "x", "x", 0, 1, None), (5, "d", 1, "DATE", "x", "x", 0, 1, None), (6, "d", 1, "PERSON", "x", "x", 3, 3, None), (7, "d", 1, "PERSON", "lice", "x", 1, 5, 1.5)], MENTIONS)
+    pages = spark.createDataFrame([("d", 7, "In Tarnhaven, Pilot Osk met Orwell Dredging plc.")], PAGES)
+    rows = spark.createDataFrame([(1, "d", 7, "LOCATION", "Tarnhaven", "tarnhaven", 3, 12, None), (2, "d", 7, "ORGANIZATION", "Orwell Dredging plc", "orwell dredging plc", 28, 47, 0.25), (3, "d", 7, "PERSON", "Osk P", "osk p", 20, 25, 1.0), (4, "d", 8, "PERSON", "Osk", "osk", 0, 3, 0.9), (5, "d", 7, "SHIP", "Osk", "osk", 20, 23, 0.9), (6, "d", 7, "PERSON", "", "", 9, 9, 0.9), (7, "d", 7, "PERSON", "haven", "haven", 7, 12, 1.5)], MENTIONS)
     assert {r["id"]: r["problem"] for r in entities.mention_violations(rows, pages).collect()} == {3: "text", 4: "page", 5: "label", 6: "span", 7: "confidence"}
     assert {r["id"] for r in entities.overlapping_mentions(rows.where("id IN (1, 2, 7)")).collect()} == {7}
-    documents = spark.createDataFrame([("d", "ready", "m@1")], "id string, metadata_status string, metadata_model string")
-    keys = spark.createDataFrame([("ORGANIZATION", "example ltd"), ("LOCATION", "example ltd"), ("ORGANIZATION", "example")], "label string, normalized_text string")
-    found = entities.exact_page_matches(rows, documents, keys, "m@1").collect()
-    assert [(r["page_number"], r["label"]) for r in found] == [(1, "ORGANIZATION")]
-    assert entities.exact_page_matches(rows, documents, keys, "m@2").count() == 0
-    mapped = entities.mapped_labels(spark.createDataFrame([("PERSON",), ("ORG",), ("DATE",), (None,)], "label string"))
-    assert [r["label"] for r in mapped.collect()] == ["PERSON", "ORGANIZATION"]
+    documents = spark.createDataFrame([("d", "ready", "tagger@4")], "id string, metadata_status string, metadata_model string")
+    keys = spark.createDataFrame([("ORGANIZATION", "orwell dredging plc"), ("LOCATION", "orwell dredging plc"), ("ORGANIZATION", "orwell")], "label string, normalized_text string")
+    found = entities.exact_page_matches(rows, documents, keys, "tagger@4").collect()
+    assert [(r["page_number"], r["label"]) for r in found] == [(7, "ORGANIZATION")]
+    assert entities.exact_page_matches(rows, documents, keys, "tagger@5").count() == 0
+    mapped = entities.mapped_labels(spark.createDataFrame([("GPE",), ("per",), ("SHIP",), (None,)], "label string"))
+    assert [r["label"] for r in mapped.collect()] == ["LOCATION", "PERSON"]
 
 
 def test_rerank(spark):
-    ranking = spark.createDataFrame([(1, "first", "other", 1, 1), (2, "second", "target", 2, 2), (3, "third", "target", 3, 3), (4, "fourth", "other", 2, 2)], "rank int, chunk_id string, document_id string, page_start int, page_end int")
+    ranking = spark.createDataFrame([(1, "k7", "log", 3, 4), (2, "k2", "chart", 9, 9), (3, "k5", "log", 1, 2), (4, "k9", "chart", 4, 8), (5, "k1", "log", 2, 2)], "rank int, chunk_id string, document_id string, page_start int, page_end int")
     order = lambda m: [r["chunk_id"] for r in entities.page_rerank(ranking, m).orderBy("new_rank").collect()]
-    assert order(spark.createDataFrame([("target", 2), ("target", 2)], "document_id string, page_number int")) == ["second", "first", "third", "fourth"]
-    assert order(spark.createDataFrame([], "document_id string, page_number int")) == ["first", "second", "third", "fourth"]
+    assert order(spark.createDataFrame([("log", 2), ("chart", 6), ("log", 2)], "document_id string, page_number int")) == ["k5", "k9", "k1", "k7", "k2"]
+    assert order(spark.createDataFrame([], "document_id string, page_number int")) == ["k7", "k2", "k5", "k9", "k1"]
\ No newline at end of file

@@ -11,25 +11,25 @@ def texts(spark, rows):
 
 
 def test_keyword_scores(spark):
-    rows = texts(spark, [("a", "The zebra appears in this document.", 1), ("b", "This document discusses another animal.", 2), ("c", None, 3), ("d", "", 4)])
-    found = lexical.top(lexical.bm25(rows, "zebra", "id"), "id", 5).collect()
+    rows = texts(spark, [("a", "Low water at the sluice came early.", 1), ("b", "High water lasted until noon.", 2), ("c", None, 3), ("d", "", 4)])
+    found = lexical.top(lexical.bm25(rows, "sluice", "id"), "id", 5).collect()
     assert [r["id"] for r in found] == ["a"]
-    scaled = fusion.weighted_sum(lexical.bm25(rows, "zebra", "id"), lexical.bm25(rows, "zebra", "id").limit(0), "id", 1.0, 0.0).first()
+    scaled = fusion.weighted_sum(lexical.bm25(rows, "sluice", "id"), lexical.bm25(rows, "sluice", "id").limit(0), "id", 1.0, 0.0).first()
     assert scaled["score"] == 1.0
     assert lexical.bm25(rows, " ", "id").count() == 0
-    assert lexical.top(lexical.bm25(rows, "zebra", "id"), "id", 0).count() == 0
-    assert lexical.bm25(rows.limit(0), "zebra", "id").count() == 0
+    assert lexical.top(lexical.bm25(rows, "sluice", "id"), "id", 0).count() == 0
+    assert lexical.bm25(rows.limit(0), "sluice", "id").count() == 0
 
 
 def test_full_text_scores_equal_the_engine(spark):
-    rows = [(str(k), t, k) for k, t in enumerate(["Privacy controls and controlled privacy", "Weather forecasts", "Élan of x_y: 0.9 million", "privacy", "unrelated words here", "the privacy of the weather"])]
+    rows = [(str(k), t, k) for k, t in enumerate(["Dredged channels and channelling dredgers", "Tidal forecasts", "Élan of x_y: 0.9 million", "dredging", "unrelated words here", "the dredging of the weather"])]
     db = sqlite3.connect(":memory:")
     try:
         db.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, t, tokenize='porter unicode61')")
     except sqlite3.OperationalError:
         pytest.skip("no full-text engine here")
     db.executemany("INSERT INTO f VALUES (?, ?)", [(i, t) for i, t, _ in rows])
-    for query in ("privacy", "controlling weather", "elan", "the"):
+    for query in ("dredging", "channels tidal", "elan", "the"):
         match = " OR ".join(f'"{q}"' for q in query.split())
         wanted = {i: -s for i, s in db.execute("SELECT id, bm25(f) FROM f WHERE f MATCH ?", (match,))}
         found = {r["id"]: r["score"] for r in lexical.bm25(texts(spark, rows), query, "id", floored=True, stemmed=True).collect()}
