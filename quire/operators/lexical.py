@@ -112,12 +112,12 @@ def top(scored: DataFrame, key: str, limit: int, score: str = "score") -> DataFr
     return best.select(F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(key))).cast("bigint").alias("rank"), key, score)
 
 
-def search_batch(texts: DataFrame, queries: DataFrame, key: str, query_key: str, limit: int, text: str = "text", question: str = "question") -> DataFrame:
+def search_batch(texts: DataFrame, queries: DataFrame, key: str, query_key: str, limit: int, text: str = "text", question: str = "question", places: int = 9) -> DataFrame:
     """(query_key, key, score, rank): the best `limit` texts of every query, by the positive-idf score.
 
     Queries are taken in blocks; each block's terms are broadcast and every text is scored against all of them where it
     is read. Partitions hand on their best rows per query only, so the ranking shuffles limit x queries x partitions
-    rows at most. Scores are rounded to 9 places before they are ranked; ties go by key.
+    rows at most. Scores are rounded to `places` before they are ranked; ties go by key.
     """
     spark = texts.sparkSession
     listed = [(r[0], r[1]) for r in queries.select(query_key, ascii_tokens(F.col(question)).alias("t")).where("t IS NOT NULL").orderBy(query_key).toLocalIterator()]
@@ -156,7 +156,7 @@ def search_batch(texts: DataFrame, queries: DataFrame, key: str, query_key: str,
                     tf = np.fromiter(counts.values(), dtype=float)
                     scores = (tf * (K1 + 1) / (tf + norm)) @ weight[list(counts)]
                     for q in np.flatnonzero(scores > 0):
-                        best[q].append((-round(float(scores[q]), 9), name))
+                        best[q].append((-round(float(scores[q]), places), name))
                 for q, found in enumerate(best):
                     if len(found) > 4 * limit:
                         best[q] = sorted(found)[:limit]

@@ -82,18 +82,11 @@ def paired_summary(clean: DataFrame, degraded: DataFrame, strict: bool = False,
     return out
 
 
-def padded_grades(ranked: DataFrame, relevant: int, evidence: int) -> list[int]:
-    """Grades of one ranking (rank, grade), followed by those of relevant items it lacks, so that recall and the ideal
-    ranking are of the whole corpus. The ranking is a short list."""
-    own = [r["grade"] for r in ranked.orderBy("rank").select("grade").toLocalIterator()]
-    twos, ones = sum(g == 2 for g in own), sum(g == 1 for g in own)
-    return own + [2] * max(0, evidence - twos) + [1] * max(0, relevant - evidence - ones)
-
-
 # ------------------------------------------------------------------------------------------------ spans
 
 
-def _scores(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame) -> DataFrame:
+    """Counts of true and false positives and negatives with precision, recall and f1, 0 where nothing is divided."""
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     precision, recall = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     return rows.select("*", precision.alias("precision"), recall.alias("recall")).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
@@ -108,7 +101,7 @@ def strict_span_metrics(references: DataFrame, predictions: DataFrame, passage:
     key = [*passage, "label", "start", "end"]
     both = references.select(*key).distinct().withColumn("r", F.lit(1)).join(predictions.select(*key).distinct().withColumn("p", F.lit(1)), key, "full_outer")
     counted = both.groupingSets([[F.col("label")], []], F.col("label")).agg(F.count_if(F.col("r").isNotNull() & F.col("p").isNotNull()).alias("true_positives"), F.count_if(F.col("r").isNull()).alias("false_positives"), F.count_if(F.col("p").isNull()).alias("false_negatives"))
-    return _scores(counted)
+    return scored(counted)
 
 
 def relaxed_span_metrics(references: DataFrame, predictions: DataFrame, passage: str = "passage_id") -> DataFrame:
@@ -127,7 +120,7 @@ def relaxed_span_metrics(references: DataFrame, predictions: DataFrame, passage:
 
     left = F.size(F.aggregate("r", F.col("p"), take))
     rows = both.select("label", (F.size("p") - left).alias("tp"), left.alias("fp"), (F.size("r") - (F.size("p") - left)).alias("fn"))
-    return _scores(rows.groupingSets([[F.col("label")], []], F.col("label")).agg(F.sum("tp").alias("true_positives"), F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives")))
+    return scored(rows.groupingSets([[F.col("label")], []], F.col("label")).agg(F.sum("tp").alias("true_positives"), F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives")))
 
 
 # ------------------------------------------------------------------------------------------------ recognised text

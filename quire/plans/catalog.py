@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import chunking, entities, evidence, fusion, generation, integrity, lexical, metrics, sampling, vectors
+from quire.operators import chunking, entities, evaluation, evidence, fusion, generation, integrity, lexical, metrics, sampling, vectors
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,11 +133,10 @@ def bm25_max_normalised(spark: SparkSession, folder: str) -> DataFrame:
     asked AS (SELECT uid, term, count(*) AS times FROM (SELECT uid, unnest({_TOKENS.format('question')}) AS term FROM benchmark_queries) GROUP BY ALL),
     scored AS (SELECT uid, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n_words, 1) / average))), 6) AS score
         FROM asked JOIN df USING (term) JOIN tf USING (term), stats GROUP BY uid, chunk_id)
-    SELECT uid, round(score, 3) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10""")
+    SELECT uid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10""")
 def benchmark_search(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").withColumnRenamed("id", "chunk_id")
-    # near ties may order differently in another engine; the scores by rank do not
-    return lexical.search_batch(chunks, table(spark, folder, "benchmark_queries"), "chunk_id", "uid", 10).select("uid", F.round(F.round("score", 6), 3).alias("score"), "rank")
+    return lexical.search_batch(chunks, table(spark, folder, "benchmark_queries"), "chunk_id", "uid", 10, places=6)
 
 
 _DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -511,6 +510,157 @@ def paired_rr_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(metrics.paired_summary(metrics.reciprocal_rank(first), metrics.reciprocal_rank(second)), "clean_mrr", "degraded_mrr", "mean_delta")
 
 
+# ------------------------------------------------------------------------------------------------ whole evaluations
+
+#: Every hundredth mention is a query: its form is asked for, its page is relevant and its text the evidence.
+_ASKED = """
+    asked AS (SELECT DISTINCT CAST(id AS VARCHAR) AS query_id, normalized_text AS question, document_id, page_number, text, label FROM entity_mentions WHERE id % 100 = 0 AND normalized_text IS NOT NULL)"""
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "entity_mentions").where("id % 100 = 0 AND normalized_text IS NOT NULL").dropDuplicates(["id"])
+    return rows.select(F.col("id").cast("string").alias("query_id"), F.col("normalized_text").alias("question"), "document_id", F.array("page_number").alias("relevant_pages"), F.array("text").alias("evidence_texts"), "label")
+
+
+#: The stand-in for an encoder: how many tokens of 1 to 15 letters, and of more, a text has.
+_SHAPE_SQL = "list_transform(range(1, 17), lambda k: CAST(len(list_filter({0}, lambda x: least(length(x), 16) = k)) AS DOUBLE))"
+
+
+def _shape(text: Column) -> Column:
+    sizes = F.transform(tx.ascii_tokens(text), lambda t: F.least(F.length(t), F.lit(16)))
+    return F.transform(F.array(sizes), lambda s: F.array(*[F.size(F.filter(s, _equals(k))).cast("double") for k in range(1, 17)]))[0]
+
+
+def _equals(k: int) -> Callable[[Column], Column]:
+    return lambda x: x == k
+
+
+def _mode_rankings(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    chunks = table(spark, folder, "chunks").withColumnRenamed("id", "chunk_id")
+    keyword = lexical.search_batch(chunks, asked, "chunk_id", "query_id", 40, places=6)
+    near = vectors.nearest_batch(chunks.select("chunk_id", _shape(F.col("text")).alias("embedding")), asked.select(F.col("query_id").alias("chunk_id"), _shape(F.col("question")).alias("embedding")), 40, "chunk_id")
+    return evaluation.mode_rankings(keyword, near.select(F.col("query").alias("query_id"), "chunk_id", "rank"))
+
+
+_MODE_RANKINGS = f"""{_ASKED},
+    tokens AS (SELECT id AS chunk_id, coalesce({_TOKENS.format('text')}, []) AS t FROM chunks),
+    stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tokens),
+    tf AS (SELECT chunk_id, n_words, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n_words, unnest(t) AS term FROM tokens) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    wanted AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('question')}) AS term FROM asked) GROUP BY ALL),
+    scores AS (SELECT query_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n_words, 1) / average))), 6) AS score
+        FROM wanted JOIN df USING (term) JOIN tf USING (term), stats GROUP BY query_id, chunk_id),
+    keyword AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 40),
+    shapes AS (SELECT chunk_id, {_SHAPE_SQL.format('t')} AS v FROM tokens),
+    wishes AS (SELECT query_id, {_SHAPE_SQL.format(_TOKENS.format('question'))} AS v FROM asked),
+    near AS (SELECT query_id, chunk_id, round(1 - list_inner_product(w.v, s.v) / (sqrt(list_inner_product(w.v, w.v)) * sqrt(list_inner_product(s.v, s.v))), 9) AS distance FROM wishes w, shapes s WHERE list_sum(w.v) > 0 AND list_sum(s.v) > 0),
+    semantic AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM near QUALIFY rank <= 40),
+    fused AS (SELECT coalesce(k.query_id, s.query_id) AS query_id, coalesce(k.chunk_id, s.chunk_id) AS chunk_id, k.rank AS kr, s.rank AS sr, round(coalesce(0.5 / (60 + k.rank), 0) + coalesce(0.5 / (60 + s.rank), 0), 12) AS score
+        FROM keyword k FULL JOIN semantic s ON k.query_id = s.query_id AND k.chunk_id = s.chunk_id),
+    hybrid AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(kr, 41), coalesce(sr, 41), chunk_id) AS rank FROM fused QUALIFY rank <= 10),
+    rankings AS (SELECT 'keyword' AS mode, * FROM keyword WHERE rank <= 10 UNION ALL SELECT 'semantic', * FROM semantic WHERE rank <= 10 UNION ALL SELECT 'hybrid', * FROM hybrid),
+    lines AS (SELECT id AS chunk_id, document_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS line, page_start, page_end FROM chunks),
+    grades AS (SELECT query_id, chunk_id, CASE WHEN len(regexp_extract_all(text, '[a-zA-Z0-9]+')) > 0 AND contains(line, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ') THEN 2 ELSE 1 END AS grade
+        FROM asked JOIN lines USING (document_id) WHERE page_number BETWEEN page_start AND page_end),
+    ideals AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (pow(2, grade) - 1) / log2(place + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS place FROM grades) GROUP BY query_id)"""
+_MODE_COLUMNS = ", ".join(f"count(*) FILTER (WHERE rank <= {k}) / count(*) AS recall_{k}, CAST(count(*) FILTER (WHERE rank <= {k}) > 0 AS DOUBLE) AS hit_{k}, CASE WHEN max(grade) = 2 THEN CAST(count(*) FILTER (WHERE grade = 2 AND rank <= {k}) > 0 AS DOUBLE) END AS evidence_hit_{k}" for k in (1, 3, 5, 10))
+_MODE_METRICS = f"""{_MODE_RANKINGS},
+    judged AS (SELECT m.mode, g.query_id, count(*) AS relevant_chunks, CAST(count_if(grade = 2) AS BIGINT) AS evidence_chunks, {_MODE_COLUMNS}, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)), 0) AS dcg
+        FROM (SELECT unnest(['keyword', 'semantic', 'hybrid']) AS mode) m CROSS JOIN grades g LEFT JOIN rankings r ON r.mode = m.mode AND r.query_id = g.query_id AND r.chunk_id = g.chunk_id GROUP BY m.mode, g.query_id)"""
+
+
+def _mode_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    asked = _asked(spark, folder)
+    return evaluation.mode_metrics(_mode_rankings(spark, folder, asked), metrics.relevance_grades(table(spark, folder, "chunks"), asked))
+
+
+@query(f"WITH {_MODE_METRICS} SELECT mode, query_id, relevant_chunks, evidence_chunks, {', '.join(f'round({c}, 6) AS {c}' for c in _METRIC_COLUMNS)}, round(mrr, 6) AS mrr, round(dcg / ideal, 6) AS ndcg FROM judged JOIN ideals USING (query_id)")
+def mode_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every query in keyword, semantic and hybrid search, with the measures of its ten best chunks."""
+    return _rounded(_mode_metrics(spark, folder), *_METRIC_COLUMNS, "mrr", "ndcg")
+
+
+@query(f"WITH {_MODE_METRICS} SELECT mode, count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _METRIC_COLUMNS)}, round(avg(mrr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg FROM judged JOIN ideals USING (query_id) GROUP BY mode")
+def mode_means(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _mode_metrics(spark, folder)
+    names = [*_METRIC_COLUMNS, "mrr", "ndcg"]
+    return _rounded(metrics.mean_metrics(rows, ["mode"], names).join(rows.groupBy("mode").agg(F.count("*").alias("queries")), "mode"), *names)
+
+
+def _hybrid_chunks(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    ranked = _mode_rankings(spark, folder, asked).where("mode = 'hybrid'").drop("mode")
+    return ranked.join(table(spark, folder, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "page_start", "page_end"), "chunk_id")
+
+
+@query(f"""WITH {_MODE_RANKINGS},
+    matched AS (SELECT DISTINCT a.query_id, m.document_id, m.page_number FROM asked a JOIN entity_mentions m ON m.label = a.label AND m.normalized_text = a.question JOIN pdf_documents d ON d.id = m.document_id AND d.metadata_status = 'ready' AND d.metadata_model = '{MODEL}'),
+    placed AS (SELECT h.query_id, h.chunk_id, h.rank, EXISTS (SELECT 1 FROM matched m WHERE m.query_id = h.query_id AND m.document_id = c.document_id AND m.page_number BETWEEN c.page_start AND c.page_end) AS matched FROM hybrid h JOIN chunks c ON c.id = h.chunk_id),
+    moved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, rank) AS new_rank FROM placed),
+    each AS (SELECT g.query_id, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(1.0 / min(new_rank), 0) AS new_mrr, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)), 0) / any_value(ideal) AS ndcg, coalesce(sum((pow(2, grade) - 1) / log2(new_rank + 1)), 0) / any_value(ideal) AS new_ndcg
+        FROM grades g JOIN ideals USING (query_id) LEFT JOIN moved USING (query_id, chunk_id) GROUP BY g.query_id)
+    SELECT count(*) AS queries, count(*) AS with_entities, CAST(count_if(query_id IN (SELECT query_id FROM matched)) AS BIGINT) AS with_matches, CAST(count_if(query_id IN (SELECT query_id FROM moved WHERE new_rank <> rank)) AS BIGINT) AS rankings_changed,
+        round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(new_mrr), 6) AS new_mrr, round(avg(new_ndcg), 6) AS new_ndcg, round(avg(new_mrr) - avg(mrr), 6) AS mrr_delta, round(avg(new_ndcg) - avg(ndcg), 6) AS ndcg_delta FROM each""")
+def rerank_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid rankings before and after chunks on the pages of the query's entity are moved ahead."""
+    asked = _asked(spark, folder)
+    grades = metrics.relevance_grades(table(spark, folder, "chunks"), asked).where("grade > 0")
+    ranked = _hybrid_chunks(spark, folder, asked).join(grades, ["query_id", "chunk_id"], "left").fillna(0, ["grade"])
+    counts = grades.groupBy("query_id").agg(F.count("*").alias("relevant_chunks"), F.count_if(F.col("grade") == 2).alias("evidence_chunks"))
+    named = asked.select(F.col("query_id").alias("uid"), "label", F.col("question").alias("normalized_text"))
+    matches = entities.query_entity_matches(named, table(spark, folder, "entity_mentions"), table(spark, folder, "pdf_documents"), MODEL).withColumnRenamed("uid", "query_id")
+    rows = evaluation.rerank_evaluation(ranked, asked, matches, counts)
+    return _rounded(evaluation.query_coverage(rows), "mrr", "ndcg", "new_mrr", "new_ndcg", "mrr_delta", "ndcg_delta")
+
+
+@query(f"""WITH {_MODE_RANKINGS},
+    hits AS (SELECT DISTINCT h.query_id FROM hybrid h JOIN chunks c ON c.id = h.chunk_id JOIN asked a ON a.query_id = h.query_id AND a.document_id = c.document_id AND a.page_number BETWEEN c.page_start AND c.page_end WHERE h.rank <= 5)
+    SELECT query_id, query_id IN (SELECT query_id FROM hits) AS retrieval_evidence_available, CASE WHEN query_id IN (SELECT query_id FROM hits) THEN 'answered' ELSE 'insufficient_evidence' END AS context_expected_status FROM asked""")
+def context_expectations(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the five best chunks of the hybrid search hold a query's evidence page, and so what answer to expect."""
+    asked = _asked(spark, folder)
+    return evaluation.context_expectations(asked, _hybrid_chunks(spark, folder, asked).where("rank <= 5"))
+
+
+@query("""
+    SELECT answer_type, count(*) AS results, round(avg(reference_coverage), 6) AS reference_coverage FROM (SELECT DISTINCT ON (uid) * FROM generation_results) r
+    JOIN (SELECT DISTINCT question, answer_type FROM benchmark_queries WHERE answer_type IS NOT NULL) b ON b.question = r.question WHERE expected_status = 'answered' GROUP BY answer_type""")
+def coverage_by_answer_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Results by the answer type that the benchmark has for their question; both tables have uids of their own."""
+    results = table(spark, folder, "generation_results").dropDuplicates(["uid"])
+    return _rounded(evaluation.coverage_by(results, table(spark, folder, "benchmark_queries"), "question"), "reference_coverage")
+
+
+@query("SELECT uid, document_uid, answer_type, scale, true AS agrees FROM benchmark_queries")
+def benchmark_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark's queries with their gold rows, which have to ask the same."""
+    rows = table(spark, folder, "benchmark_queries")
+    return evaluation.with_gold(rows.select("uid", "document_uid", "question", "answer_type"), rows.select("uid", "question", "scale"), rows, strict=False).select("uid", "document_uid", "answer_type", "scale", "agrees")
+
+
+_NO_ANSWER = [("none-1", "What was the weather at the opening of the new quay?"), ("none-2", "Who catered for the annual meeting?")]
+
+
+@query(f"""
+    WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY answer_type ORDER BY sha256('quire-sample-v1' || chr(0) || answer_type || chr(0) || uid)) AS place FROM benchmark_queries)
+    SELECT uid, question, answer_type, document_uid, 'answered' AS expected_status FROM ranked WHERE place <= CASE answer_type WHEN 'span' THEN 5 WHEN 'arithmetic' THEN 5 WHEN 'multi-span' THEN 2 ELSE 0 END
+    UNION ALL SELECT u, q, 'unanswerable', NULL, 'insufficient_evidence' FROM (VALUES {', '.join(f"('{u}', '{q}')" for u, q in _NO_ANSWER)}) v(u, q)""")
+def generation_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "benchmark_queries").select("uid", "question", "answer_type", "document_uid")
+    chosen = sampling.quota_sample(rows, "answer_type", {"span": 5, "arithmetic": 5, "multi-span": 2}, sampling.stable_key(sampling.SEED, F.col("answer_type"), F.col("uid")))
+    return evaluation.with_unanswerable(chosen.select(*rows.columns), _NO_ANSWER)
+
+
+@query(f"""WITH {_SIDES}, strata AS (SELECT document_id || '|' || page_number AS passage_id, method AS stratum FROM pages),
+    both_sides AS (SELECT coalesce(a.passage_id, b.passage_id) AS passage_id, CAST(a.s IS NOT NULL AND b.s IS NOT NULL AS DOUBLE) AS tp, CAST(a.s IS NULL AS DOUBLE) AS fp, CAST(b.s IS NULL AS DOUBLE) AS fn
+        FROM (SELECT DISTINCT * FROM r) a FULL JOIN (SELECT DISTINCT * FROM p) b ON a.passage_id = b.passage_id AND a.label = b.label AND a.s = b.s AND a.e = b.e),
+    counts AS (SELECT stratum, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM both_sides JOIN strata USING (passage_id) GROUP BY stratum)
+    SELECT stratum, CAST(tp AS BIGINT) AS true_positives, CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM counts""")
+def ner_by_stratum(spark: SparkSession, folder: str) -> DataFrame:
+    """Strict measures by how the page was read."""
+    strata = table(spark, folder, "pages").select(F.concat_ws("|", "document_id", "page_number").alias("passage_id"), F.col("method").alias("stratum"))
+    return _rounded(evaluation.strict_by_stratum(*_span_sides(spark, folder), strata), "precision", "recall", "f1")
+
+
 # ------------------------------------------------------------------------------------------------ recognised text
 
 
