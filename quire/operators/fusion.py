@@ -49,13 +49,13 @@ def max_normalised(score: Column, over: Window | None = None) -> Column:
 def weighted_sum(keyword: DataFrame, semantic: DataFrame, key: str, keyword_weight: float = 0.5, semantic_weight: float = 0.5) -> DataFrame:
     """(key, score, keyword_score, semantic_score) of all rows of either (key, score), normalised by their maxima.
 
-    The maxima are one aggregate row each that is broadcast, so no window gathers all rows in one task.
+    The maxima are one aggregate row of the joined scores that is broadcast, so no window gathers all rows in one task,
+    and the joined sides are shuffled once for both.
     """
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        top = df.agg(F.max("score").alias("top"))
-        return df.join(F.broadcast(top)).select(key, F.when(F.col("top") > 0, F.greatest(F.col("score"), F.lit(0.0)) / F.col("top")).otherwise(0.0).alias(name))
-
-    both = scaled(keyword, "keyword_score").join(scaled(semantic, "semantic_score"), key, "full_outer").fillna(0.0, ["keyword_score", "semantic_score"])
+    sides = keyword.select(key, F.col("score").alias("a")).join(semantic.select(key, F.col("score").alias("b")), key, "full_outer")
+    both = sides.join(F.broadcast(sides.agg(F.max("a").alias("top_a"), F.max("b").alias("top_b"))))
+    scaled = lambda score, top: F.when(F.col(top) > 0, F.greatest(F.coalesce(F.col(score), F.lit(0.0)), F.lit(0.0)) / F.col(top)).otherwise(0.0)
+    both = both.select(key, scaled("a", "top_a").alias("keyword_score"), scaled("b", "top_b").alias("semantic_score"))
     return both.select(key, (keyword_weight * F.col("keyword_score") + semantic_weight * F.col("semantic_score")).alias("score"), "keyword_score", "semantic_score")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,9 +173,47 @@ def search_batch(texts: DataFrame, queries: DataFrame, key: str, query_key: str,
     return out.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
 
 
+# ------------------------------------------------------------------------------------------------ a stored index
+
+#: Parts of a stored index: a term's postings are in the part of its CRC-32.
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+    return (F.crc32(term) % buckets).cast("int")
+
+
+def index_rows(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, document_id, tf, len) of chunks (id, document_id, text): stems of the full-text index with their counts."""
+    listed = chunks.select(F.col("id").alias("chunk_id"), "document_id", index_terms(F.col("text")).alias("t"))
+    listed = listed.select("chunk_id", "document_id", F.size("t").cast("bigint").alias("len"), F.explode("t").alias("term"))
+    return listed.groupBy("term", "chunk_id", "document_id", "len").agg(F.count("*").alias("tf")).select("term", "chunk_id", "document_id", "tf", "len")
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, query: str, bucket: str | None = None, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """(chunk_id, score) of the full-text search from a stored index: what bm25(floored=True, stemmed=True) gives, without
+    reading a text.
+
+    index: rows of index_rows, with the column `bucket` if it is stored by term_bucket, so that only the parts of the
+    query's terms are read. sizes (document_id, chunks, tokens) has a row per document.
+    """
+    wanted = [t for q in query.split() for t in stemmed_terms(q)]
+    if not wanted:
+        return index.sparkSession.createDataFrame([], "chunk_id string, score double")
+    terms = sorted(set(wanted))
+    if bucket is not None:
+        index = index.where(F.col(bucket).isin(sorted({zlib.crc32(t.encode()) % buckets for t in terms})))
+    hits = index.where(F.col("term").isin(terms)).select("term", "chunk_id", "tf", "len").dropDuplicates(["term", "chunk_id"])
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row per term of the query
+    stats = sizes.agg(F.sum("chunks").alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avg"))
+    times = F.create_map(*[F.lit(x) for t in terms for x in (t, float(wanted.count(t)))])
+    part = times[F.col("term")] * floored_idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len").cast("double"), F.col("avg"))
+    return hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("chunk_id").agg(F.sum(part).alias("score"))
+
+
 def search_text(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(rank, chunk_id, score) of the full-text search: stemmed terms joined by OR, floored idf. Blank gives none."""
     return top(bm25(chunks.withColumnRenamed("id", "chunk_id"), query, "chunk_id", floored=True, stemmed=True), "chunk_id", limit)
 
 
-__all__ = ["bm25", "corpus_stats", "floored_idf", "phrase_hits", "positive_idf", "postings", "query_terms", "saturation", "search_batch", "search_text", "top"]
+__all__ = ["bm25", "bm25_indexed", "index_rows", "corpus_stats", "floored_idf", "phrase_hits", "positive_idf", "postings", "query_terms", "saturation", "search_batch", "search_text", "top"]

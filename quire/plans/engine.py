@@ -15,7 +15,7 @@ from quire.functions.text import ascii_tokens, entity_form, page_label
 from quire.operators import chunking, entities, fusion, generation, lexical, vectors
 from quire.session import checkpointed, ship
 from quire.sources.files import PageExtractor, PlainTextExtractor, extract_pages
-from quire.sources.store import Store, latest_names
+from quire.sources.store import BUCKET, Store, latest_names
 
 
 class TextEncoder(Protocol):
@@ -79,6 +79,7 @@ class EvidenceEngine:
     def ingest(self, files: DataFrame) -> DataFrame:
         """Takes uploads (sources.files.uploads) through all stages; (id, status, metadata_status) of their documents."""
         files = checkpointed(files)
+        self.store.blobs.put_all(files.where("error IS NULL").dropDuplicates(["id"])).count()
         self.store.record_uploads(files)
         ids = checkpointed(files.where("error IS NULL").select("id").distinct())
         version = chunking.version_of(self.max_words, self.overlap)
@@ -131,11 +132,14 @@ class EvidenceEngine:
             return
         of = ids.select(F.col("id").alias("document_id"))
         chunks = checkpointed(chunking.provenance_chunks(self.store.read("pages").join(of, "document_id", "left_semi"), self.store.read("blocks").join(of, "document_id", "left_semi"), self.max_words, self.overlap))
-        old = self.store.read("chunks").join(of, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-        spans = chunking.chunk_spans(chunks)
-        kept = self.store.read("chunk_spans").join(old, "chunk_id", "left_anti")
-        self.store.write("chunk_spans", kept.unionByName(spans))
+        old = checkpointed(self.store.read("chunks").join(of, "document_id", "left_semi").select(F.col("id").alias("chunk_id")))
+        self.store.bury(of)
+        self.store.swap("chunk_spans", old, "chunk_id", checkpointed(chunking.chunk_spans(chunks)))
         self.store.replace_document("chunks", chunks.drop("spans"), ids)
+        rows = checkpointed(lexical.index_rows(chunks))
+        self.store.index_chunks(rows)
+        lengths = chunks.select(F.col("id").alias("chunk_id"), "document_id").join(rows.groupBy("chunk_id").agg(F.max("len").alias("len")), "chunk_id", "left")
+        self.store.replace_document("text_sizes", checkpointed(lengths.groupBy("document_id").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))), ids)
         self._set(ids, status="indexed_lexical", chunker_version=version)
 
     def _embed(self, ids: DataFrame) -> None:
@@ -194,7 +198,7 @@ class EvidenceEngine:
             raise ValueError("limit must be between 1 and 50")
         cap = fusion.candidate_limit(limit)
         chunks = self.store.read("chunks")
-        keyword = lexical.search_text(chunks, query, cap).select("chunk_id", "rank")
+        keyword = lexical.top(lexical.bm25_indexed(self.store.live_postings(), self.store.read("text_sizes"), query, BUCKET, self.store.buckets), "chunk_id", cap).select("chunk_id", "rank")
         if self.encoder is not None and self.store.exists("vectors") and query.strip():
             semantic = vectors.nearest(self.store.read("vectors"), self.encoder.query(query), cap, "chunk_id").select("chunk_id", "rank")
         else:

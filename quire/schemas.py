@@ -24,6 +24,9 @@ RELATIONS: dict[str, T.StructType] = {
     "blocks": _struct("id bigint, page_id bigint, document_id string, block_order int, text string, x0 double, top double, x1 double, bottom double, method string, confidence double"),
     "chunks": _struct("id string, document_id string, ordinal int, text string, page_start int, page_end int, chunker_version string"),
     "chunk_spans": _struct("chunk_id string, block_id bigint, span_order int, block_start int, block_end int, chunk_start int, chunk_end int"),
+    "postings": _struct("term string, chunk_id string, document_id string, tf bigint, len bigint"),
+    "dead_chunks": _struct("chunk_id string"),
+    "text_sizes": _struct("document_id string, chunks bigint, tokens bigint"),
     "entity_mentions": _struct("id bigint, document_id string, page_number int, label string, text string, normalized_text string, char_start int, char_end int, confidence double"),
 }
 

@@ -55,10 +55,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the folder that all executors share, with its lineage cut.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one machine) is a local one set.
+    The folder is spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a local one, and any
+    other is refused: a folder of one machine is no place for what all executors need.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))

@@ -103,7 +103,7 @@ def test_failures_stay_apart(spark, inbox, tmp_path):
 def test_stale_vectors(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.drop_stale_vectors("b") == []
-    store.write("vectors", spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "c")], "document_id string, model_fingerprint string"))
+    store.append("vectors", spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "c")], "document_id string, model_fingerprint string"))
     assert store.drop_stale_vectors("b") == ["a", "c"] and store.read("vectors").count() == 1
     store.write_report("r", spark.range(1))
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
@@ -153,3 +153,79 @@ def test_window_counts(spark, data):
 
     rows = table(spark, data, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     assert late_safe_counts(rows).agg(F.sum("events")).first()[0] == rows.count()
+
+
+def test_store_writes_only_what_changes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    page = lambda d, text: (1, d, 1, 100.0, 100.0, text, "direct")
+    rows = lambda *r: spark.createDataFrame([page(*x) for x in r], RELATIONS["pages"])
+    store.append("pages", rows(*[(f"d{k}", "old") for k in range(40)]))
+    files_of = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s" / "pages").rglob("*.parquet")}
+    before = files_of()
+    ids = spark.createDataFrame([("d7",), ("new",)], "id string")
+    store.replace_document("pages", rows(("d7", "fresh"), ("new", "fresh")), ids)
+    after = files_of()
+    assert before.keys() & after.keys() and len(before.keys() - after.keys()) <= 2
+    assert {r["document_id"]: r["text"] for r in store.read("pages").collect()} == {**{f"d{k}": "old" for k in range(40)}, "d7": "fresh", "new": "fresh"}
+    store.swap("pages", store.read("pages").select("document_id"), "document_id")
+    assert store.read("pages").count() == 0
+    assert Store(spark, str(tmp_path / "s"), buckets=99).buckets == 8
+
+
+def test_blobs(spark, tmp_path):
+    import hashlib
+
+    from quire.sources.blobs import BlobStore
+
+    blobs, content = BlobStore(str(tmp_path)), b"%PDF- tide tables"
+    name = hashlib.sha256(content).hexdigest()
+    assert blobs.put(name, content) is False and blobs.put(name, content) is True and blobs.get(name) == content
+    assert [p.name for p in (tmp_path / "pdfs" / name[:2]).iterdir()] == [f"{name}.pdf"]
+    assert blobs.delete(name) is True and blobs.delete(name) is False and not (tmp_path / "pdfs" / name[:2]).exists()
+    for wrong in ("x", name.upper(), "../" + name, None):
+        with pytest.raises(ValueError):
+            blobs.key_of(wrong)
+    df = spark.createDataFrame([(name, content), (name, content), (None, b"x")], "id string, content binary")
+    assert sorted(r["existed"] for r in blobs.put_all(df.coalesce(1)).collect()) == [False, True] and blobs.exists(name)
+    assert [r["existed"] for r in blobs.delete_all(df.where("id IS NOT NULL").coalesce(1)).collect()] == [True, False]
+
+
+def test_contents_are_kept_and_deleted(spark, inbox, tmp_path):
+    engine = EvidenceEngine(spark, str(tmp_path / "store"), CountingExtractor())
+    engine.ingest(files.uploads(spark, str(inbox)))
+    document = next(r["id"] for r in engine.documents().collect() if r["name"] == "other.pdf")
+    assert engine.store.blobs.get(document) == (inbox / "other.pdf").read_bytes()
+    engine.delete(document)
+    assert not engine.store.blobs.exists(document)
+    engine.reset()
+    assert not list((tmp_path / "store").rglob("*.pdf"))
+
+
+def test_the_stored_index_scores_as_texts_do(spark, data, tmp_path):
+    from quire.operators import lexical
+    from quire.sources.store import BUCKET
+
+    chunks = spark.read.parquet(f"{data}/chunks.parquet")
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    store.append("chunks", chunks)
+    rows = lexical.index_rows(chunks)
+    store.index_chunks(rows)
+    lengths = chunks.select(F.col("id").alias("chunk_id"), "document_id").join(rows.groupBy("chunk_id").agg(F.max("len").alias("len")), "chunk_id", "left")
+    store.append("text_sizes", lengths.groupBy("document_id").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")))
+    scores = lambda df: {r["chunk_id"]: round(r["score"], 6) for r in df.collect()}
+    query = "administrative expenses of the segment"
+    found = lexical.bm25_indexed(store.live_postings(), store.read("text_sizes"), query, BUCKET, 8)
+    assert scores(found) == scores(lexical.bm25(chunks.withColumnRenamed("id", "chunk_id"), query, "chunk_id", floored=True, stemmed=True))
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [_bucket" in plan.replace("isnotnull(_bucket#", "_bucket#") or "PartitionFilters: [" in plan
+    # what is buried is not found, what comes again is found once
+    first = chunks.select("document_id").limit(1)
+    gone = {r["id"] for r in chunks.join(first, "document_id", "left_semi").collect()}
+    store.bury(first)
+    assert not gone & scores(lexical.bm25_indexed(store.live_postings(), store.read("text_sizes"), query, BUCKET, 8)).keys()
+    store.index_chunks(lexical.index_rows(chunks.join(first, "document_id", "left_semi")))
+    assert scores(lexical.bm25_indexed(store.live_postings(), store.read("text_sizes"), query, BUCKET, 8)) == scores(found)
+    store.bury(first)
+    store.compact_index()
+    assert store.read("dead_chunks").count() == 0 and not gone & {r["chunk_id"] for r in store.read("postings").collect()}
+    assert lexical.bm25_indexed(store.live_postings(), store.read("text_sizes"), " ").count() == 0
