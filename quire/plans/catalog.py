@@ -98,6 +98,22 @@ def document_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit(r"(?U)\S+")).cast("bigint").alias("words"), size.alias("characters"), size.eqNullSafe(F.col("n_chars")).alias("agrees"))
 
 
+@query("""
+    SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\\n[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]*\\n'),
+        lambda x: regexp_replace(x, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')), lambda x: x <> '')) AS BIGINT) AS paragraphs,
+        trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+def document_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.size(tx.paragraphs(F.col("text"))).cast("bigint").alias("paragraphs"), tx.slug(F.col("source")).alias("slug")).withColumn("paragraphs", F.when(F.col("paragraphs") >= 0, F.col("paragraphs")))
+
+
+@query("SELECT uid, CAST(len(regexp_extract_all(question, '[\\pL\\pM\\p{Nd}\\p{Pc}]+')) AS BIGINT) AS terms, array_to_string(regexp_extract_all(question, '[\\pL\\pM\\p{Nd}\\p{Pc}]+'), ' ') AS listed FROM (SELECT DISTINCT ON (uid) * FROM generation_results) WHERE question IS NOT NULL")
+def question_terms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"]).where("question IS NOT NULL")
+    terms = tx.query_terms(F.col("question"))
+    return rows.select("uid", F.size(terms).cast("bigint").alias("terms"), F.array_join(terms, " ").alias("listed"))
+
+
 # ------------------------------------------------------------------------------------------------ search
 
 
@@ -112,9 +128,32 @@ def bm25_fts_topk(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.top(_rounded(lexical.bm25(chunks, WANTED, "chunk_id", floored=True), "score"), "chunk_id", 20)
 
 
-@query()
+#: The words of each stem of the query, written out for an engine without a stemmer.
+_STEMS = {"administr": "administr administrative administration administrations administrator administrators administrate", "chain": "chain chains chained chaining", "cold": "cold colds", "expens": "expense expenses expensive expensed", "logist": "logist logistic logistics logistical", "of": "of", "segment": "segment segments segmented segmental", "the": "the"}
+_STEM_SQL = "VALUES " + ", ".join(f"('{form}', '{stem}')" for stem, forms in _STEMS.items() for form in forms.split())
+
+
+@query(f"""
+    WITH forms(form, term) AS ({_STEM_SQL}),
+    tokens AS (SELECT id AS chunk_id, coalesce(list_transform(regexp_extract_all(strip_accents(text), '[\\pL\\pN]+'), lambda x: lower(x)), []) AS t FROM chunks),
+    stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tokens),
+    tf AS (SELECT chunk_id, n_words, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n_words, unnest(t) AS form FROM tokens) JOIN forms USING (form) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    scored AS (SELECT chunk_id, round(sum({_FLOORED} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_words / average))), 6) AS score FROM tf JOIN df USING (term), stats GROUP BY chunk_id)
+    {_top_sql("scored", "chunk_id", 20)}""")
 def fts_stemmed_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(lexical.search_text(table(spark, folder, "chunks"), WANTED, 20), "score")
+    chunks = table(spark, folder, "chunks").withColumnRenamed("id", "chunk_id")
+    return lexical.top(_rounded(lexical.bm25(chunks, WANTED, "chunk_id", floored=True, stemmed=True), "score"), "chunk_id", 20)
+
+
+@query(_SQL["fts_stemmed_topk"])
+def fts_indexed_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from index rows, as the engine keeps them at ingest: no text is read for the search itself."""
+    chunks = table(spark, folder, "chunks")
+    rows = lexical.index_rows(chunks)
+    lengths = rows.groupBy("chunk_id").agg(F.max("len").alias("len"))
+    sizes = chunks.select(F.col("id").alias("chunk_id"), "document_id").join(lengths, "chunk_id", "left").groupBy("document_id").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
+    return lexical.top(_rounded(lexical.bm25_indexed(rows, sizes, WANTED), "score"), "chunk_id", 20)
 
 
 @query("WITH " + _bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)") + """
@@ -163,6 +202,28 @@ def knn_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(vectors.nearest_batch(rows, rows.where("vec_id % 100 = 0"), 10), "distance")
 
 
+@query(f"""
+    SELECT query, vec_id, round(distance, 6) AS distance, rank FROM (
+        SELECT q.vec_id AS query, a.vec_id, {_COSINE} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE}, a.vec_id) AS rank
+        FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 10""")
+def knn_cells_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The inverted file looked through whole: what the exact search gives."""
+    rows = table(spark, folder, "embeddings")
+    cells = vectors.fit_cells(rows)
+    return _rounded(vectors.nearest_in_cells(vectors.placed_in_cells(rows, cells), rows.where("vec_id % 100 = 0"), cells, 10, None), "distance")
+
+
+@query()
+def knn_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: how much of the exact neighbours of every hundredth vector a few cells give."""
+    rows = table(spark, folder, "embeddings")
+    asked, cells = rows.where("vec_id % 100 = 0"), vectors.fit_cells(rows)
+    index = vectors.placed_in_cells(rows, cells)
+    probes = vectors.calibrated_probes(rows, index, cells, 10)
+    found = vectors.nearest_in_cells(index, asked, cells, 10, probes)
+    return vectors.recall(found, vectors.nearest_batch(rows, asked, 10)).withColumns({"cells": F.lit(len(cells)).cast("bigint"), "probes": F.lit(probes).cast("bigint")})
+
+
 _RANKED = f"""
     WITH {_bm25_sql("documents", "doc_id", _POSITIVE, "greatest(n_words, 1)")},
     keyword AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS keyword_rank FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20)),
@@ -219,7 +280,11 @@ def search_hydrated(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.hydrate(ranked, chunks, documents, names).select("rank", "chunk_id", "document_id", "page_start", "page_end", "document_name", "score")
 
 
-@query()
+@query("WITH " + _bm25_sql("(SELECT id AS chunk_id, text FROM chunks)", "chunk_id", _FLOORED, "n_words") + f""",
+    ranked AS ({_top_sql("scored", "chunk_id", 5)}),
+    latest AS (SELECT document_id, max_by(original_filename, id) AS name FROM document_names GROUP BY document_id),
+    shown AS (SELECT rank, coalesce(l.name, c.document_id) AS name, page_start, page_end, c.text FROM ranked JOIN chunks c ON c.id = chunk_id JOIN pdf_documents d ON d.id = c.document_id LEFT JOIN latest l ON l.document_id = c.document_id WHERE d.status IN ('indexed_lexical', 'ready'))
+    SELECT string_agg('[C' || k || '] Source: ' || name || '; pages ' || page_start || '-' || page_end || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS prompt FROM (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM shown)""")
 def context_prompt(spark: SparkSession, folder: str) -> DataFrame:
     """One row: the prompt of the five best chunks."""
     chunks, documents, names = (table(spark, folder, t) for t in ("chunks", "pdf_documents", "document_names"))
@@ -715,7 +780,15 @@ def token_f1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("uid", F.round(metrics.token_f1(F.col("answer"), F.col("question")), 6).alias("f1"))
 
 
-@query()
+_FIGURES = "list_transform(regexp_extract_all({0}, '(?:^|[^\\pL\\pN_.])(-?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+
+
+@query(f"""
+    WITH once AS (SELECT DISTINCT ON (uid) uid, answer, list_transform(claims, lambda c: c.text) AS texts FROM generation_results),
+    parts AS (SELECT uid, answer, texts, {_NORMAL.format("answer")} AS line, {_FIGURES.format("answer")} AS own, flatten(list_transform(list_filter(texts, lambda t: t IS NOT NULL), lambda t: {_FIGURES.format("t")})) AS figures FROM once)
+    SELECT uid, round(CASE WHEN coalesce(answer, '') = '' OR coalesce(len(texts), 0) + coalesce(len(figures), 0) = 0 THEN 0.0 ELSE
+        (coalesce(len(list_filter(texts, lambda t: {_NORMAL.format("t")} <> '' AND contains(line, {_NORMAL.format("t")}))), 0)
+        + coalesce(len(list_filter(figures, lambda f: len(list_filter(own, lambda v: abs(v - f) <= greatest(greatest(abs(v), abs(f)) * 1e-9, 0.01, abs(f) * 0.001))) > 0)), 0)) / (coalesce(len(texts), 0) + coalesce(len(figures), 0)) END, 6) AS coverage FROM parts""")
 def reference_coverages(spark: SparkSession, folder: str) -> DataFrame:
     """How much of a result's claims, as texts and as figures, its answer holds."""
     rows = table(spark, folder, "generation_results").dropDuplicates(["uid"])
@@ -766,13 +839,19 @@ def citation_contract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
+    WITH spans AS (SELECT uid, document_uid, answer_type, unnest(evidence) AS e FROM benchmark_queries),
+    blocks_of AS (SELECT DISTINCT document_uid, e.block_id AS block_id, e.page AS page, e.block_text AS block_text FROM spans),
+    facts AS (SELECT DISTINCT uid, document_uid, e.text AS fact FROM spans WHERE answer_type = 'span' AND trim(e.text) <> ''),
+    met AS (SELECT uid, fact, block_id, page, block_text, row_number() OVER (PARTITION BY uid, fact ORDER BY page, block_id) AS n FROM facts JOIN blocks_of USING (document_uid) WHERE contains(lower(block_text), lower(fact)))
     SELECT uid, e.block_id AS block_id, CAST(e.page AS BIGINT) AS page_number, CAST(e.char_start AS BIGINT) AS char_start, CAST(e.char_end AS BIGINT) AS char_end, substr(e.block_text, e.char_start + 1, e.char_end - e.char_start) AS text
-    FROM (SELECT uid, unnest(evidence) AS e FROM benchmark_queries)""")
+    FROM spans WHERE answer_type IS DISTINCT FROM 'span'
+    UNION ALL SELECT uid, block_id, CAST(page AS BIGINT), CAST(instr(lower(block_text), lower(fact)) - 1 AS BIGINT), CAST(instr(lower(block_text), lower(fact)) - 1 + length(fact) AS BIGINT), substr(block_text, instr(lower(block_text), lower(fact)), length(fact)) FROM met WHERE n = 1""")
 def evidence_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """The manifest's spans looked up again in the blocks that its items name."""
+    """The manifest's spans looked up again in the blocks that its items name; those of span answers only by their texts."""
     items = table(spark, folder, "benchmark_queries")
+    by_text = F.col("answer_type").eqNullSafe(F.lit("span"))
     spans = F.transform("evidence", lambda e: F.struct(e["block_id"].alias("block_id"), e["char_start"].alias("char_start"), e["char_end"].alias("char_end")))
-    questions = items.select("uid", F.col("document_uid").alias("document_id"), spans.alias("mapping"), F.array().cast("array<string>").alias("facts"))
+    questions = items.select("uid", F.col("document_uid").alias("document_id"), F.when(~by_text, spans).alias("mapping"), F.when(by_text, F.transform("evidence", lambda e: e["text"])).alias("facts"))
     blocks = items.select(F.col("document_uid").alias("document_id"), F.explode("evidence").alias("e")).select("document_id", F.col("e.page").alias("page_number"), F.lit(1).alias("block_order"), "e.block_id", F.col("e.block_text").alias("text")).dropDuplicates(["document_id", "block_id"])
     return _long(evidence.resolve_evidence(questions, blocks).drop("block_text"), "page_number", "char_start", "char_end")
 

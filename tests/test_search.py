@@ -85,3 +85,26 @@ def test_hydrate_keeps_rank_gaps(spark):
     names = spark.createDataFrame([(1, "d2", "old.pdf"), (2, "d2", "new.pdf")], "id bigint, document_id string, original_filename string")
     out = fusion.hydrate(ranks(spark, ["c1", "c2"]), chunks, documents, names).collect()
     assert [(r["chunk_id"], r["rank"], r["document_name"]) for r in out] == [("c2", 2, "new.pdf")]
+
+
+def test_cells(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked, cells = rows.where("vec_id % 100 = 0"), vectors.fit_cells(rows)
+    index = vectors.placed_in_cells(rows, cells)
+    assert index.count() == rows.count() and len(cells) <= 1 + rows.count() ** 0.5
+    near = vectors.nearest_batch(rows, asked, 10)
+    key = lambda df: sorted((r["query"], r["rank"], r["vec_id"], round(r["distance"], 6)) for r in df.collect())
+    assert key(vectors.nearest_in_cells(index, asked, cells, 10, None)) == key(near)
+    probes = vectors.calibrated_probes(rows, index, cells, 10)
+    assert probes < len(cells) and vectors.recall(vectors.nearest_in_cells(index, asked, cells, 10, probes), near).first()["recall"] >= 0.9
+
+
+def test_cells_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [1.0, None]), (7, [2.0, 0.0])], "vec_id bigint, embedding array<float>")
+    cells = vectors.fit_cells(rows, 2)
+    index = vectors.placed_in_cells(rows, cells)
+    assert sorted(r["vec_id"] for r in index.collect()) == [1, 2, 7]
+    got = vectors.nearest_in_cells(index, rows.where("vec_id IN (1, 3)"), cells, 2, None).collect()
+    assert sorted((r["query"], r["rank"], r["vec_id"], r["distance"]) for r in got) == [(1, 1, 1, 0.0), (1, 2, 7, 0.0)]
+    none = vectors.fit_cells(rows.limit(0))
+    assert len(none) == 0 and vectors.nearest_in_cells(vectors.placed_in_cells(rows, none), rows, none, 2, None).count() == 0
