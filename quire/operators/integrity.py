@@ -49,8 +49,9 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     for (relation, key), (parent, target) in REFERENCES.items():
         if relation in tables and parent in tables:
             keys = tables[parent].select(*[F.col(t).alias(k) for t, k in zip(target, key, strict=True)])
-            orphans = tables[relation].join(keys, list(key), "left_anti")
-            out.append(orphans.agg(F.count("*").alias("n")).select(*_row(relation, "reference:" + ",".join(key), F.col("n"))))
+            # keys are counted before they are shuffled: a row per key and partition meets the parents
+            orphans = tables[relation].groupBy(*key).agg(F.count("*").alias("m")).join(keys.distinct(), list(key), "left_anti")
+            out.append(orphans.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(*_row(relation, "reference:" + ",".join(key), F.col("n"))))
     return reduce(DataFrame.unionAll, out)
 
 
