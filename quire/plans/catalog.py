@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import chunking, entities, evaluation, evidence, fusion, generation, integrity, lexical, metrics, sampling, vectors
-from quire.session import table
+from quire.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -542,8 +542,6 @@ def relevance_grades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranked_by_hash(spark: SparkSession, folder: str, salt: str) -> tuple[DataFrame, DataFrame]:
-    from quire.session import checkpointed
-
     grades = checkpointed(metrics.relevance_grades(table(spark, folder, "chunks"), _judgments(spark, folder)))
     order = Window.partitionBy("query_id").orderBy(F.sha2(F.concat(F.lit(salt), "chunk_id"), 256))
     return grades.withColumn("rank", F.row_number().over(order).cast("bigint")), grades
@@ -663,13 +661,14 @@ def _hybrid_chunks(spark: SparkSession, folder: str, asked: DataFrame) -> DataFr
     moved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, rank) AS new_rank FROM placed),
     each AS (SELECT g.query_id, coalesce(1.0 / min(rank), 0) AS mrr, coalesce(1.0 / min(new_rank), 0) AS new_mrr, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)), 0) / any_value(ideal) AS ndcg, coalesce(sum((pow(2, grade) - 1) / log2(new_rank + 1)), 0) / any_value(ideal) AS new_ndcg
         FROM grades g JOIN ideals USING (query_id) LEFT JOIN moved USING (query_id, chunk_id) GROUP BY g.query_id)
-    SELECT count(*) AS queries, count(*) AS with_entities, CAST(count_if(query_id IN (SELECT query_id FROM matched)) AS BIGINT) AS with_matches, CAST(count_if(query_id IN (SELECT query_id FROM moved WHERE new_rank <> rank)) AS BIGINT) AS rankings_changed,
+    SELECT count(*) AS queries, count(*) AS with_entities, count(*) FILTER (WHERE query_id IN (SELECT query_id FROM matched)) AS with_matches, count(*) FILTER (WHERE query_id IN (SELECT query_id FROM moved WHERE new_rank <> rank)) AS rankings_changed,
         round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(new_mrr), 6) AS new_mrr, round(avg(new_ndcg), 6) AS new_ndcg, round(avg(new_mrr) - avg(mrr), 6) AS mrr_delta, round(avg(new_ndcg) - avg(ndcg), 6) AS ndcg_delta FROM each""")
 def rerank_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid rankings before and after chunks on the pages of the query's entity are moved ahead."""
     asked = _asked(spark, folder)
-    grades = metrics.relevance_grades(table(spark, folder, "chunks"), asked).where("grade > 0")
-    ranked = _hybrid_chunks(spark, folder, asked).join(grades, ["query_id", "chunk_id"], "left").fillna(0, ["grade"])
+    # the rankings have five consumers: they are made once
+    grades = checkpointed(metrics.relevance_grades(table(spark, folder, "chunks"), asked).where("grade > 0"))
+    ranked = checkpointed(_hybrid_chunks(spark, folder, asked).join(grades, ["query_id", "chunk_id"], "left").fillna(0, ["grade"]))
     counts = grades.groupBy("query_id").agg(F.count("*").alias("relevant_chunks"), F.count_if(F.col("grade") == 2).alias("evidence_chunks"))
     named = asked.select(F.col("query_id").alias("uid"), "label", F.col("question").alias("normalized_text"))
     matches = entities.query_entity_matches(named, table(spark, folder, "entity_mentions"), table(spark, folder, "pdf_documents"), MODEL).withColumnRenamed("uid", "query_id")
