@@ -573,6 +573,61 @@ def paired_rr_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(metrics.paired_summary(metrics.reciprocal_rank(first), metrics.reciprocal_rank(second)), "clean_mrr", "degraded_mrr", "mean_delta")
 
 
+# ------------------------------------------------------------------------------------------------ lines, reviews, annotations
+
+
+@query(f"""
+    WITH words AS (SELECT page_id, list(top ORDER BY top, x0, text, x1, bottom) AS tops, list(struct_pack(top := top, x0 := x0, text := text, x1 := x1, bottom := bottom) ORDER BY top, x0, text, x1, bottom) AS w FROM {_ONCE} GROUP BY page_id),
+    heads AS (SELECT page_id, w, list_reduce(list_transform(tops, lambda x: [x]), lambda heads, x: list_append(heads, CASE WHEN abs(x[1] - heads[-1]) > 3 THEN x[1] ELSE heads[-1] END)) AS h FROM words),
+    placed AS (SELECT page_id, unnest(w) AS x, unnest(h) AS head FROM heads)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY head) AS block_order, string_agg(x.text, ' ' ORDER BY x.top, x.x0, x.text, x.x1, x.bottom) AS text, min(x.x0) AS x0, min(x.top) AS top, max(x.x1) AS x1, max(x.bottom) AS bottom FROM placed GROUP BY page_id, head""")
+def page_line_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks taken for words and put together in lines, as words of a page are."""
+    words = table(spark, folder, "blocks").dropDuplicates(["id"]).select("page_id", "text", "x0", "top", "x1", "bottom")
+    return _long(chunking.line_blocks(words), "block_order")
+
+
+@query("""
+    WITH rows AS (SELECT DISTINCT ON (uid) uid, status FROM generation_results WHERE status IS NOT NULL),
+    names AS (SELECT status, 'Candidate ' || chr(CAST(64 + row_number() OVER (ORDER BY sha256('quire-sample-v1' || chr(0) || status)) AS INTEGER)) AS alias FROM (SELECT DISTINCT status FROM rows))
+    SELECT uid, alias, substr(sha256('quire-sample-v1' || chr(0) || alias || chr(0) || uid), 1, 16) AS review_id FROM rows JOIN names USING (status)""")
+def blinded_review(spark: SparkSession, folder: str) -> DataFrame:
+    """Results under names that do not tell their status."""
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"]).where("status IS NOT NULL").select("uid", "status")
+    return sampling.blinded(rows, "status", "uid").select("uid", "alias", "review_id")
+
+
+@query(f"""
+    WITH passages AS (SELECT document_id || '|' || page_number AS id, text FROM pages WHERE text IS NOT NULL),
+    marked AS (SELECT document_id || '|' || page_number AS id, label, char_start AS s, char_end + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS e, text AS said FROM {_MENTIONS}),
+    ordered AS (SELECT m.*, p.text, max(e) OVER (PARTITION BY m.id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marked m JOIN passages p ON p.id = m.id),
+    wrong AS (SELECT CASE WHEN label NOT IN ('PERSON', 'ORGANIZATION', 'LOCATION') THEN 'label' WHEN s < 0 OR s >= e OR e > length(text) THEN 'bounds' WHEN substr(text, s + 1, e - s) <> said THEN 'text' WHEN s < before THEN 'overlapping' END AS problem FROM ordered)
+    SELECT problem, count(*) AS found FROM (SELECT 'missing' AS problem FROM passages WHERE id NOT IN (SELECT id FROM marked) UNION ALL SELECT 'unknown' FROM (SELECT DISTINCT id FROM marked) WHERE id NOT IN (SELECT id FROM passages) UNION ALL SELECT problem FROM wrong WHERE problem IS NOT NULL) GROUP BY problem""")
+def annotation_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions as annotations of their pages, every tenth with an end that is one too far."""
+    name = F.concat_ws("|", "document_id", "page_number").alias("id")
+    passages = table(spark, folder, "pages").where("text IS NOT NULL").select(name, "text")
+    rows = table(spark, folder, "entity_mentions").dropDuplicates(["id"])
+    entity = F.struct("label", F.col("char_start").alias("start"), (F.col("char_end") + (F.col("id") % 10 == 0).cast("int")).alias("end"), "text")
+    marked = rows.groupBy(name).agg(F.collect_list(entity).alias("entities")).withColumn("annotation_status", F.lit("pending"))
+    return evidence.annotation_problems(passages, marked).groupBy("problem").agg(F.count("*").alias("found"))
+
+
+@query("""
+    WITH shown AS (SELECT 'C' || row_number() OVER (ORDER BY id) AS context_id, id, document_id, page_start, page_end FROM chunks ORDER BY id LIMIT 5),
+    wanted AS (SELECT document_id, page_start AS page FROM shown WHERE context_id = 'C1'),
+    good AS (SELECT list(context_id) AS ids FROM shown JOIN wanted USING (document_id) WHERE page BETWEEN page_start AND page_end),
+    once AS (SELECT DISTINCT ON (uid) uid, expected_status, status, list_distinct(flatten(list_transform(claims, lambda c: c.citation_ids))) AS cited FROM generation_results)
+    SELECT uid, round(CASE WHEN expected_status = 'answered' AND status = 'answered' THEN coalesce(len(list_filter(cited, lambda c: list_contains(ids, c))) / nullif(len(cited), 0), 0) END, 6) AS relevance FROM once, good""")
+def citation_relevances(spark: SparkSession, folder: str) -> DataFrame:
+    """Results' citations held against the first five chunks as their contexts and the first one's page as the relevant one."""
+    first = table(spark, folder, "chunks").orderBy("id").limit(5).agg(F.sort_array(F.collect_list(F.struct("id", "document_id", "page_start", "page_end"))).alias("r"))
+    shown = first.select(generation.contexts_of(F.col("r")).alias("contexts"), F.col("r")[0]["document_id"].alias("document"), F.array(F.col("r")[0]["page_start"]).alias("pages"))
+    rows = table(spark, folder, "generation_results").dropDuplicates(["uid"]).join(F.broadcast(shown))  # one row
+    share = generation.citation_relevance(F.col("claims"), F.col("contexts"), F.col("document"), F.col("pages"), F.col("expected_status"), F.col("status"))
+    return rows.select("uid", F.round(share, 6).alias("relevance"))
+
+
 # ------------------------------------------------------------------------------------------------ whole evaluations
 
 #: Every hundredth mention is a query: its form is asked for, its page is relevant and its text the evidence.
