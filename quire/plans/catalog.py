@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import chunking, entities, evaluation, evidence, fusion, generation, integrity, lexical, metrics, sampling, vectors
-from quire.session import checkpointed, table
+from quire.session import checkpointed, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -343,6 +343,35 @@ def chunk_identities(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").select("id", "ordinal", (F.col("id") == made).alias("agrees"), tx.fingerprint(F.col("chunker_version")).alias("version_key"))
 
 
+@query("""
+    WITH kept AS (SELECT id, CASE WHEN size_bytes % 3 = 0 THEN 'failed' ELSE status END AS status, size_bytes FROM pdf_documents WHERE size_bytes % 5 <> 0),
+    left_pages AS (SELECT p.page_number FROM pages p JOIN kept d ON d.id = p.document_id WHERE size_bytes % 2 = 1 OR page_number = 1)
+    SELECT 'pdf_documents' AS relation, status AS part, count(*) AS rows, CAST(sum(size_bytes) AS BIGINT) AS total FROM kept GROUP BY status
+    UNION ALL SELECT 'pages', NULL, count(*), CAST(coalesce(sum(page_number), 0) AS BIGINT) FROM left_pages
+    UNION ALL SELECT 'document_names', NULL, count(*), CAST(coalesce(sum(n.id), 0) AS BIGINT) FROM document_names n JOIN kept d ON d.id = n.document_id""")
+def store_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A store in the shared folder: documents taken in twice, pages of some replaced by their first, some failed, some
+    deleted with what hangs off them."""
+    import uuid
+
+    from quire.sources.store import Store
+
+    documents, pages = table(spark, folder, "pdf_documents"), table(spark, folder, "pages")
+    store = Store(spark, f"{shared_folder(spark)}/quire-store-{uuid.uuid4().hex}", buckets=16)
+    for _ in range(2):
+        store.insert_if_absent("pdf_documents", documents)
+    store.append("pages", pages)
+    store.append("document_names", table(spark, folder, "document_names"))
+    even = documents.where("size_bytes % 2 = 0").select("id")
+    store.replace_document("pages", pages.where("page_number = 1").join(even, F.col("document_id") == even["id"], "left_semi"), even)
+    store.set_status(documents.where("size_bytes % 3 = 0").select("id", F.lit("failed").alias("status")))
+    store.delete(documents.where("size_bytes % 5 = 0").select("id"))
+    rows = store.read("pdf_documents").groupBy(F.lit("pdf_documents").alias("relation"), F.col("status").alias("part")).agg(F.count("*").alias("rows"), F.sum("size_bytes").alias("total"))
+    for name, column in (("pages", "page_number"), ("document_names", "id")):
+        rows = rows.unionAll(store.read(name).agg(F.count("*").alias("rows"), F.coalesce(F.sum(column), F.lit(0)).alias("total")).select(F.lit(name), F.lit(None).cast("string"), "rows", "total"))
+    return rows
+
+
 # ------------------------------------------------------------------------------------------------ pages and blocks
 
 _ONCE = "(SELECT DISTINCT * FROM blocks)"
@@ -408,6 +437,14 @@ def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.text_passages(table(spark, folder, "documents"))
 
 
+@query("SELECT sha256(c.text) AS text_key, c.document_id, CAST(c.ordinal AS BIGINT) AS ordinal, CAST(c.page_start AS BIGINT) AS page_start, CAST(c.page_end AS BIGINT) AS page_end, count(s.chunk_id) AS spans FROM chunks c LEFT JOIN chunk_spans s ON s.chunk_id = c.id WHERE c.chunker_version = 'blocks-v1-120-20' GROUP BY c.id, c.text, c.document_id, c.ordinal, c.page_start, c.page_end")
+def rebuilt_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that have chunks of the current version, chunked anew: the same texts, places and spans."""
+    current = table(spark, folder, "chunks").where(F.col("chunker_version") == chunking.version_of()).select("document_id").distinct()
+    chunks = chunking.provenance_chunks(table(spark, folder, "pages").join(current, "document_id", "left_semi"), table(spark, folder, "blocks"))
+    return _long(chunks.select(F.sha2("text", 256).alias("text_key"), "document_id", "ordinal", "page_start", "page_end", F.size("spans").alias("spans")), "ordinal", "page_start", "page_end", "spans")
+
+
 @query("""
     SELECT count(*) AS spans, CAST(count_if(substr(b.text, block_start + 1, block_end - block_start) IS DISTINCT FROM substr(c.text, chunk_start + 1, chunk_end - chunk_start)) AS BIGINT) AS violations
     FROM chunk_spans s LEFT JOIN (SELECT DISTINCT id, text FROM blocks) b ON b.id = s.block_id LEFT JOIN chunks c ON c.id = s.chunk_id""")

@@ -52,17 +52,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that all executors share, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a local one, and any
-    other is refused: a folder of one machine is no place for what all executors need.
+    Where that is unset, a session on one machine (tests) gets a local one, and any other is refused: a folder of one
+    machine is no place for what all executors need.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

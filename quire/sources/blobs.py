@@ -20,6 +20,8 @@ class BlobStore:
         self.folder = folder.rstrip("/")
 
     def _at(self) -> tuple[fs.FileSystem, str]:
+        if self.folder.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + self.folder[5:].lstrip("/")
         return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
 
     def key_of(self, document: str) -> str:
