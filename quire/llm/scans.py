@@ -9,10 +9,10 @@ words that are not among the frequent sound ones travel with their blocks to be
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -125,8 +125,63 @@ def plain(text: str) -> str:
     return consistent(text)[0] if not text.isascii() and ODD.search(text) else text
 
 
-#: Pairs and words that a worker counts before it hands them on.
-HELD = 400_000
+#: Tokens, and different ones, that a worker holds as numbers before it counts them and hands the counts on.
+HELD, HELD_WORDS = 4_000_000, 400_000
+
+
+class _Counts:
+    """Tokens of lines as numbers, and their counts and those of neighbours by the words in them."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {"": 0}  # parts lines
+        self.runs: dict[str, list[np.ndarray]] = {"scanned": [], "direct": [], "edge": []}
+        self.size = 0
+
+    def add(self, kind: str, tokens: list[str]) -> None:
+        place = self.place
+        for token in dict.fromkeys(tokens):
+            if token not in place:
+                place[token] = len(place)
+        self.runs[kind].append(np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+        self.size += len(tokens)
+
+    def full(self) -> bool:
+        return self.size > HELD or len(self.place) > HELD_WORDS
+
+    def out(self) -> pa.RecordBatch:
+        """(a, b, n, n_direct, n_edge); edge runs are a line's first and second token and an empty one each."""
+        tokens = list(self.place)
+        words: dict[str, int] = {"": 0}
+        word = np.array([words.setdefault(core(t), len(words)) for t in tokens], dtype=np.int64)
+        ends_in_digit = np.array([t[-1:].isdigit() for t in tokens])
+        begins_with_digit = np.array([t[:1].isdigit() for t in tokens])
+        listed = list(words)
+        first = np.array([w != "" and not w[-1].isdigit() for w in listed])
+        second = np.array([w[:1].isalpha() for w in listed])
+        width, found, counts = len(listed), [], []
+        for column, kind in ((0, "scanned"), (1, "direct"), (2, "edge")):
+            run = np.concatenate([*self.runs[kind], np.zeros(1, dtype=np.int64)])
+            left, right = run[:-1], run[1:]
+            neighbours = (left > 0) & (right > 0) & ~ends_in_digit[left] & ~begins_with_digit[right] & first[word[left]] & second[word[right]]
+            single = run
+            if kind == "edge":  # only first tokens count by themselves, and with second ones that begin with a letter
+                single = run[:-1:3]
+                alpha = np.array([t[:1].isalpha() for t in tokens])
+                neighbours &= alpha[right]
+            for keys in (word[single] * (width + 1) + width, (word[left] * (width + 1) + word[right])[neighbours]):
+                key, n = np.unique(keys, return_counts=True)
+                key, n = key[key >= width + 1], n[key >= width + 1]  # without empty words
+                rows = np.zeros((len(key), 3), dtype=np.int64)
+                rows[:, column] = n
+                found.append(key)
+                counts.append(rows)
+        key, at = np.unique(np.concatenate(found), return_inverse=True)
+        total = np.zeros((len(key), 3), dtype=np.int64)
+        np.add.at(total, at, np.concatenate(counts))
+        names = pa.array([*listed, None], pa.string())
+        columns = [names.take(pa.array(key // (width + 1))), names.take(pa.array(key % (width + 1))), pa.array(total[:, 0] + total[:, 1]), pa.array(total[:, 1]), pa.array(total[:, 2])]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "n_direct", "n_edge"])
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -137,46 +192,26 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: Counter() for kind in ("scanned", "direct", "edge")}
-
-        def out() -> pa.RecordBatch:
-            found: dict[tuple[str, str | None], list[int]] = {}
-            for kind, counts in held.items():
-                for token, n in counts.items():
-                    if isinstance(token, tuple) and (token[0][-1].isdigit() or token[1][0].isdigit()):
-                        continue
-                    pair = (core(token[0]), core(token[1])) if isinstance(token, tuple) else (core(token), None)
-                    if pair[0] and (pair[1] is None or pair[1] and pair[1][0].isalpha() and not pair[0][-1].isdigit()):
-                        entry = found.setdefault(pair, [0, 0, 0])
-                        entry[0] += n * (kind != "edge")
-                        entry[1] += n * (kind == "direct")
-                        entry[2] += n * (kind == "edge")
-                counts.clear()
-            columns = [pa.array([x[k] for x in found], pa.string()) for k in range(2)] + [pa.array([x[k] for x in found.values()], pa.int64()) for k in range(3)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "n_direct", "n_edge"])
-
+        held = _Counts()
         for batch in batches:
-            # a batch is listed first, as counting a long list is cheaper than many short ones
-            listed: dict[str, list] = {kind: [] for kind in held}
+            # a batch is listed first, as numbering a long list is cheaper than many short ones
+            listed: dict[str, list[str]] = {kind: [] for kind in held.runs}
             for text, method in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = plain(text).split() if text else ()
+                tokens = plain(text).split() if text else None
                 if not tokens:
                     continue
-                if text.rstrip()[-1] in HYPHENS:
-                    tokens = tokens[:-1]
-                rest = tokens[1:]
+                if tokens[-1][-1] in HYPHENS:
+                    tokens.pop()
                 own = listed["direct" if method == "direct" else "scanned"]
-                own += rest
-                own += zip(rest, rest[1:])
-                if method != "direct":
-                    listed["edge"] += tokens[:1]
-                    if rest and rest[0][0].isalpha():
-                        listed["edge"].append((tokens[0], rest[0]))
+                own += tokens[1:]
+                own.append("")
+                if method != "direct" and tokens:
+                    listed["edge"] += (tokens[0], tokens[1] if len(tokens) > 1 else "", "")
             for kind, own in listed.items():
-                held[kind].update(own)
-            if sum(map(len, held.values())) > HELD:
-                yield out()
-        yield out()
+                held.add(kind, own)
+            if held.full():
+                yield held.out()
+        yield held.out()
 
     raw = blocks.select("text", "method").mapInArrow(run, "a string, b string, n long, n_direct long, n_edge long")
     return raw.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("n_direct").alias("n_direct"), F.sum("n_edge").alias("n_edge"))
