@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["relevance_grades"])
+@pytest.mark.parametrize("name", ["relevance_grades", "paired_rr_summary"])
 def test_pairs_are_not_made(spark, folder, name):
     got, most = rows_made(spark, lambda: catalog.queries()[name](spark, folder).toPandas())
     db = duckdb.connect()
