@@ -37,7 +37,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["relevance_grades", "paired_rr_summary"])
+@pytest.mark.parametrize("name", ["relevance_grades", "paired_rr_summary", "retrieval_metrics"])
 def test_pairs_are_not_made(spark, folder, name):
     got, most = rows_made(spark, lambda: catalog.queries()[name](spark, folder).toPandas())
     db = duckdb.connect()
@@ -64,3 +64,13 @@ def test_relevant_chunks_are_those_of_a_grade(spark):
         counts[r[2]] += n
     assert dict(map(tuple, metrics.grade_counts(chunks, judged).collect())) == dict(counts) and set(counts) == {0, 1, 2}
     assert metrics.grade_counts(chunks.limit(0), judged).count() == metrics.grade_counts(chunks, judged.limit(0)).count() == 0
+
+
+def test_measures_of_graded_ranks(spark):
+    rng = random.Random(7)
+    rows = [(f"q{q}", f"m{r}", r, rng.choice([0, 0, 1, 2]) if q else 0) for q in range(30) for r in range(1, rng.randrange(2, 25))]
+    rows = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, grade int")
+    short = lambda df: sorted([x if x is None or isinstance(x, str) else round(x, 9) for x in r] for r in df.collect())
+    assert short(metrics.graded_ranking_metrics(rows)) == short(metrics.ranking_metrics(rows.drop("grade"), rows.drop("rank")))
+    with pytest.raises(ValueError):
+        metrics.graded_ranking_metrics(rows, (0,))
