@@ -117,10 +117,20 @@ def items(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     return of("block", blocks).unionAll(of("chunk", chunks))
 
 
+def had_to_cut(text: Column, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap_words: int = OVERLAP_WORDS) -> Column:
+    """Whether the splitting does not leave `text` as the one piece it is, or leaves a piece beyond a limit (as of mere white
+    space, which it cuts nowhere). Null counts as no."""
+
+    def cut(pieces: Column) -> Column:
+        return (F.size(pieces) != 1) | F.exists(pieces, lambda p: (p["start"] > 0) | (p["end"] < F.length(text)) | (p["end"] - p["start"] > max_chars))
+
+    return F.coalesce(_let(pieces_of(text, max_words, max_chars, overlap_words), cut), F.lit(False))
+
+
 def oversized_items(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(item_kind, item_id): the items beyond a limit, once each however often they are delivered, and even where all but
-    one of their pieces are white space or the whole of them is."""
-    return items(blocks, chunks).where(is_oversized(F.col("text"))).select("item_kind", "item_id").distinct()
+    """(item_kind, item_id): the items that the splitting has to cut, once each however often they are delivered, and even
+    where all but one of their pieces are white space or the whole of them is."""
+    return items(blocks, chunks).where(had_to_cut(F.col("text"))).select("item_kind", "item_id").distinct()
 
 
 #: So many keys of rows delivered again are told to every worker; where there are more, all rows are shuffled.

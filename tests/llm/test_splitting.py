@@ -89,3 +89,16 @@ def test_rows_delivered_again(spark):
     rows = spark.createDataFrame([("block", "1", "a"), ("block", "1", "a"), ("block", "2", None), ("chunk", "1", "b")], "item_kind string, item_id string, text string")
     for most in (0, 10):
         assert sorted(splitting.once_each(rows, ["item_kind", "item_id"], most).collect(), key=str) == [("block", "1", "a"), ("block", "2", None), ("chunk", "1", "b")]
+
+
+def test_found_by_the_splitting(spark, monkeypatch):
+    """An item is found because the splitting cuts it: without the cuts at words, those of too many words are not."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["w", "a b", "x" * rng.randrange(1, 200), "end.\n\n", " " * rng.randrange(1, 90), " ", "é́", "\t"]) + rng.choice(["", " "]) for _ in range(rng.randrange(260))) for _ in range(200)]
+    texts += [" " * 1201, " " * 1200, "a" * 1201, "a" * 1200, "a " * 120 + "a", "a " * 120, " " * 1100 + "a" + " " * 100, ""]
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string")
+    wanted = {str(k) for k, t in enumerate(texts) if len(t) > 1200 or len(t.split()) > 120}
+    found = lambda: {r["item_id"] for r in splitting.oversized_items(rows.limit(0), rows).collect()}
+    assert found() == wanted
+    monkeypatch.setattr(splitting, "word_pattern", lambda most: r"(?s).+")
+    assert str(texts.index("a " * 120 + "a")) in wanted - found()
